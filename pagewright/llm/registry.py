@@ -6,8 +6,11 @@ import importlib
 
 #: Query name -> module with query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
+    "op3_simhash": "simhash",
+    "op4_secret_scan": "secret_scan",
     "op6_token_counts": "token_counts",
     "op8_language_id": "language_id",
+    "op9_quality": "quality",
     "op10_exact_dedup": "exact_dedup",
 }
 
