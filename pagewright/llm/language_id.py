@@ -111,7 +111,7 @@ def language_id(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: tup
 
         def apply(cols):
             pred, score = [], []
-            for text in cols["_text"]:
+            for text in cols["text"]:
                 v = encoder.encode(text) if names else None
                 if v is None:
                     pred.append(UNKNOWN)
@@ -126,7 +126,7 @@ def language_id(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: tup
         return apply
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return map_texts(docs.select(*columns, F.col("text").alias("_text")), make, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", lang_pred string, score double")
+    return map_texts(docs.select(*dict.fromkeys((*columns, "text"))), make, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

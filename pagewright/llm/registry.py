@@ -6,8 +6,10 @@ import importlib
 
 #: Query name -> module with query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
+    "op2_decontamination": "decontaminate",
     "op3_simhash": "simhash",
     "op4_secret_scan": "secret_scan",
+    "op5_mixing": "mixing",
     "op6_token_counts": "token_counts",
     "op8_language_id": "language_id",
     "op9_quality": "quality",
