@@ -1 +1,3 @@
+"""Operators over tokens, regions, labels and cells; importing this registers all."""
 
+from . import aggregates, features, geometry, joins, regions, sequence  # noqa: F401
