@@ -11,6 +11,7 @@ MODULES = {
     "op4_secret_scan": "secret_scan",
     "op5_mixing": "mixing",
     "op6_token_counts": "token_counts",
+    "op7_line_dedup": "line_dedup",
     "op8_language_id": "language_id",
     "op9_quality": "quality",
     "op10_exact_dedup": "exact_dedup",
