@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module with query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
+    "op1_substring_dedup": "substring_dedup",
     "op2_decontamination": "decontaminate",
     "op3_simhash": "simhash",
     "op4_secret_scan": "secret_scan",
