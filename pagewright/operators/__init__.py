@@ -1,3 +1,3 @@
 """Operators over tokens, regions, labels and cells; importing this registers all."""
 
-from . import aggregates, features, geometry, joins, regions, scans, sequence  # noqa: F401
+from . import aggregates, features, geometry, images, joins, model, regions, scans, sequence  # noqa: F401

@@ -26,7 +26,7 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def sf(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("sf"))
-    rows = [(i * 7 + 1, t, "en", "s", len(t)) for i, t in enumerate(TEXTS)]
+    rows = [(i * 5 + 1, t, "en", "s", len(t)) for i, t in enumerate(TEXTS)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{at}/documents.parquet")
     return at
 
