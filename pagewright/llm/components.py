@@ -24,6 +24,6 @@ def components(links: DataFrame) -> DataFrame:
         hooked = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         upper = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         jumped = stash(hooked.join(upper, "label").select("node", F.least("label", "above").alias("label"), "old"), "cc-labels")
-        if not jumped.where("label <> old").limit(1).count():
+        if jumped.where("label <> old").isEmpty():
             return jumped.select("node", F.col("label").alias("component"))
         labels = jumped.select("node", "label")
