@@ -103,8 +103,9 @@ def language_id(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: tup
     so is every text if no prototype was learned. Equal cosines: the language first by name. Whole texts are read; repeated
     rows are answered each; an empty table gives an empty result. Only `columns` and text are read.
     """
-    names, matrix = list(prototypes), np.array(list(prototypes.values()), np.float32).reshape(len(prototypes), -1)
-    dim = matrix.shape[1] or DIM
+    names = list(prototypes)
+    matrix = np.array(list(prototypes.values()), np.float32) if names else np.zeros((0, DIM), np.float32)
+    dim = matrix.shape[1]
 
     def make():
         encoder = Encoder(dim)
