@@ -99,7 +99,8 @@ def overlaps(lines: DataFrame, line: int = LINE, rare: int = RARE) -> DataFrame:
     """(later, earlier): documents that share a rare line, and each holder of a common line with its first."""
     zipped = lines.select("doc_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "sizes"), lambda z: z["sizes"] >= line))).alias("z"))
     held = zipped.select("doc_id", F.col("z.hashes").alias("hash"))
-    first = held.groupBy("hash").agg(F.min("doc_id").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written first, so that the join deals both sides out anew and a common line's holders can be split among tasks
+    first = stash(held.groupBy("hash").agg(F.min("doc_id").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lines-first")
     shared = stash(held.join(first, "hash"), "lines-shared")
     common = shared.where((F.col("n") > rare) & (F.col("doc_id") > F.col("earlier"))).select(F.col("doc_id").alias("later"), "earlier")
     holders = shared.where(F.col("n") <= rare).groupBy("hash").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))  # at most `rare`
