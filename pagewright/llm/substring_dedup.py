@@ -194,17 +194,32 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
 
 
 def covered_by_repeats(doc: np.ndarray, pos: np.ndarray, strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Strings at (doc, pos) -> (doc, start, end) of all but the first occurrence of each maximal repeat."""
+    """Strings at (doc, pos) -> (doc, start, end): what all but the first occurrence of each maximal repeat cover, merged."""
     array = SuffixArray(strings, 2 * length)
-    docs, starts, ends = [], [], []
-    for size, where in array.maximal_repeats(length):
-        s, offset = array.place(where)
-        d, p = doc[s], pos[s] + offset
-        later = np.arange(len(where)) != np.lexsort((p, d))[0]
-        docs.append(d[later])
-        starts.append(p[later])
-        ends.append(p[later] + size)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, starts, ends))
+    order = array.order
+    s, offset = array.place(order)
+    place = np.empty(len(order), np.int64)  # of each suffix in the order of (doc, start)
+    place[np.lexsort((pos[s] + offset, doc[s]))] = np.arange(len(order))
+    covered = np.zeros(len(order), np.int64)  # bytes from each suffix's start
+    for size, first, end in array.intervals(length):
+        part = covered[first:end]
+        least = int(place[first:end].argmin())
+        before = part[least]
+        np.maximum(part, size, out=part)
+        part[least] = before
+    hit = covered > 0
+    d, p, e = doc[s[hit]], pos[s[hit]] + offset[hit], pos[s[hit]] + offset[hit] + covered[hit]
+    by = np.lexsort((p, d))
+    d, p, e = d[by], p[by], e[by]
+    # stretches of one document that touch become one; ends are made to ascend over documents by their number
+    number = np.cumsum(np.concatenate([[0], d[1:] != d[:-1]])) if len(d) else d
+    wide = int(e.max()) + 1 if len(e) else 1
+    upto = np.maximum.accumulate(number * wide + e)
+    head = np.ones(len(d), bool)
+    head[1:] = number[1:] * wide + p[1:] > upto[:-1]
+    at = np.flatnonzero(head)
+    last = np.concatenate([at[1:], [len(d)]]) - 1 if len(d) else at
+    return d[at], p[at], upto[last] - number[last] * wide
 
 
 def repeats_within(cut: DataFrame, length: int = LENGTH) -> DataFrame:

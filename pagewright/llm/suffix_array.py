@@ -22,15 +22,28 @@ class SuffixArray:
         ends = self.starts + self.sizes
         text[ends] = 256 + np.arange(len(strings))  # each end is a letter of its own
         self.text, n = text, len(text)
-        self.levels = [np.unique(text, return_inverse=True)[1].astype(np.int64)]
-        span = 1
+        self.base = 4 if 256 + len(strings) < 1 << 16 else 1  # bytes that the first ranks tell apart: four letters fit a word
+        self.head = text
+        if self.base == 4:
+            padded = np.concatenate([text, np.zeros(3, np.int64)])
+            self.head = (padded[:n] << 48) + (padded[1 : n + 1] << 32) + (padded[2 : n + 2] << 16) + padded[3:]
+        rank, self.order = self._ranked(self.head)
+        self.levels, span = [rank], self.base
         while span < depth:
-            rank = self.levels[-1]
             ahead = np.zeros(n, np.int64)
             ahead[: max(0, n - span)] = rank[span:] + 1
-            self.levels.append(np.unique(rank * (n + 2) + ahead, return_inverse=True)[1].astype(np.int64))
+            rank, self.order = self._ranked(rank * (n + 2) + ahead)
+            self.levels.append(rank)
             span *= 2
-        self.order = np.argsort(self.levels[-1], kind="stable")
+
+    @staticmethod
+    def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each key among the different ones, and the positions in order."""
+        order = np.argsort(keys)
+        ordered = keys[order]
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) if len(keys) else ordered
+        return rank, order
 
     def common(self) -> np.ndarray:
         """Common prefix of each suffix in order with the one before it, cut at what the levels tell apart."""
@@ -41,16 +54,24 @@ class SuffixArray:
             rank = self.levels[level]
             inside = (i < n) & (j < n)
             same = inside & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)])
-            step = same * (1 << level)
+            step = same * (self.base << level)
             out += step
             i += step
             j += step
-        # equal ranks at an end letter can't be: it is unique
+        if self.base > 1:  # under four bytes: the words' leading letters
+            inside = (i < n) & (j < n)
+            differ = self.head[np.minimum(i, n - 1)] ^ self.head[np.minimum(j, n - 1)]
+            out += sum((inside & (differ >> shift == 0)).astype(np.int64) for shift in (48, 32, 16))
         return np.concatenate([[0], out])
 
     def maximal_repeats(self, least: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(length, positions) of each left-maximal common-prefix interval of at least `least` bytes; a string's start differs
-        from every byte to the left of others."""
+        """(length, positions of all occurrences) of each maximal repeat of at least `least` bytes."""
+        for length, first, end in self.intervals(least):
+            yield length, self.order[first:end]
+
+    def intervals(self, least: int) -> Iterator[tuple[int, int, int]]:
+        """(length, first, end) of each left-maximal common-prefix interval of at least `least` bytes, in places of the order; a
+        string's start differs from every byte to the left of others."""
         prefix = self.common()
         left = np.full(len(self.text), -1, np.int64)
         left[1:] = self.text[:-1]
@@ -69,7 +90,7 @@ class SuffixArray:
                 while stack and stack[-1][0] > value:
                     length, first = stack.pop()
                     if change[first] != change[k - 1]:
-                        yield length, self.order[first:k]
+                        yield length, first, k
                 if value >= least and (not stack or stack[-1][0] < value):
                     stack.append((value, first))
 

@@ -1,7 +1,8 @@
 """Sequences on a page: contexts, windows, decoding, lines, blocks and the Markdown made from them.
 
-Folds whose state depends on what was decided before (blocks, decoding) run in Python over one document's rows at a time;
-a document is bounded by its own length. Lines are a native fold over a page's array of tokens.
+Folds whose state depends on what was decided before (lines, blocks) run in Python over partitions sorted by page, holding a
+page at a time; decoding takes a document at a time. A native fold with aggregate() over a page's array gives the same lines
+but fails in this Spark's optimiser when its result is written instead of collected.
 """
 
 from __future__ import annotations
@@ -75,14 +76,60 @@ def list_levels(d):
  select t.doc_id, t.page_number, t.pos, cast(coalesce(least(f.level, 3), -1) as int) as level from {d.t('tok')} t left join f on t.doc_id = f.doc_id and f.marker = substr(t.content, 1, 1)"""
 
 
-@FX.add("lineof", "tok")
-def pivot_(d):
+def by_page(df: DataFrame, order: str, out: list[str], added: str, fold) -> DataFrame:
+    """fold(rows of whole pages in order, first: marks a page's first row) -> columns to add, over partitions sorted by document
+    and page. Batches are cut between pages, so a task holds a batch and a page."""
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def folded(x: pd.DataFrame) -> pd.DataFrame:
+            page = x[["doc_id", "page_number"]].to_numpy()
+            first = np.ones(len(x), bool)
+            first[1:] = (page[1:] != page[:-1]).any(axis=1)
+            return x[out].assign(**fold(x, first))
+
+        rest = None
+        for x in batches:
+            x = x if rest is None else pd.concat([rest, x], ignore_index=True)
+            if not len(x):
+                continue
+            last = x.iloc[-1]
+            unfinished = (x["doc_id"] == last["doc_id"]) & (x["page_number"] == last["page_number"])
+            rest = x[unfinished].reset_index(drop=True)
+            if not unfinished.all():
+                yield folded(x[~unfinished].reset_index(drop=True))
+        if rest is not None and len(rest):
+            yield folded(rest)
+
+    ordered = df.repartition("doc_id").sortWithinPartitions("doc_id", "page_number", order)
+    return ordered.mapInPandas(run, ", ".join(f"`{c}` {kind[c]}" for c in out) + f", {added}")
+
+
+def fold_lines(pos: list[int], top: list[int], bottom: list[int], first: list[bool]) -> list[int]:
+    """Position of each token's pivot: the first earlier pivot that it overlaps vertically, or itself, a new pivot."""
+    out: list[int] = []
+    pivots: list[tuple[int, int, int]] = []
+    for p, y0, y1, new in zip(pos, top, bottom, first, strict=True):
+        if new:
+            pivots = []
+        at = next((q for q, a, b in pivots if b >= y0 and y1 >= a), None)
+        if at is None:
+            pivots.append((p, y0, y1))
+            at = p
+        out.append(at)
+    return out
+
+
+def _lines_spark(tok: DataFrame) -> DataFrame:
+    def fold(x: pd.DataFrame, first: np.ndarray) -> dict:
+        return {"line_id": np.array(fold_lines(x["pos"].tolist(), x["top"].tolist(), x["bottom"].tolist(), first.tolist()), np.int32)}
+
+    return by_page(tok.select("doc_id", "page_number", "pos", "top", "bottom"), "pos", ["doc_id", "page_number", "pos"], "line_id int", fold)
+
+
+@FX.add("lineof", "tok", spark=_lines_spark)
+def lineof(d):
     """line_id of each token: the first pivot that it overlaps vertically; a token that overlaps no earlier pivot is one."""
-    if d.name == "spark":
-        return f"""with a as (select {PAGE}, array_sort(collect_list(struct(pos, top, bottom))) ts from {d.t('tok')} group by {PAGE}),
-p as (select {PAGE}, ts, aggregate(ts, cast(array() as array<struct<pos:int,top:int,bottom:int>>), (acc, x) -> if(exists(acc, q -> not(q.bottom < x.top or x.bottom < q.top)), acc, concat(acc, array(x)))) pv from a),
-e as (select {PAGE}, pv, explode(ts) t from p)
-select {PAGE}, t.pos as pos, cast(get(filter(pv, q -> not(q.bottom < t.top or t.bottom < q.top)), 0).pos as int) as line_id from e"""
     return f"""with recursive pa as (select {PAGE}, list({{'pos': pos, 'top': top, 'bottom': bottom}} order by pos) ts from tok group by {PAGE}),
 pr as (select {PAGE}, ts, 1 as i, [ts[1]] as pv from pa union all
  select {PAGE}, ts, i + 1, case when len(list_filter(pv, lambda q: not(q.bottom < ts[i+1].top or ts[i+1].bottom < q.top))) > 0 then pv else list_append(pv, ts[i+1]) end from pr where i < len(ts)),
@@ -150,31 +197,11 @@ def fold_blocks(is_region: np.ndarray, etype: np.ndarray, top: np.ndarray, botto
 
 
 def _blocks_spark(elems: DataFrame) -> DataFrame:
-    """One pass over partitions sorted by document and page; state never crosses a page, so batches are cut between pages."""
-    kind = {f.name: f.dataType.simpleString() for f in elems.schema}
-    out = ["doc_id", "page_number", "ord", "is_region", "region_seq", "txt", "etype"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def folded(x: pd.DataFrame) -> pd.DataFrame:
-            page = x[["doc_id", "page_number"]].to_numpy()
-            first = np.ones(len(x), bool)
-            first[1:] = (page[1:] != page[:-1]).any(axis=1)
-            blocks, types = fold_blocks(x["is_region"].to_numpy(), x["etype"].to_numpy(), x["top"].to_numpy(), x["bottom"].to_numpy(), first)
-            return x[out].assign(block_no=np.array(blocks, np.int32), block_type=np.array(types, np.int32))
-
-        rest = None
-        for x in batches:
-            x = x if rest is None else pd.concat([rest, x], ignore_index=True)
-            last = x.iloc[-1] if len(x) else None
-            open_ = (x["doc_id"] == last["doc_id"]) & (x["page_number"] == last["page_number"]) if last is not None else None
-            rest = x[open_].reset_index(drop=True) if last is not None else x
-            if last is not None and not open_.all():
-                yield folded(x[~open_].reset_index(drop=True))
-        if rest is not None and len(rest):
-            yield folded(rest)
+    def fold(x: pd.DataFrame, first: np.ndarray) -> dict:
+        blocks, types = fold_blocks(x["is_region"].to_numpy(), x["etype"].to_numpy(), x["top"].to_numpy(), x["bottom"].to_numpy(), first)
+        return {"block_no": np.array(blocks, np.int32), "block_type": np.array(types, np.int32)}
 
-    ordered = elems.repartition("doc_id").sortWithinPartitions("doc_id", "page_number", "ord")
-    return ordered.mapInPandas(run, ", ".join(f"`{c}` {kind[c]}" for c in out) + ", block_no int, block_type int")
+    return by_page(elems, "ord", ["doc_id", "page_number", "ord", "is_region", "region_seq", "txt", "etype"], "block_no int, block_type int", fold)
 
 
 @FX.add("blocks", "elems", spark=_blocks_spark)
