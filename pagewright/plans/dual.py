@@ -19,7 +19,7 @@ class Spark:
         return "{" + relation + "}"
 
     def listagg(self, value: str, sep: str, order: str) -> str:
-        return f"array_join(transform(array_sort(collect_list(struct({order}, {value} as listed))), e -> e.listed), {sep})"
+        return f"listagg({value}, {sep}) within group (order by {order})"
 
     def idiv(self, a: str, b: str) -> str:
         return f"(({a}) div ({b}))"

@@ -63,7 +63,8 @@ from {d.t('page')} p cross join (values (0),(1),(2),(3),(4),(5)) t(k)"""
 def emi(d):
     """Emission probabilities of the 11 types."""
     if d.name == "spark":
-        return f"select doc_id, page_number, pos, transform(w, x -> x / s) as p from (select *, aggregate(w, 0D, (a, x) -> a + x) as s from (select doc_id, page_number, pos, transform(sequence(0, 10), k -> cast(1 + (doc_id*31 + pos*17 + k*7 + (pos*k) % 5) % 29 as double)) as w from {d.t('tok')}))"
+        w = [f"cast(1 + (doc_id*31 + pos*17 + {k}*7 + (pos*{k}) % 5) % 29 as double)" for k in range(11)]
+        return f"select doc_id, page_number, pos, array({', '.join(f'w{k} / s' for k in range(11))}) as p from (select *, {' + '.join(f'w{k}' for k in range(11))} as s from (select doc_id, page_number, pos, {', '.join(f'{x} as w{k}' for k, x in enumerate(w))} from {d.t('tok')}))"
     return "select doc_id, page_number, pos, list_transform(w, lambda x: x / list_sum(w)) as p from (select doc_id, page_number, pos, list_transform(range(11), lambda k: (1 + (doc_id*31 + pos*17 + k*7 + (pos*k) % 5) % 29)::double) as w from tok)"
 
 
