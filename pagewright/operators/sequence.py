@@ -1,8 +1,7 @@
 """Sequences on a page: contexts, windows, decoding, lines, blocks and the Markdown made from them.
 
 Folds whose state depends on what was decided before (lines, blocks) run in Python over partitions sorted by page, holding a
-page at a time; decoding takes a document at a time. A native fold with aggregate() over a page's array gives the same lines
-but fails in this Spark's optimiser when its result is written instead of collected.
+page at a time; decoding takes a document at a time.
 """
 
 from __future__ import annotations

@@ -132,16 +132,18 @@ class Relations:
 
         return made
 
-    def frame(self, spark: SparkSession, sf_dir: str, name: str, known: dict | None = None) -> DataFrame:
-        known = {} if known is None else known
-        if name not in known:
-            if name not in self.made:
-                known[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-            else:
-                inputs, template, form = self.made[name]
-                frames = {i: self.frame(spark, sf_dir, i, known) for i in inputs}
-                known[name] = form(**frames) if form else spark.sql(template(Spark()).replace('"', "`"), **frames) if frames else spark.sql(template(Spark()).replace('"', "`"))
-        return known[name]
+    def frame(self, spark: SparkSession, sf_dir: str, name: str, given: dict | None = None) -> DataFrame:
+        """A relation over given ones or, without them, over the tables below sf_dir. Each use of a relation is a plan of its
+        own: Spark's analyser can fail to tell two uses of one apart when Python stages lie between; equal exchanges are
+        still found and run once."""
+        if given and name in given:
+            return given[name]
+        if name not in self.made:
+            return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        inputs, template, form = self.made[name]
+        frames = {i: self.frame(spark, sf_dir, i, given) for i in inputs}
+        return form(**frames) if form else spark.sql(template(Spark()).replace('"', "`"), **frames)
+
 
     def needed(self, names: tuple[str, ...], out: list[str] | None = None) -> list[str]:
         out = [] if out is None else out

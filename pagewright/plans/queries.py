@@ -13,8 +13,7 @@ from .fixtures import FX
 
 def _query(op) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        known: dict = {}
-        return op(**{i: FX.frame(spark, sf_dir, i, known) for i in op.inputs})
+        return op(**{i: FX.frame(spark, sf_dir, i) for i in op.inputs})
 
     run.__name__, run.__doc__ = op.key, op.doc
     return run
