@@ -335,6 +335,27 @@ def test_decontamination(spark, empty):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def test_decontamination_of_more_passages_than_directions(spark):
+    r = np.random.default_rng(4)
+    common = [f"c{k}" for k in range(150)]
+    text = lambda n: list(r.choice(common, n))
+    long = [(k, " ".join(f"w{k}x{i}" for i in range(100))) for k in range(110)]
+    light = [(200 + k, text(20)) for k in range(20)]
+    rows = [(i, text(200)) for i in range(60)] + [(k, text(40) + x + text(40)) for k, x in light]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    bench = spark.createDataFrame(long + [(k, " ".join(x)) for k, x in light], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.contamination(docs, bench).collect()} == {(k, k) for k, _ in light}
+    assert all(len(b.passages) <= decontaminate.RANK for b in decontaminate.blocks(bench))
+
+
+def test_decontamination_of_an_item_of_many_passages(spark):
+    item = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, "some words before " + item), (1, "some words before " + item), (2, "no such words"), (3, item + " after")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "w1 w2"), (8, item), (9, "nothing at all of it")], "item_id long, text string")
+    got = sorted((x["doc_id"], x["coverage"]) for x in decontaminate.contamination(docs, bench, rank=4).where("item_id = 8").collect())
+    assert got == [(1, 1.0), (1, 1.0), (3, 1.0)]
+
+
 def test_inverse_frequencies(spark):
     texts = ["a b c " * 30, "b", None, "c d " * 40 + "a"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
