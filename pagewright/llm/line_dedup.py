@@ -1,8 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a rare line, one that at most RARE documents hold, are brought together through the line's hash, each
-with each. A common line brings every later document together with the first that holds it: one pair a document however
-many share the line, so no line is left out. Each pair is aligned by patience diff (lines unique in both, their longest increasing run, then the
+Documents are brought together by keys: the hashes of lines of LINE characters or more, and of the shortest runs of successive
+lines, from each line on and up to each line, that have BLOCK characters. Any shared block of BLOCK characters is covered by
+such runs, whatever its lines. A rare key, one that at most RARE documents hold, brings its holders together each with each. A
+common one brings every later document together with the first that holds it: one pair a document however many share the
+key; since the first holder of a run holds all its lines in a row, a shared block is met whoever shares it. Each pair is aligned by patience diff (lines unique in both, their longest increasing run, then the
 stretches between), and aligned blocks of enough characters are deleted from the later document.
 """
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, stash, text_or_empty
 
-#: Characters of a line that can bring documents together, most documents that hold a rare line, and characters of an aligned
+#: Characters of a line that can bring documents together, most documents that hold a rare key, and characters of an aligned
 #: block from which it is deleted.
 LINE, RARE, BLOCK = 24, 6, 120
 
@@ -78,28 +80,62 @@ def blocks(aligned: list[tuple[int, int]], sizes: list[int], least: int = BLOCK)
     return out
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, hashes array<long>, sizes array<int>, of all lines."""
+def runs(sizes: list[int], least: int = BLOCK) -> set[tuple[int, int]]:
+    """The shortest runs start..end (exclusive) of enough characters, from each line on and up to each line. Together they
+    cover every line of every block of enough characters with a run within the block."""
+    upto = [0]
+    for n in sizes:
+        upto.append(upto[-1] + n + 1)
+    out, e = set(), 1
+    for i in range(len(sizes)):
+        e = max(e, i + 1)
+        while e < len(sizes) and upto[e] - upto[i] - 1 < least:
+            e += 1
+        if upto[e] - upto[i] - 1 < least:
+            break
+        out.add((i, e))
+    i = 0
+    for e in range(1, len(sizes) + 1):
+        while i + 1 < e and upto[e] - upto[i + 1] - 1 >= least:
+            i += 1
+        if upto[e] - upto[i] - 1 >= least:
+            out.add((i, e))
+    return out
+
+
+def lines_of(docs: DataFrame, line: int = LINE, block: int = BLOCK) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, hashes array<long>, sizes array<int>, of all lines; keys array<long>, distinct, of
+    lines of `line` characters or more and of runs."""
 
     def make():
+        from array import array
+
         import xxhash
 
         digest = xxhash.xxh64_intdigest
 
+        def keys(hashes, sizes):
+            own = {h for h, n in zip(hashes, sizes, strict=True) if n >= line}
+            if sum(sizes) + len(sizes) - 1 >= block:
+                raw = memoryview(array("q", hashes).tobytes())
+                own.update(digest(raw[8 * i : 8 * e], 1) - (1 << 63) for i, e in runs(sizes, block) if e > i + 1 or sizes[i] < line)
+            return list(own)
+
         def apply(cols):
             split = [(t or "").split("\n") for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "hashes": [[digest(x.encode("utf-8", "replace")) - (1 << 63) for x in s] for s in split], "sizes": [list(map(len, s)) for s in split]}
+            hashes = [[digest(x.encode("utf-8", "replace")) - (1 << 63) for x in s] for s in split]
+            sizes = [list(map(len, s)) for s in split]
+            return {"doc_id": cols["doc_id"], "hashes": hashes, "sizes": sizes, "keys": list(map(keys, hashes, sizes))}
 
         return apply
 
-    return map_texts(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, hashes array<long>, sizes array<int>")
+    return map_texts(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, hashes array<long>, sizes array<int>, keys array<long>")
 
 
-def overlaps(lines: DataFrame, line: int = LINE, rare: int = RARE) -> DataFrame:
-    """(later, earlier): documents that share a rare line, and each holder of a common line with its first."""
-    zipped = lines.select("doc_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "sizes"), lambda z: z["sizes"] >= line))).alias("z"))
-    held = zipped.select("doc_id", F.col("z.hashes").alias("hash"))
-    # written first, so that the join deals both sides out anew and a common line's holders can be split among tasks
+def overlaps(lines: DataFrame, rare: int = RARE) -> DataFrame:
+    """(later, earlier): documents that share a rare key, and each holder of a common key with its first."""
+    held = lines.select("doc_id", F.explode("keys").alias("hash"))
+    # written first, so that the join deals both sides out anew and a common key's holders can be split among tasks
     first = stash(held.groupBy("hash").agg(F.min("doc_id").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lines-first")
     shared = stash(held.join(first, "hash"), "lines-shared")
     common = shared.where((F.col("n") > rare) & (F.col("doc_id") > F.col("earlier"))).select(F.col("doc_id").alias("later"), "earlier")
@@ -110,8 +146,8 @@ def overlaps(lines: DataFrame, line: int = LINE, rare: int = RARE) -> DataFrame:
 
 def removed_lines(docs: DataFrame, line: int = LINE, block: int = BLOCK) -> DataFrame:
     """(doc_id, spans array<struct<start, end>>): the lines to delete from each document that loses some."""
-    lines = stash(lines_of(docs.where("doc_id is not null").dropDuplicates(["doc_id"])), "lines")
-    pairs = overlaps(lines, line)
+    lines = stash(lines_of(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), line, block), "lines")
+    pairs = overlaps(lines)
     early = lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("b"))
     late = lines.select(F.col("doc_id").alias("later"), F.col("hashes").alias("a"), "sizes")
     met = pairs.join(early, "earlier").join(late, "later").select("later", "a", "sizes", "b")

@@ -290,6 +290,25 @@ def test_line_dedup(docs, corpus, empty, odd):
     assert line_dedup.line_dedup(odd).count() == 6
 
 
+def test_line_dedup_of_common_lines_whose_first_holders_share_no_block(spark):
+    x, y = "x" * 70, "y" * 70
+    rows = [(1, f"{x}\nfirst of x"), (2, f"first of y\n{y}"), *((3 + k, f"{k}\n{(x, y)[k % 2]}\n{k}") for k in range(16)), (50, f"a\n{x}\n{y}\nb"), (51, f"c\n{x}\n{y}\nd")]
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(rows), 51: "c\nd"}
+
+
+def test_runs_cover_every_block():
+    r = np.random.default_rng(3)
+    for _ in range(100):
+        sizes = r.integers(0, 9, r.integers(1, 15)).tolist()
+        found = line_dedup.runs(sizes, 12)
+        assert all(sum(sizes[i:e]) + e - i - 1 >= 12 for i, e in found)
+        for lo in range(len(sizes)):
+            for hi in range(lo + 1, len(sizes) + 1):
+                if sum(sizes[lo:hi]) + hi - lo - 1 >= 12:
+                    assert {k for i, e in found if lo <= i and e <= hi for k in range(i, e)} == set(range(lo, hi))
+
+
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert line_dedup.patience([], [1]) == [] and line_dedup.patience([5, 5], [5]) == [(0, 0)]
