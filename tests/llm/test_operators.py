@@ -297,6 +297,13 @@ def test_line_dedup_of_common_lines_whose_first_holders_share_no_block(spark):
     assert got == {**dict(rows), 51: "c\nd"}
 
 
+def test_line_dedup_of_short_lines(spark):
+    verse = "\n".join(f"short line {k}" for k in range(12))
+    rows = [(1, f"one\n{verse}\nend"), (2, f"two\n{verse}\nstop"), (3, "short line 1\nshort line 2")]
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(rows), 2: "two\nstop"}
+
+
 def test_runs_cover_every_block():
     r = np.random.default_rng(3)
     for _ in range(100):
