@@ -204,6 +204,28 @@ def test_secret_scan(spark, docs, corpus, empty):
     assert secret_scan.secret_spans(empty).count() == 0
 
 
+def test_secret_that_stands_twice():
+    novelty, key = secret_scan.Novelty(), "Zq8vN3kLw0Xy7TtRb5Uc2Hd9Jf4Ga6Pe1Sm0KiQx"
+    for gap in (0, 100, 230, 250):
+        text = f"auth_header {key} " + "ab " * (gap // 3) + f"bearer {key} end"
+        at = [m.start() for m in re.finditer(key, text)]
+        assert secret_scan.novel_spans(text, [], novelty) == [("novel", i, i + len(key)) for i in at], gap
+
+
+def test_secrets_of_small_alphabets():
+    r, novelty = np.random.default_rng(5), secret_scan.Novelty()
+    names = "config user client session request response handler value index buffer cache update fetch parse render total".split()
+    for letters in ("0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"):
+        found = 0
+        for _ in range(200):
+            code = "".join(f"    {x}_{y} = {z}.get({n})\n" for x, y, z, n in zip(*r.choice(names, (3, 8)), r.integers(0, 1000, 8), strict=True))
+            key = "a1" + "".join(r.choice(list(letters), int(r.integers(18, 30))))
+            found += bool(secret_scan.novel_spans(f"{code}auth_header = '{key}'\n{code}", [], novelty))
+        assert found >= 196, letters
+    for word in ("application1config2settings3", "0123456789abcdef0123456789ab"):
+        assert not secret_scan.novel_spans(f"auth_header = '{word}'", [], novelty)
+
+
 def test_token_counts(docs, corpus, empty, spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
