@@ -5,10 +5,10 @@ that begin with its bits. As long as a bucket holds more than `capacity` differe
 bucket split, up to `max_depth`, so the directory never has more than 2**max_depth rows: that bound is what allows its
 broadcast. Buckets that are still overfull at that depth chain further entries.
 
-Owner tasks (the partitions of one exchange) take the keys of their buckets. Copies are combined on the map side first, so
-a text that a third of all rows hold reaches its owner once per map task. Within an owner, entries of one key are chained
-and told apart by their bytes. Every row then probes the index by key and digest; the hot side of that join is left to
-adaptive skew splitting.
+Buckets don't own tasks: a hash exchange on bucket, depth, key and text stands in for owners, so a bucket's keys are spread
+over all tasks. Copies are combined on the map side first, so a text that a third of all rows hold reaches its task once per
+map task. Entries of one key are chained and told apart by their digests. Every row then finds its entry by a join on key
+and digest, without the directory; the hot side of that join is left to adaptive skew splitting.
 """
 
 from __future__ import annotations
