@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash, stashes
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, component): for each node of a link the smallest node reachable. Null ends are ignored.
 
     Each round takes the smallest label of the neighbours, then the label of that label, so that long chains halve. Labels
-    are written to shared files each round. Minima combine on the map side, and hot nodes only widen joins that adaptive
-    execution can split.
+    are written to shared files each round, and those of the round before removed. Minima combine on the map side, and hot
+    nodes only widen joins that adaptive execution can split.
     """
     links = links.where("a is not null and b is not null and a <> b")
     both = stash(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
@@ -26,4 +26,5 @@ def components(links: DataFrame) -> DataFrame:
         jumped = stash(hooked.join(upper, "label").select("node", F.least("label", "above").alias("label"), "old"), "cc-labels")
         if jumped.where("label <> old").isEmpty():
             return jumped.select("node", F.col("label").alias("component"))
+        discard(jumped.sparkSession, stashes() - 2, keep=1)  # the labels that this round read
         labels = jumped.select("node", "label")

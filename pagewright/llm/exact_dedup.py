@@ -1,14 +1,18 @@
 """Exact deduplication with an extendible-hash index on shared files, in DataFrame operations only.
 
-A key is the 64-bit hash of a text after lower-casing A-Z. The directory has 2**depth entries; each stands for the keys
-that begin with its bits. As long as a bucket holds more than `capacity` different keys, the directory is doubled and the
-bucket split, up to `max_depth`, so the directory never has more than 2**max_depth rows: that bound is what allows its
-broadcast. Buckets that are still overfull at that depth chain further entries.
-
-Buckets don't own tasks: a hash exchange on bucket, depth, key and text stands in for owners, so a bucket's keys are spread
-over all tasks. Copies are combined on the map side first, so a text that a third of all rows hold reaches its task once per
-map task. Entries of one key are chained and told apart by their digests. Every row then finds its entry by a join on key
-and digest, without the directory; the hot side of that join is left to adaptive skew splitting.
+A key is the 64-bit hash of a text after lower-casing A-Z, and a bucket holds the keys that begin with its bits: a key range.
+1. One pass writes key and SHA-256 of every row; no text is shuffled for that.
+2. The directory starts with one bucket. As long as a bucket holds more than `capacity` different keys it is split and, where
+   its depth is the directory's, the directory doubled. How deep that can go follows from the number of keys. Buckets that
+   even then are overfull chain further entries.
+3. Only where a key repeats are bytes needed: a bitmap of those keys' prefixes, of bounded size, lets through the texts that
+   may be concerned, and these are grouped by key and bytes. Copies combine on the map side first, so a text that a third of
+   all rows hold reaches the next stage once per map task.
+4. Entries are dealt to owner tasks by bucket, so that a task has whole buckets and its file covers their key ranges. The
+   owner chains the entries of one key. Entries of one key that differ in bytes must differ in digest, or the job fails: from
+   there on a digest stands for the bytes.
+5. Rows probe by bucket, key and digest. Entries of very large groups, of which there can be only few, go to all rows
+   instead, so that no task gets the rows of a large group.
 """
 
 from __future__ import annotations
@@ -18,29 +22,38 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stash, text_or_empty
 
-#: Defaults: different keys a bucket holds before it splits, and the directory's largest depth (at most 4096 rows).
-CAPACITY, MAX_DEPTH = 4096, 12
+#: Different keys a bucket holds before it splits, and deepest directory (its rows go to all tasks).
+CAPACITY, DEEPEST = 1 << 14, 20
+#: Most bits of the bitmap's prefixes (2**26 bits are 2**20 rows of 64), and share of all rows from which a group is large.
+BITS, LARGE = 26, 1000
 
 
 def _prefix(key: Column, depth: int) -> Column:
-    return F.shiftrightunsigned(key, 64 - depth).cast("int")
+    return F.shiftrightunsigned(key, 64 - depth).cast("int") if depth else F.lit(0)
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(prefix, bucket, depth): for each of the 2**max_depth key prefixes the bucket it falls in and that bucket's depth.
+def depth_for(keys: int, capacity: int = CAPACITY, deepest: int = DEEPEST) -> int:
+    """Bits after which buckets of so many evenly spread keys are well under the capacity."""
+    return min(deepest, max(1, (max(keys, 1) // capacity).bit_length() + 3))
 
-    keys: column key, repeats allowed. Only counts of at most 2**max_depth prefixes reach the driver.
+
+def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int | None = None) -> DataFrame:
+    """(prefix, bucket, depth): for each key prefix of max_depth bits the bucket it falls in and that bucket's depth.
+
+    keys: column key, different ones. Only counts of the 2**max_depth prefixes reach the driver; by default max_depth follows
+    from the number of keys and is DEEPEST at most.
     """
     spark = keys.sparkSession
+    max_depth = depth_for(keys.count(), capacity) if max_depth is None else max_depth
     counts = [0] * (1 << max_depth)
-    for row in keys.groupBy("key").agg(F.lit(1).alias("one")).groupBy(_prefix(F.col("key"), max_depth).alias("prefix")).count().collect():
+    for row in keys.groupBy(_prefix(F.col("key"), max_depth).alias("prefix")).count().collect():
         counts[row["prefix"]] = row["count"]
     depth, split, rows = 0, [0], []
     while split:  # one round a doubling: the buckets of this depth that are overfull go on to the next
         width, later = max_depth - depth, []
         for b in split:
             lo, hi = b << width, (b + 1) << width
-            if sum(counts[lo:hi]) > capacity and depth < max_depth:
+            if depth < max_depth and sum(counts[lo:hi]) > capacity:
                 later += [2 * b, 2 * b + 1]
             else:
                 rows += [(p, lo, depth) for p in range(lo, hi)]
@@ -48,19 +61,46 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
     return spark.createDataFrame(rows, "prefix int, bucket int, depth int")
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(rows, index), both on shared files. rows: doc_id, key, sha. index: bucket, depth, key, chain, sha, keep_id, group_size."""
-    texts = docs.select(F.col("doc_id"), ascii_lower(text_or_empty()).alias("norm"))
-    rows = stash(texts.select("doc_id", F.xxhash64("norm").alias("key"), F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
-    entries = F.broadcast(directory(rows.select("key"), capacity, max_depth))  # at most 2**max_depth rows
-    keyed = texts.withColumn("key", F.xxhash64("norm")).withColumn("prefix", _prefix(F.col("key"), max_depth)).join(entries, "prefix")
-    distinct = keyed.groupBy("bucket", "depth", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    chained = distinct.select("bucket", "depth", "key", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
-    index = chained.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha")))
+def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
+    """(word, marks): the first `bits` bits of each key as one bit, 64 of them a row; 2**(bits - 6) rows at most."""
+    at = F.shiftrightunsigned("key", 64 - bits)
+    mark = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    return keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), mark.alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("marks"))
+
+
+def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, index), both on shared files. rows: doc_id, bucket, key, sha. index: bucket, depth, key, chain, sha, keep_id,
+    group_size, in files of whole buckets."""
+    texts = docs.select("doc_id", ascii_lower(text_or_empty()).alias("norm")).withColumn("key", F.xxhash64("norm"))
+    rows = stash(texts.select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
+    one = F.struct(F.max("doc_id").alias("keep_id"), F.min("sha").alias("sha"))  # of use where n is 1
+    keys = stash(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), one.alias("one")), "exact-keys")
+    n = keys.count()
+    max_depth = depth_for(n, capacity) if max_depth is None else max_depth
+    entries = F.broadcast(directory(keys, capacity, max_depth))  # 2**max_depth rows
+
+    bits = min(BITS, max(12, n.bit_length() + 4))
+    repeated = F.broadcast(_bitmap(keys.where("n > 1"), bits))  # 2**(bits - 6) rows at most
+    probed = texts.withColumn("at", F.shiftrightunsigned("key", 64 - bits)).withColumn("word", F.shiftright("at", 6))
+    marked = probed.join(repeated, "word").where(F.expr("shiftrightunsigned(marks, cast(at & 63 as int)) & 1 = 1"))
+    alike = marked.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    several = alike.select("key", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
+    single = keys.where("n = 1").select("key", "one.sha", "one.keep_id", F.lit(1).cast("long").alias("group_size"))
+    # the bitmap lets some single keys through as well: their entries come from the bytes' side alone
+    single = single.withColumn("at", F.shiftrightunsigned("key", 64 - bits)).withColumn("word", F.shiftright("at", 6)).join(repeated, "word", "left")
+    single = single.where(F.expr("marks is null or shiftrightunsigned(marks, cast(at & 63 as int)) & 1 = 0")).select("key", "sha", "keep_id", "group_size")
+
+    dealt = single.unionByName(several).withColumn("prefix", _prefix(F.col("key"), max_depth)).join(entries, "prefix").repartition("bucket")
+    chain = Window.partitionBy("bucket", "key").orderBy("sha")
+    same = F.lag("sha").over(chain) == F.col("sha")
+    chained = dealt.withColumn("same", same).withColumn("chain", F.row_number().over(chain))
+    sha = F.when(F.col("same"), F.raise_error(F.lit("different texts with one digest")).cast("binary")).otherwise(F.col("sha"))
+    index = chained.select("bucket", "depth", "key", "chain", sha.alias("sha"), "keep_id", "group_size")
+    rows = rows.withColumn("prefix", _prefix(F.col("key"), max_depth)).join(entries, "prefix").select("doc_id", "bucket", "key", "sha")
     return rows, stash(index.sortWithinPartitions("bucket", "key", "chain"), "exact-index")
 
 
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int | None = None) -> DataFrame:
     """docs (doc_id, text, any more) -> one row for each input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty; empty texts are equal. The largest doc_id of a group stays; a null doc_id never does
@@ -68,7 +108,11 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     empty table gives an empty result. Columns beyond doc_id and text are not read, so their names can't clash.
     """
     rows, index = build_index(docs, capacity, max_depth)
-    found = rows.join(index.select("key", "sha", "keep_id", "group_size"), ["key", "sha"])
+    least = max(1, rows.count() // LARGE)
+    large = F.broadcast(index.where(F.col("group_size") > least).select("bucket", "key", "sha", "keep_id", "group_size"))  # under LARGE rows
+    small = index.where(F.col("group_size") <= least).select("bucket", "key", "sha", "keep_id", "group_size")
+    at = ["bucket", "key", "sha"]
+    found = rows.join(large, at).unionByName(rows.join(large.select(at), at, "left_anti").join(small, at))
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 

@@ -8,6 +8,8 @@ language whose prototype has the largest cosine with the document is the predict
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,16 @@ UNKNOWN = "und"
 KEPT = 1 << 15
 
 
+@cache
+def letter_classes() -> np.ndarray:
+    """The class of each code point, 0 for all that is no letter; made once a worker process."""
+    out = np.zeros(0x110000, np.uint16)
+    for c in range(0x110000):
+        if chr(c).isalpha():
+            out[c] = 1 + ord(chr(c).lower()[0]) % (CLASSES - 1)
+    return out
+
+
 class Encoder:
     """Texts to hyperdimensional vectors. The same seed gives the same letter vectors in every worker."""
 
@@ -28,10 +40,7 @@ class Encoder:
         self.letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (CLASSES, dim))
         self.letters[0] = 1  # white space and all that is no letter: neutral
         self.table, self.rows = np.zeros((1024, dim), np.int8), {}
-        self.classes = np.zeros(0x110000, np.uint16)
-        for c in range(0x30000):
-            if chr(c).isalpha():
-                self.classes[c] = 1 + ord(chr(c).lower()[0]) % (CLASSES - 1)
+        self.classes = letter_classes()
 
     def _vector(self, code: int) -> np.ndarray:
         a, b, c = code // CLASSES // CLASSES, code // CLASSES % CLASSES, code % CLASSES
@@ -101,7 +110,8 @@ def language_id(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: tup
 
     The score is the best cosine with a prototype, cut to 0..1. A null text, or one without a letter, is `und` with score 0;
     so is every text if no prototype was learned. Equal cosines: the language first by name. Whole texts are read; repeated
-    rows are answered each; an empty table gives an empty result. Only `columns` and text are read.
+    rows are answered each and a null in `columns` is given back; an empty table gives an empty result. Only `columns` and
+    text are read, so that other names can't clash.
     """
     names = list(prototypes)
     matrix = np.array(list(prototypes.values()), np.float32) if names else np.zeros((0, DIM), np.float32)

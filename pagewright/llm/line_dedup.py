@@ -4,8 +4,10 @@ Documents are brought together by keys: the hashes of lines of LINE characters o
 lines, from each line on and up to each line, that have BLOCK characters. Any shared block of BLOCK characters is covered by
 such runs, whatever its lines. A rare key, one that at most RARE documents hold, brings its holders together each with each. A
 common one brings every later document together with the first that holds it: one pair a document however many share the
-key; since the first holder of a run holds all its lines in a row, a shared block is met whoever shares it. Each pair is aligned by patience diff (lines unique in both, their longest increasing run, then the
-stretches between), and aligned blocks of enough characters are deleted from the later document.
+key; since the first holder of a run holds all its lines in a row, a shared block is met whoever shares it. Each pair is
+aligned by patience diff (lines unique in both, their longest increasing run, then the stretches between; a stretch without
+such lines is parted at its longest common block), and aligned blocks of enough characters are deleted from the later
+document.
 """
 
 from __future__ import annotations
@@ -47,8 +49,55 @@ def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) ->
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned positions of two sequences of line hashes, by patience diff."""
+def _longest_block(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int, upto: list[int]) -> tuple[int, int, int]:
+    """(start in a, start in b, lines) of the common block with most characters; upto sums the characters of a's lines. The
+    suffix automaton of a's stretch reads b's once, so time is in proportion to both."""
+    step, link, size, end = [{}], [-1], [0], [0]  # states: transitions, suffix link, longest string, where that first ends
+    last = 0
+    for i in range(a0, a1):
+        new = len(step)
+        step.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        end.append(i + 1)
+        p, c = last, a[i]
+        while p >= 0 and c not in step[p]:
+            step[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][c]
+            if size[q] != size[p] + 1:
+                clone = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                end.append(end[q])
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = clone
+                    p = link[p]
+                link[q] = clone
+                q = clone
+            link[new] = q
+        last = new
+    best, at, n = (0, (0, 0, 0)), 0, 0
+    for j in range(b0, b1):
+        while at and b[j] not in step[at]:
+            at = link[at]
+            n = size[at]
+        if b[j] in step[at]:
+            at, n = step[at][b[j]], n + 1
+            weight = upto[end[at]] - upto[end[at] - n]
+            if weight > best[0]:
+                best = (weight, (end[at] - n, j + 1 - n, n))
+    return best[1]
+
+
+def patience(a: list[int], b: list[int], sizes: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+    """Aligned positions of two sequences of line hashes, by patience diff. sizes: characters of a's lines (else each counts
+    one); a stretch without a line unique in both is parted at its weightiest common block, as long as that has `least`."""
+    upto = [0]
+    for n in sizes if sizes is not None else [0] * len(a):
+        upto.append(upto[-1] + n + 1)
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -59,7 +108,13 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             out.append((a1, b1))
-        if a0 < a1 and b0 < b1 and (found := _anchors(a, b, a0, a1, b0, b1)):
+        if a0 < a1 and b0 < b1:
+            found = _anchors(a, b, a0, a1, b0, b1)
+            if not found and upto[a1] - upto[a0] > least and not set(b[b0:b1]).isdisjoint(a[a0:a1]):
+                i, j, n = _longest_block(a, b, a0, a1, b0, b1, upto)
+                found = [(i + k, j + k) for k in range(n)] if upto[i + n] - upto[i] > least or sizes is None else []
+            if not found:
+                continue
             out += found
             edges = [(a0 - 1, b0 - 1), *found, (a1, b1)]
             todo += [(x + 1, y, u + 1, v) for (x, u), (y, v) in zip(edges, edges[1:], strict=False)]
@@ -154,7 +209,7 @@ def removed_lines(docs: DataFrame, line: int = LINE, block: int = BLOCK) -> Data
 
     def make():
         def apply(cols):
-            found = [blocks(patience(a, b), s, block) for a, b, s in zip(cols["a"], cols["b"], cols["sizes"], strict=True)]
+            found = [blocks(patience(a, b, s, block), s, block) for a, b, s in zip(cols["a"], cols["b"], cols["sizes"], strict=True)]
             keep = [i for i, f in enumerate(found) if f]
             return {"doc_id": [cols["later"][i] for i in keep], "spans": [[{"start": x, "end": y} for x, y in found[i]] for i in keep]}
 

@@ -4,8 +4,8 @@ A source's weight is its token share raised to an exponent, normalised. The expo
 values in one aggregation) until the mixture meets a target entropy or a limit on repetition. A weight times the budget
 gives a source's tokens: so many whole epochs, and a rest that takes part of a further one. The order of an epoch is a
 permutation of the source's blocks and, within a block, of its documents; the rest takes documents in that order while
-they fit. A source is cut into many blocks by a hash, so a source with a third of all rows is spread over many tasks; only
-sums of blocks meet in a source's window.
+they fit. A source is cut into many blocks by a hash, more of them the more tokens there are, so that a block holds about
+BLOCK_TOKENS at most however large the source is; only sums of blocks meet in a source's window.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import stash, text_or_empty
 
-#: Blocks a source, most repetitions of a source, seed of the permutations.
-BLOCKS, REPEATS, SEED = 1024, 4.0, 17
+#: Least blocks a source, tokens a block, most repetitions of a source, seed of the permutations.
+BLOCKS, BLOCK_TOKENS, REPEATS, SEED = 1024, 1 << 22, 4.0, 17
 #: Values tried in a round of the bisection, and rounds: the exponent is found to 2**-30.
 TRIED, ROUNDS = 64, 5
 
@@ -61,14 +61,17 @@ def exponent(shared: DataFrame, target_entropy: float | None = None, repeats: fl
 def mix(docs: DataFrame, target_entropy: float | None = None, repeats: float = REPEATS, budget: int | None = None, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """docs (doc_id, text, source, any more) -> doc_id, source, n_tokens, weight, copies, block, block_rank, doc_rank_key.
 
-    copies: how often the document is in the mixture. An epoch's order is block_rank, doc_rank_key, doc_id. budget: tokens of
+    copies: how often the document is in the mixture. An epoch's order is block_rank, doc_rank_key, doc_id. blocks: the least
+    number of blocks a source; there are more where blocks would hold over BLOCK_TOKENS tokens. budget: tokens of
     the mixture; by default the least at which every document is used once, so that nothing is lost. A null text counts as
     empty, a null source as the empty name. Documents without tokens take nothing from the budget and go with each whole
     epoch, once where a source has no tokens at all (its weight is 0). Rows that repeat a doc_id count each. An empty table
     gives an empty result. Other columns are not read.
     """
     tokens = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), words(text_or_empty()).alias("n_tokens"))
-    tokens = stash(tokens.withColumn("block", F.pmod(F.xxhash64("doc_id", "source", F.lit(seed)), F.lit(blocks)).cast("int")), "mix-tokens")
+    tokens = stash(tokens, "mix-tokens")
+    blocks = max(blocks, -(-(tokens.agg(F.sum("n_tokens")).first()[0] or 0) // BLOCK_TOKENS))
+    tokens = tokens.withColumn("block", F.pmod(F.xxhash64("doc_id", "source", F.lit(seed)), F.lit(blocks)).cast("int"))
     per_block = tokens.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     shared = shares(per_block.select("source", F.col("block_tokens").alias("n_tokens")))
     shared = stash(shared, "mix-shares")
@@ -80,7 +83,7 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repeats: float = R
     plan = powered.crossJoin(F.broadcast(z)).select("source", "tokens", (F.col("q") / F.col("z")).alias("weight"), F.floor(wanted * (1 + 1e-9)).alias("wanted"))
     plan = plan.select("source", "weight", F.floor(F.col("wanted") / F.col("tokens")).cast("long").alias("epochs"), F.col("wanted").alias("w"), "tokens")
     plan = plan.select("source", "weight", "epochs", (F.col("w") - F.col("epochs") * F.col("tokens")).cast("long").alias("rest"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed + 1)), "block")  # at most `blocks` rows a source
+    order = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed + 1)), "block")  # a row a block of the source
     ranked = per_block.withColumn("block_rank", F.row_number().over(order)).withColumn("before", F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("block_tokens"))
     ranked = stash(ranked.join(plan, "source", "left").select("source", "block", "block_rank", "before", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("epochs", F.lit(1)).alias("epochs"), F.coalesce("rest", F.lit(0)).alias("rest"), "block_tokens"), "mix-blocks")
     placed = tokens.join(ranked, ["source", "block"]).withColumn("key", F.xxhash64("doc_id", F.lit(seed + 2)))

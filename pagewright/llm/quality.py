@@ -70,11 +70,14 @@ def with_statistics(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: block centres and means, both ascending."""
-    order = np.lexsort((labels, scores))
+    """Pooled adjacent violators: block centres and means, both ascending. Equal scores are one block from the start, so that
+    copies and empty texts get the mean of their labels."""
+    values, place = np.unique(scores, return_inverse=True)
+    count = np.bincount(place, minlength=len(values))
+    good = np.bincount(place, weights=labels, minlength=len(values))
     blocks: list[list[float]] = []  # label sum, count, score sum
-    for s, y in zip(scores[order].tolist(), labels[order].tolist(), strict=True):
-        blocks.append([y, 1, s])
+    for s, y, n in zip((values * count).tolist(), good.tolist(), count.tolist(), strict=True):
+        blocks.append([y, n, s])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             y1, n1, s1 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + y1, blocks[-1][1] + n1, blocks[-1][2] + s1]
@@ -98,7 +101,8 @@ class Model:
         return np.concatenate([np.cos(z @ self.w + self.b) * np.sqrt(2 / len(self.b)), z / 8, np.ones((len(z), 1))], axis=1)
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.features(stats) @ self.beta
+        """Rounded, since the last bits of a product depend on a row's place among others and equal texts must tie."""
+        return np.round(self.features(stats) @ self.beta, 10)
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(stats), self.x, self.y), 0, 1)
@@ -156,8 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 def quality_scores(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """docs (text, any more) -> the given columns, score (0 to 1, calibrated probability of label 1), predicted (1 from threshold on).
 
-    Null and empty texts are scored too, as texts without characters. Whole texts count; repeated rows are answered each; an
-    empty table gives an empty result; without any label every score is 0.5. Only `columns` and text are read.
+    Null and empty texts are scored too, as texts without characters. Whole texts count; repeated rows are answered each and a
+    null in `columns` is given back; equal texts get equal scores; an empty table gives an empty result; without any label
+    every score is 0.5. Only `columns` and text are read, so that other names can't clash.
     """
 
     def make():

@@ -1,8 +1,9 @@
 """Secrets in texts: patterns, and novelty under a dictionary-primed compressor.
 
-Three patterns give the base spans. Beside them, a run of key-like characters that stands soon after a sensitive word is a
-candidate; its novelty is the number of bytes that it adds when the code around it is compressed with zstandard primed by a
-dictionary of common identifiers, divided by its length. Words, paths and names that the surroundings or the dictionary
+Three patterns give the base spans. Beside them, a run of key-like characters with a sensitive word shortly before or after it
+is a candidate; its novelty is the number of bytes that it adds when the code around it is compressed with zstandard primed by
+a dictionary, divided by its length. The dictionary holds the identifiers of usual configurations and the commonest
+identifiers of the corpus (letters only, so that no secret can enter it), which tasks count in summaries of bounded size. Words, paths and names that the surroundings or the dictionary
 know compress well; random strings don't, and those are reported as kind `novel`. Other copies of the candidate are blanked
 in its surroundings, or a secret that stands twice would hide itself; and a string over fewer characters (hexadecimal, or
 digits and letters of one case) has fewer bits a character, so it needs less novelty.
@@ -15,7 +16,7 @@ from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts
+from .common import frequent, map_texts
 
 #: The base patterns, in the order of their kinds; the smallest length is of group 2 for assign, else of the match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -26,14 +27,18 @@ _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 #: Candidates, the words that make their context sensitive, characters of context for these and for the compressor, and the
 #: marginal bytes a character from which a candidate of both cases is reported.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"key|auth|bearer|cred|pwd|passw|passphrase|secret|token|private|signature|session|cookie|salt|cert", re.ASCII | re.IGNORECASE)
 NEAR, AROUND, NOVELTY = 48, 256, 0.75
 
 #: Smaller alphabets (hexadecimal may be grouped by hyphens), and the share of that from which their strings are reported: about
-#: where 99 of 100 random strings of 20 characters pass within code, as they do at NOVELTY for both cases.
+#: where 98 of 100 random strings of 16 characters or more pass within code, as they do at NOVELTY for both cases.
 ALPHABETS = ((re.compile(r"[0-9a-f-]+|[0-9A-F-]+"), 0.6), (re.compile(r"[0-9a-z]+|[0-9A-Z]+"), 0.77))
 
+#: Identifiers of the corpus: their form, how many of the commonest go into the dictionary, and their longest.
+WORD = re.compile(r"\b[A-Za-z_]{3,24}\b", re.ASCII)
+TABLE, LONGEST = 2048, 24
+
 IDENTIFIERS = """
 import from return class self def function const let var public private static void string int bool true false null None
 config configuration settings environment env export default value values name names type types list dict map set get put
@@ -60,6 +65,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def dictionary(docs: DataFrame, table: int = TABLE) -> str:
+    """The fixed identifiers and the `table` commonest ones of all texts, these at the end, where matches cost least."""
+    return IDENTIFIERS + " ".join(reversed(frequent(docs, WORD.findall, table, LONGEST)))
+
+
 class Novelty:
     """Marginal compressed bytes of a string within its surroundings."""
 
@@ -67,6 +77,7 @@ class Novelty:
         import zstandard
 
         primed = zstandard.ZstdCompressionDict(dictionary.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=3)
         self.size = lambda s, c=zstandard.ZstdCompressor(level=3, dict_data=primed, write_checksum=False, write_content_size=False): len(c.compress(s.encode("utf-8", "replace")))
 
     def __call__(self, before: str, candidate: str, after: str) -> float:
@@ -78,6 +89,16 @@ def least_share(candidate: str) -> float:
     return next((share for alphabet, share in ALPHABETS if alphabet.fullmatch(candidate)), 1.0)
 
 
+def is_name(candidate: str) -> bool:
+    """Whether it is put together like a name, path or date: words of three letters or more but for one, numbers of four
+    digits at most, and at most one number that touches a word. Such candidates are no secrets, however novel their words."""
+    if sum(len(w) < 3 for w in re.findall("[A-Z]?[a-z]+|[A-Z]+", candidate)) > 1:
+        return False
+    numbers = [m.span() for m in re.finditer("[0-9]+", candidate)]
+    glued = sum(candidate[max(0, s - 1) : s].isalpha() or candidate[e : e + 1].isalpha() for s, e in numbers)
+    return glued <= 1 and all(e - s <= 4 for s, e in numbers)
+
+
 def surroundings(text: str, s: int, e: int) -> tuple[str, str]:
     """AROUND characters before and after text[s:e], other copies of it blanked, also those that the edge cuts."""
     run, blank = text[s:e], " " * (e - s)
@@ -86,7 +107,7 @@ def surroundings(text: str, s: int, e: int) -> tuple[str, str]:
 
 
 def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty, threshold: float = NOVELTY) -> list[tuple[str, int, int]]:
-    """Candidates that touch no base span, stand after a sensitive word, mix letters with digits and don't compress."""
+    """Candidates that touch no base span, have a sensitive word near, mix letters with digits and don't compress."""
     out, taken = [], []
     for _, s, e in base:  # merged, so that their ends ascend too
         if taken and s <= taken[-1][1]:
@@ -97,10 +118,10 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty, t
     for m in RUN.finditer(text):
         s, e = m.span()
         at = bisect_right(ends, s)  # the first that ends after the candidate's start
-        if (at < len(taken) and taken[at][0] < e) or not SENSITIVE.search(text, max(0, s - NEAR), s):
+        if (at < len(taken) and taken[at][0] < e) or not (SENSITIVE.search(text, max(0, s - NEAR), s) or SENSITIVE.search(text, e, e + NEAR)):
             continue
         run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not is_name(run):
             before, after = surroundings(text, s, e)
             if novelty(before, run, after) >= threshold * least_share(run):
                 out.append(("novel", s, e))
@@ -111,11 +132,13 @@ def secret_spans(docs: DataFrame, threshold: float = NOVELTY) -> DataFrame:
     """docs (doc_id, text, any more) -> doc_id, found array<struct<kind, start, end>>, one row for each input row.
 
     Spans are in code points, end exclusive, by start, then kind. A null text counts as empty and has no span. Whole texts
-    are read; repeated rows are answered each; an empty table gives an empty result. Other columns are not read.
+    are read; repeated rows are answered each and a null doc_id is given back; an empty table gives an empty result. Other
+    columns are not read, so that their names can't clash.
     """
+    words = dictionary(docs)  # at most TABLE identifiers of LONGEST characters beside the fixed ones
 
     def make():
-        novelty = Novelty()
+        novelty = Novelty(words)
 
         def apply(cols):
             found = []

@@ -4,9 +4,9 @@ Equal fingerprints are one node. Two fingerprints that differ in at most RADIUS
 that the 64 bits are cut into, so they meet under one of the keys made of the other blocks. Whoever meets is compared by a
 pivot table: the Hamming distances of each fingerprint to the same reference fingerprints. By the triangle inequality a
 pair whose distances to some pivot differ by more than the radius can't be near; survivors are verified bit by bit. From a
-key's members only a spanning forest of links goes on, and large keys are searched through leaders (pivots taken from
-the members themselves), or cut into chunks whose pairs are separate units of work. No link between different fingerprints
-is lost, and components follow from the links.
+key's members only a spanning forest of links goes on. Within a large key the pivot table finds each leader's members first,
+so that not all pairs are listed; larger ones still are cut into chunks whose pairs are separate units of work. No link
+between different fingerprints is lost, and components follow from the links.
 """
 
 from __future__ import annotations
@@ -96,15 +96,17 @@ class PivotTable:
         return at[np.bitwise_count(fps[i[at]] ^ fps[j[at]]) <= self.radius]
 
 
-def _led(fps: np.ndarray, forest: Forest, base: int, radius: int) -> None:
-    """Links within one large key: every member joins the first leader in reach; clusters are compared only as far as their
-    leaders' distance allows and as long as they are apart."""
-    free, members = np.ones(len(fps), bool), []
+def _led(fps: np.ndarray, forest: Forest, base: int, pivots: PivotTable) -> None:
+    """Links within one large key: every member joins the first leader in reach, found through the pivot table; clusters are
+    compared only as far as their leaders' distance allows and as long as they are apart, by the pivot table again."""
+    radius, table = pivots.radius, pivots.coordinates(fps)
+    free, members = np.arange(len(fps)), []
     leaders = []
-    while free.any():
-        lead = int(np.argmax(free))
-        own = np.flatnonzero(free & (np.bitwise_count(fps ^ fps[lead]) <= radius))
-        free[own] = False
+    while len(free):
+        lead = int(free[0])
+        hit = pivots.near(fps, table, free, np.full(len(free), lead))
+        own = free[hit]
+        free = np.delete(free, hit)
         leaders.append(lead)
         members.append(own)
         for x in own[1:].tolist():
@@ -116,12 +118,15 @@ def _led(fps: np.ndarray, forest: Forest, base: int, radius: int) -> None:
             if b == a or (len(members[b]) > 1 and b < a):
                 continue
             x, y = members[a], members[b]
-            for at in range(0, len(x), 512):
+            step = max(1, (1 << 18) // len(y))
+            for at in range(0, len(x), step):
                 if forest.root(base + leaders[a]) == forest.root(base + leaders[b]):
                     break
-                hit = np.argwhere(np.bitwise_count(fps[x[at : at + 512], None] ^ fps[None, y]) <= radius)
+                some = x[at : at + step]
+                i, j = np.repeat(some, len(y)), np.tile(y, len(some))
+                hit = pivots.near(fps, table, i, j)
                 if len(hit):
-                    forest.link(base + int(x[at + hit[0][0]]), base + int(y[hit[0][1]]))
+                    forest.link(base + int(i[hit[0]]), base + int(j[hit[0]]))
 
 
 def links_within(fps: np.ndarray, bounds: np.ndarray, table: PivotTable) -> list[tuple[int, int]]:
@@ -140,7 +145,7 @@ def links_within(fps: np.ndarray, bounds: np.ndarray, table: PivotTable) -> list
             for k in table.near(fps, coordinates, x, y).tolist():
                 forest.link(int(x[k]), int(y[k]))
     for k in np.flatnonzero(size > LEADERS_FROM).tolist():
-        _led(fps[bounds[k] : bounds[k + 1]], forest, int(bounds[k]), table.radius)
+        _led(fps[bounds[k] : bounds[k + 1]], forest, int(bounds[k]), table)
     return forest.links
 
 

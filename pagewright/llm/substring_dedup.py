@@ -3,19 +3,25 @@
 A byte goes if a LENGTH-byte string that covers it also starts earlier (smaller doc_id, or same document, earlier start).
 
 Every window of LENGTH bytes has an anchor: the smallest, by hash, of its SEED_BYTES-byte strings. Equal windows have equal
-anchors, and successive windows with one anchor form a run. A run's context, the bytes of its windows, is known by a hash.
-1. Tasks find the runs of their texts and keep the first of equal runs in a slice of documents; the rest is covered. A hot
-   passage so leaves one row a slice.
+anchors, and successive windows with one anchor form a run. A run's context, the bytes of its windows, is known by a hash;
+runs count as equal if anchor's and context's hashes, 128 bits together, are.
+1. Tasks find the runs of their texts and keep the first of equal runs in a slice of documents, and of those that are common
+   in a slice the first that the task has met so far; the rest is covered. A hot passage so leaves a few rows a task.
 2. Runs meet by anchor. Runs with equal contexts: all but the first are covered. An anchor with one context is done.
-3. Anchors with several contexts, where repeats begin or end, go on with the first run of each context. Their bytes are cut
-   from the documents and the enhanced suffix arrays of whole anchors give the maximal repeats with all their occurrences;
-   all but the first occurrence are covered.
-4. Each document's covered stretches are merged and cut out.
+3. Anchors with several contexts, where repeats begin or end, go on with the first run of each context, and their bytes are
+   cut from the documents. Anchors with over CROWD contexts get longer: a run is parted by where the anchor stands in its
+   windows, and the bytes that all windows of a part have around the anchor become the part's anchor. Equal windows stay
+   together, runs with different surroundings part, and at the latest an anchor of LENGTH bytes tells all windows apart. So no
+   anchor, however hot, brings over CROWD contexts into one suffix array.
+4. The enhanced suffix arrays of whole anchors give the maximal repeats with all their occurrences; all but the first
+   occurrence are covered.
+5. Each document's covered stretches are merged and cut out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +31,11 @@ from pyspark.sql import functions as F
 from .common import stash
 from .suffix_array import SuffixArray
 
-#: Bytes of a repeat, of an anchor, documents of a slice, positions hashed at a time, context bytes of a suffix array.
-LENGTH, SEED_BYTES, SLICE, STEP, ARRAY_BYTES = 100, 32, 256, 1 << 17, 1 << 20
-#: doc_id of a row without one: after all others.
-LAST = (1 << 63) - 1
+#: Bytes of a repeat, of an anchor, documents of a slice, positions hashed at a time, context bytes of a suffix array, most
+#: contexts of an anchor, and runs from which a context is common in a slice, with the most of these that a task remembers.
+LENGTH, SEED_BYTES, SLICE, STEP, ARRAY_BYTES, CROWD, COMMON, KEPT = 100, 32, 256, 1 << 17, 1 << 20, 512, 8, 1 << 16
+#: A run's `windows` hold their number in the low bits, and above them where the anchor stands in the first of them.
+PLACE = 1 << 12
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -58,7 +65,7 @@ class Roller:
 
     def runs(self, raw: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
         """raw: bytes, end: for each position the end of its document (both as far as windows from the first STEP positions
-        reach). Returns anchor hash, context hash, first window, windows, of each run that begins at one of those."""
+        reach). Returns anchor hash, context hash, first window, windows (with PLACE), of each run that begins at one of those."""
         k, w = self.k, self.length - self.k + 1
         starts = np.flatnonzero(np.arange(min(STEP, len(raw))) + self.length <= end[:STEP])
         if not len(starts):
@@ -81,7 +88,7 @@ class Roller:
         count = np.diff(np.concatenate([at, [len(starts)]]))
         begin = starts[at]
         context = self._mixed((total[begin + count - 1 + self.length] - total[begin]) * self.inverse[begin] + count.astype(np.uint64) * np.uint64(_BASE))
-        return h[place[at]], context, begin, count
+        return h[place[at]], context, begin, count + PLACE * (place[at] - begin)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -89,7 +96,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
-            ids = np.array([LAST if i is None else i for i in part.column(0).to_pylist()], np.int64)
+            ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(ids, kind="stable")
             texts = part.column(1).to_pylist()
             yield ids[order], [texts[i] or b"" for i in order.tolist()]
@@ -99,11 +106,11 @@ RUNS = "anchor long, context long, doc long, pos long, windows int"
 
 
 def runs_of(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs (doc long, raw binary) -> RUNS. context 0 marks a run that an equal one of its slice precedes; its anchor only
-    spreads it."""
+    """docs (doc long not null, raw binary) -> RUNS. context 0 marks a run that an equal one of its task precedes; its anchor
+    only spreads it."""
 
     def run(batches):
-        roller = Roller(length)
+        roller, earliest = Roller(length), {}
         for ids, texts in _slices(batches):
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             ends = np.cumsum(sizes)
@@ -120,9 +127,17 @@ def runs_of(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             owner = np.searchsorted(ends, begin, side="right")
             doc, pos = ids[owner], begin - (ends - sizes)[owner]
             context[context == 0] = 1
-            _, head, group = np.unique(context, return_index=True, return_inverse=True)
-            head = head[group]
-            again = (doc != doc[head]) | (pos != pos[head])
+            known, head, group, n = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
+            again = (doc != doc[head[group]]) | (pos != pos[head[group]])
+            if len(earliest) > KEPT:
+                earliest = {}
+            for k in np.flatnonzero(n >= COMMON).tolist():
+                i = int(head[k])
+                own, key = (int(doc[i]), int(pos[i])), (int(known[k]), int(anchor[i]))
+                if earliest.get(key, own) < own:
+                    again[i] = True
+                else:
+                    earliest[key] = own
             anchor = np.where(again, roller._mixed(context + doc.astype(np.uint64)), anchor)
             context = np.where(again, np.uint64(0), context)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(count.astype(np.int32))], ["anchor", "context", "doc", "pos", "windows"])
@@ -174,11 +189,21 @@ def resolved(runs: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "open boolean, " + RUNS)
 
 
+CUT = "anchor long, doc long, pos long, place int, low int, high int, bytes binary"
+
+
+def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], [n for n, _ in schema])
+
+
+_CUT = [("anchor", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("bytes", pa.binary())]
+
+
 def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The bytes of the wanted runs, cut from their documents: anchor, doc, pos, bytes. A document's runs go to it as one list,
-    which its own length bounds."""
+    """The bytes of the wanted runs (RUNS), cut from their documents: CUT. place is where the anchor begins in them, low..high
+    where it may stand in a window. A document's runs go to it as one list, which its own length bounds."""
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "pos", "windows")).alias("runs"))
-    joined = docs.where(F.col("doc") != LAST).join(per_doc, "doc").select("doc", "raw", "runs")
+    joined = docs.join(per_doc, "doc").select("doc", "raw", "runs")
 
     def run(batches):
         for batch in batches:
@@ -186,11 +211,60 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFr
                 part = batch.slice(at, 64)
                 rows = []
                 for doc, raw, runs in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    rows += [(r["anchor"], doc, r["pos"], raw[r["pos"] : r["pos"] + r["windows"] - 1 + length]) for r in runs]
+                    rows += [(r["anchor"], doc, r["pos"], r["windows"] // PLACE, 0, length - SEED_BYTES, raw[r["pos"] : r["pos"] + r["windows"] % PLACE - 1 + length]) for r in runs]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "doc", "pos", "bytes"])
+                    yield _batch(rows, _CUT)
+
+    return joined.mapInArrow(run, CUT)
+
 
-    return joined.mapInArrow(run, "anchor long, doc long, pos long, bytes binary")
+def longer_anchors(cut: DataFrame, length: int = LENGTH) -> DataFrame:
+    """CUT -> context long, CUT: each run in two parts, the windows in which the anchor stands at low..middle and at middle+1
+    ..high bytes from the start. The bytes that windows with these places have in common are the part's anchor."""
+    schema = [("context", pa.int64()), *_CUT]
+
+    def run(batches):
+        import xxhash
+
+        def signed(raw, seed):
+            return xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                rows = []
+                for doc, pos, place, low, high, raw in zip(*(part.column(c).to_pylist() for c in ("doc", "pos", "place", "low", "high", "bytes")), strict=True):
+                    middle = (low + high) // 2
+                    for lo, hi in ((low, middle), (middle + 1, high)):
+                        first, last = max(0, place - hi), min(len(raw) - length, place - lo)
+                        if first <= last and lo <= hi:
+                            own = raw[first : last + length]
+                            rows.append((signed(own, 1), signed(raw[place - lo : place - hi + length], 2 + lo), doc, pos + first, place - first, lo, hi, own))
+                if rows:
+                    yield _batch(rows, schema)
+
+    return cut.mapInArrow(run, "context long, " + CUT)
+
+
+def part_crowds(cut: DataFrame, crowds: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """CUT, crowds (anchor) -> (anchor, doc, pos, bytes with at most `crowd` contexts an anchor; doc, start, end of covered
+    stretches). A round halves low..high; where they meet, contexts are anchors and no anchor has several. Counts, minima and
+    joins combine on the map side or can be split by adaptive execution, so hot anchors and contexts stay spread."""
+    own = ["anchor", "doc", "pos", "bytes"]
+    calm, covered = cut.join(crowds, "anchor", "left_anti").select(own), []
+    rows = cut.join(crowds, "anchor", "left_semi").select(*cut.columns)
+    while True:
+        parts = stash(longer_anchors(rows, length), "substring-parts")
+        heads = parts.groupBy("anchor", "context").agg(F.min(F.struct("doc", "pos")).alias("head"))
+        several = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+        heads = heads.join(several, "anchor").select("anchor", "context", F.col("head.doc").alias("head_doc"), F.col("head.pos").alias("head_pos"), "n")
+        met = stash(parts.join(heads, ["anchor", "context"]), "substring-parted")
+        is_head = (F.col("doc") == F.col("head_doc")) & (F.col("pos") == F.col("head_pos"))
+        covered.append(met.where(~is_head).select("doc", F.col("pos").alias("start"), (F.col("pos") + F.length("bytes")).alias("end")))
+        calm = calm.unionByName(met.where(is_head & (F.col("n") > 1) & (F.col("n") <= crowd)).select(own))
+        rows = met.where(is_head & (F.col("n") > crowd)).select(*cut.columns)
+        if rows.isEmpty():
+            return calm, reduce(DataFrame.union, covered)
 
 
 def covered_by_repeats(doc: np.ndarray, pos: np.ndarray, strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +297,8 @@ def covered_by_repeats(doc: np.ndarray, pos: np.ndarray, strings: list[bytes], l
 
 
 def repeats_within(cut: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Contexts -> doc, start, end of covered stretches; whole anchors go into a suffix array together."""
+    """anchor, doc, pos, bytes -> doc, start, end of covered stretches; whole anchors go into a suffix array together, a run
+    that stands twice, since rows repeat its document, once."""
     met = cut.repartition("anchor").sortWithinPartitions("anchor", "doc", "pos")
 
     def found(rows):
@@ -231,9 +306,12 @@ def repeats_within(cut: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], ["doc", "start", "end"])
 
     def run(batches):
-        rows, size = [[], [], [], []], 0
+        rows, size, before = [[], [], [], []], 0, None
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if row[:3] == before:
+                    continue
+                before = row[:3]
                 if size >= ARRAY_BYTES and row[0] != rows[0][-1]:
                     yield found(rows)
                     rows, size = [[], [], [], []], 0
@@ -246,7 +324,7 @@ def repeats_within(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     return met.mapInArrow(run, "doc long, start long, end long")
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """docs (doc_id, text, any more) -> doc_id, kept binary, n_bytes, n_removed, n_spans, one row for each input row.
 
     Texts are UTF-8 bytes, so a cut may fall within a character; matches never cross documents; strings are judged on the
@@ -255,12 +333,21 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     empty result. Columns beyond doc_id and text are not read. doc_id: an integer.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    bytes_ = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-    met = stash(resolved(runs_of(bytes_, length)), "substring-runs")
-    whole = met.where("not open").select("doc", F.col("pos").alias("start"), (F.col("pos") + F.col("windows") - 1 + length).alias("end"))
-    part = stash(repeats_within(contexts(bytes_, met.where("open"), length), length), "substring-repeats")
-    spans = whole.union(part).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = bytes_.join(spans.where(F.col("doc") != LAST), "doc", "left").select("doc", "raw", "spans")
+    bytes_ = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+    named = bytes_.where("doc is not null")
+    met = stash(resolved(runs_of(named, length)), "substring-runs")
+    whole = met.where("not open").select("doc", F.col("pos").alias("start"), (F.col("pos") + F.col("windows") % PLACE - 1 + length).alias("end"))
+    wanted = met.where("open").drop("open")
+    crowds = stash(wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("anchor"), "substring-crowds")
+    cut = contexts(named, wanted, length)
+    if crowds.isEmpty():
+        calm, parted = cut.select("anchor", "doc", "pos", "bytes"), None
+    else:
+        calm, parted = part_crowds(stash(cut, "substring-contexts"), crowds, length, crowd)
+    part = stash(repeats_within(calm, length), "substring-repeats")
+    spans = whole.union(part) if parted is None else whole.union(part).union(parted)
+    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = bytes_.join(spans, "doc", "left").select("doc", "raw", "spans")
 
     def cut(batches):
         for batch in batches:
@@ -276,7 +363,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                             runs.append([s, e])
                     edges = [0, *(x for r in runs for x in r), len(raw)]
                     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((None if doc == LAST else doc, kept, len(raw), len(raw) - len(kept), len(runs)))
+                    rows.append((doc, kept, len(raw), len(raw) - len(kept), len(runs)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 

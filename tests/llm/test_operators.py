@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from pagewright.llm import common, components, decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, secret_scan, simhash, substring_dedup, suffix_array, token_counts
 
 
@@ -36,7 +38,7 @@ def test_exact_dedup(docs, corpus, empty, odd):
 
 def test_exact_dedup_directory_doubles(spark):
     keys = spark.range(2000).selectExpr("xxhash64(id) as key")
-    rows = exact_dedup.directory(keys, capacity=50, max_depth=8).collect()
+    rows = exact_dedup.directory(keys.distinct(), capacity=50, max_depth=8).collect()
     assert sorted(r["prefix"] for r in rows) == list(range(256))
     sizes = defaultdict(int)
     counts = defaultdict(int)
@@ -90,6 +92,31 @@ def test_simhash(docs, corpus, empty, odd):
     assert simhash.simhash_groups(odd).count() == 6
 
 
+def test_null_ids_repeated_rows_and_clashing_names(spark, docs, odd, corpus):
+    """Operators that answer each row by itself: as many rows as given, equal rows alike, a null doc_id given back."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, *_) in enumerate(corpus)], "doc_id long, quality int")
+    model, prototypes = quality.fit(docs, labels), language_id.fit(docs)
+    both = odd.unionByName(odd.where("doc_id is null"))
+    for name, out in {
+        "tokens": token_counts.token_counts(both, path), "secrets": secret_scan.secret_spans(both),
+        "language": language_id.language_id(both, prototypes), "quality": quality.quality_scores(both, model),
+    }.items():
+        rows = [str(r.asDict()) for r in out.collect()]
+        assert len(rows) == 8 and sum("'doc_id': None" in r for r in rows) == 4, name
+        assert len(set(rows)) <= 4, name
+    bench = spark.createDataFrame([(7, corpus[1][1]), (7, corpus[1][1]), (None, corpus[0][1])], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    found = sorted((x["doc_id"] is None, x["item_id"] is None) for x in decontaminate.contamination(odd, bench).collect())
+    assert found == [(False, False)] * 8 + [(True, True)]  # rows 1 and 20 hold the same words, each twice
+
+
+def test_letters_beyond_the_common_planes(spark):
+    rows = [(1, "abc abd abc", "aa"), (2, "\U00030000\U00030001\U00031350", "zz"), (3, "\U00030000\U00030001", None), (4, "\U0001f600 12", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(language_id.language_id(df, language_id.fit(df)))
+    assert [got[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["aa", "zz", "zz", "und"]
+
+
 @pytest.mark.parametrize("chunk", [20_000, 7])
 def test_simhash_links_of_dense_groups(spark, chunk):
     r = np.random.default_rng(2)
@@ -143,7 +170,39 @@ def test_substring_dedup(docs, corpus, empty, odd, monkeypatch):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in substring_dedup.substring_dedup(docs).collect()}
     assert got == brute_substrings(corpus)
     assert substring_dedup.substring_dedup(empty).count() == 0
-    assert substring_dedup.substring_dedup(odd).count() == 6
+    rows = substring_dedup.substring_dedup(odd).collect()
+    assert len(rows) == 6 and all(r["n_removed"] == 0 for r in rows if r["doc_id"] is None)
+
+
+def substrings(df, **more):
+    return sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in substring_dedup.substring_dedup(df, **more).collect())
+
+
+def test_substring_dedup_of_repeated_rows(spark):
+    r = np.random.default_rng(12)
+    text = lambda n: "".join(r.choice(list("abcdefgh "), n))
+    shared = text(180)
+    last = (1 << 63) - 1
+    rows = [(1, text(90) + shared + text(60)), (2, text(30) + shared + text(250)), (3, text(40) + shared[20:150] + text(10)), (last, text(10) + shared[:120])]
+    want = {i: v for i, v in brute_substrings([(i, t) for i, t in rows]).items()}
+    for again in ([], [0], [1], [0, 0, 1, 2, 3]):
+        given = rows + [rows[k] for k in again]
+        got = substrings(spark.createDataFrame(given, "doc_id long, text string").repartition(3))
+        assert got == sorted((i, *want[i]) for i, _ in given), again
+
+
+@pytest.mark.parametrize("crowd", [1, 12])
+def test_substring_dedup_of_crowded_anchors(spark, crowd):
+    """One passage within many different surroundings: anchors get longer until no array holds over `crowd` contexts."""
+    r = np.random.default_rng(13)
+    text = lambda n: "".join(r.choice(list("abcdefgh "), n))
+    phrase, tails = text(70), [text(45) for _ in range(4)]
+    rows = [(i, text(int(r.integers(30, 90))) + phrase + tails[i % 4][: int(r.integers(5, 45))] + text(int(r.integers(20, 60)))) for i in range(60)]
+    rows += [(100 + i, text(40) + phrase + phrase[: int(r.integers(10, 70))] + text(50)) for i in range(10)]
+    rows += [rows[5], rows[62]]
+    want = brute_substrings(list(dict(rows).items()))
+    assert substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), crowd=crowd) == sorted((i, *want[i]) for i, _ in rows)
+    assert any(v[1] for v in want.values())
 
 
 def test_roller_is_the_same_in_any_place():
@@ -154,7 +213,8 @@ def test_roller_is_the_same_in_any_place():
     for lead in (0, 1, 57, 1000):
         raw = np.concatenate([r.integers(97, 101, lead, np.uint8), common, r.integers(97, 101, 50, np.uint8)])
         anchor, context, begin, count = roller.runs(raw, np.full(len(raw), len(raw)))
-        assert (count <= 69).all() and count.sum() == len(raw) - 99
+        assert (count % substring_dedup.PLACE <= 69).all() and (count % substring_dedup.PLACE).sum() == len(raw) - 99
+        count %= substring_dedup.PLACE
         found.append({(int(a), int(c)) for a, c, b, n in zip(anchor, context, begin, count, strict=True) if b >= lead + 1 and b + n + 99 < lead + 400})
     inner = set.intersection(*found)
     assert len(inner) >= len(found[0]) - 2
@@ -226,6 +286,28 @@ def test_secrets_of_small_alphabets():
         assert not secret_scan.novel_spans(f"auth_header = '{word}'", [], novelty)
 
 
+def test_secret_recall_and_false_alarms(spark):
+    """Planted strings of three alphabets from 16 characters on, before or after a sensitive word, and names, paths, dates."""
+    r = np.random.default_rng(6)
+    names = "config user client session request response handler value index buffer cache update fetch parse render total".split()
+    base62 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    novelty = secret_scan.Novelty(secret_scan.dictionary(spark.createDataFrame([(" ".join(r.choice(names, 30)),) for _ in range(50)] + [(None,)], "text string")))
+    for n in (62, 36, 16):
+        found = 0
+        for k in range(200):
+            code = "".join(f"    {x}_{y} = {z}.get({n})\n" for x, y, z, n in zip(*r.choice(names, (3, 8)), r.integers(0, 1000, 8), strict=True))
+            key = "a1" + "".join(r.choice(list(base62[:n]), int(r.integers(14, 40))))
+            text = f"{code}auth_header = '{key}'\n{code}" if k % 2 else f"{code}x = '{key}'  # session\n{code}"
+            found += ("novel", text.index(key), text.index(key) + len(key)) in secret_scan.novel_spans(text, [], novelty)
+        assert found >= 190, n
+    alarms = 0
+    for _ in range(100):
+        a, b, c = r.choice(names, 3)
+        for name in (f"{a}_{b}_{c}{r.integers(99)}", f"/usr/lib/{a}/{b}{r.integers(9)}", f"{a.title()}{b.title()}{c.title()}{r.integers(9)}", f"2024-01-{r.integers(10, 28)}-session-{a}", f"{a}/{b}/{c}/v2/{a}"):
+            alarms += bool(secret_scan.novel_spans(f"auth key: {name} end of the line", [], novelty))
+    assert alarms <= 5
+
+
 def test_token_counts(docs, corpus, empty, spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -284,6 +366,11 @@ def test_quality(spark, empty):
 def test_isotonic():
     x, y = quality.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0.0, 1, 0, 1, 1]))
     assert list(y) == [0, 0.5, 1] and (np.diff(x) > 0).all()
+    for labels in ((0.0, 1.0), (1.0, 0.0)):  # equal scores share the mean of their labels
+        x, y = quality.isotonic(np.array([0.5, 0.5]), np.array(labels))
+        assert list(x) == [0.5] and list(y) == [0.5]
+    x, y = quality.isotonic(np.array([0.1, 0.1, 0.1, 0.7]), np.array([0.0, 0, 1, 1]))
+    assert np.allclose(x, [0.1, 0.7]) and np.allclose(y, [1 / 3, 1])
 
 
 def brute_lines(rows, line=line_dedup.LINE, rare=line_dedup.RARE, block=line_dedup.BLOCK):
@@ -326,6 +413,49 @@ def test_line_dedup_of_short_lines(spark):
     assert got == {**dict(rows), 2: "two\nstop"}
 
 
+def test_line_dedup_of_common_lines_in_many_documents(spark):
+    """Eight documents share a block whose every line also stands in two earlier documents by itself."""
+    lines = [f"{c * 39}{k}" for k, c in enumerate("pqrs")]
+    rows = [(k, f"first {k}\n{x}\nlast {k}") for k, x in enumerate(lines * 2)]
+    rows += [(20 + k, "\n".join([f"own line {k}", *lines, f"other line {k}"])) for k in range(8)]
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {20 + k: f"own line {k}\nother line {k}" for k in range(1, 8)}
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """Documents put together from blocks of several lines: of each block that an earlier document holds nothing may stay. The
+    brute force knows nothing of keys or alignment."""
+    r = np.random.default_rng(31)
+    blocks = ["\n".join(f"block {b} line {k} " + "z" * int(r.integers(10, 60)) for k in range(int(r.integers(3, 7)))) for b in range(40)]
+    rows = []
+    for i in range(150):
+        own = sorted(r.choice(40, int(r.integers(0, 4)), replace=False).tolist())
+        parts = [f"only in {i}, part 0"]
+        for n, b in enumerate(own):
+            parts += [blocks[b], f"only in {i}, part {n + 1}"]
+        rows.append((i, "\n".join(parts), own))
+    seen, want = set(), {}
+    for i, text, own in rows:
+        gone = {line for b in own if b in seen and len(blocks[b]) >= line_dedup.BLOCK for line in blocks[b].split("\n")}
+        want[i] = "\n".join(x for x in text.split("\n") if x not in gone)
+        seen.update(own)
+    got = {x["doc_id"]: x["kept_text"] for x in line_dedup.line_dedup(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_longest_common_block():
+    r = np.random.default_rng(17)
+    for _ in range(300):
+        a, b = (r.integers(0, 3, r.integers(1, 12)).tolist() for _ in range(2))
+        size = r.integers(1, 9, 3)  # equal lines have equal sizes
+        upto = np.concatenate([[0], np.cumsum(size[a])]).tolist()
+        i, j, n = line_dedup._longest_block(a, b, 0, len(a), 0, len(b), upto)
+        assert a[i : i + n] == b[j : j + n]
+        want = max((upto[x + m] - upto[x] for x in range(len(a)) for y in range(len(b)) for m in range(1, 12) if x + m <= len(a) and a[x : x + m] == b[y : y + m]), default=0)
+        assert upto[i + n] - upto[i] == want
+    assert line_dedup.patience([1, 2, 1, 2], [9, 1, 2, 1, 2, 8]) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+
+
 def test_runs_cover_every_block():
     r = np.random.default_rng(3)
     for _ in range(100):
@@ -393,29 +523,84 @@ def test_decontamination_of_more_passages_than_directions(spark):
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
     bench = spark.createDataFrame(long + [(k, " ".join(x)) for k, x in light], "item_id long, text string")
     assert {(x["doc_id"], x["item_id"]) for x in decontaminate.contamination(docs, bench).collect()} == {(k, k) for k, _ in light}
-    assert all(len(b.passages) <= decontaminate.RANK for b in decontaminate.blocks(bench))
+    assert all(len(b.passages) <= 100 for b in decontaminate.blocks(bench, 100)) and len(list(decontaminate.blocks(bench, 100))) > 1
 
 
 def test_decontamination_of_an_item_of_many_passages(spark):
     item = " ".join(f"w{i}" for i in range(200))
     docs = spark.createDataFrame([(1, "some words before " + item), (1, "some words before " + item), (2, "no such words"), (3, item + " after")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "w1 w2"), (8, item), (9, "nothing at all of it")], "item_id long, text string")
-    got = sorted((x["doc_id"], x["coverage"]) for x in decontaminate.contamination(docs, bench, rank=4).where("item_id = 8").collect())
+    got = sorted((x["doc_id"], x["coverage"]) for x in decontaminate.contamination(docs, bench, rank=4, most=4).where("item_id = 8").collect())
     assert got == [(1, 1.0), (1, 1.0), (3, 1.0)]
 
 
-def test_inverse_frequencies(spark):
+def test_document_frequencies(spark):
     texts = ["a b c " * 30, "b", None, "c d " * 40 + "a"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    block = decontaminate.Block([(0, [b"a", b"b", b"zz"])])
+    hashes = decontaminate.Hashes()
+    block = decontaminate.Block([(0, hashes.of("a b zz"))])
+    terms = {w: int(np.searchsorted(block.terms, hashes[w])) for w in (b"a", b"b", b"zz")}
     counts, n = np.zeros(3), 0
     for t in texts:
         x = decontaminate.words(t)
         for a in decontaminate.starts(len(x)):
             n += 1
-            for w in set(x[a : a + decontaminate.WINDOW]) & set(block.terms):
-                counts[block.terms[w]] += 1
-    assert np.allclose(decontaminate.inverse_frequencies(decontaminate.term_ids(docs, block), 3), np.log((1 + n) / (1 + counts)))
+            for w in set(x[a : a + decontaminate.WINDOW]) & set(terms):
+                counts[terms[w]] += 1
+    assert decontaminate.document_frequencies(decontaminate.word_hashes(docs), block).tolist() == [*counts, n]
+
+
+def test_latent_space_is_that_of_the_svd(spark):
+    r = np.random.default_rng(7)
+    weights = r.random(60) + 0.1
+    passages = [r.choice(60, 20, p=np.arange(1, 61) / 1830).tolist() for _ in range(80)]
+    a = np.stack([np.bincount(p, minlength=60) * weights for p in passages])
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    want = np.linalg.svd(a, full_matrices=False)[2][:40]
+    got = decontaminate.latent_space(spark.createDataFrame([(p,) for p in passages], "terms array<int>").repartition(3), weights, 40)
+    assert got.shape == (60, 40) and np.allclose(got.T @ got, np.eye(40), atol=1e-4)
+    assert np.linalg.norm(a @ got) ** 2 > 0.99 * np.linalg.norm(a @ want.T) ** 2
+
+
+def test_decontamination_recall_of_paraphrases(spark):
+    """Items with 0 to 30 in 100 words replaced, against what the checks on words alone would accept, by brute force."""
+    r = np.random.default_rng(21)
+    vocabulary = np.array(["".join(r.choice(list("abcdefghijklmnop"), r.integers(2, 9))) for _ in range(3000)])
+    text = lambda n: list(vocabulary[(3000 * r.random(n) ** 2).astype(int)])
+    items = [(k, text(int(r.integers(20, 70)))) for k in range(150)]
+    rows, planted = [(1000 + i, text(200)) for i in range(100)], {}
+    for rate in (0, 10, 20, 30):
+        for k, x in items:
+            i = 10_000 * (rate + 1) + k
+            changed = [w if r.random() * 100 >= rate else str(r.choice(vocabulary)) for w in x]
+            at = int(r.integers(0, 60))
+            rows.append((i, text(at) + changed + text(80 - at)))
+            planted[i] = (rate, k)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contamination(docs, bench, rank=64).collect()}
+    assert got == {(i, planted[i][1]) for i, _ in got}  # clean documents are left alone
+    share = {rate: np.mean([(i, k) in got for i, (q, k) in planted.items() if q == rate]) for rate in (0, 10, 20, 30)}
+    assert share[0] == 1 and share[10] >= 0.95 and share[20] >= 0.8, share  # the coverage asked for is 70 in 100
+    block = next(decontaminate.blocks(bench))
+    weights = decontaminate.weights_of(decontaminate.document_frequencies(decontaminate.word_hashes(docs), block))
+    every = decontaminate.Search(block, weights, [])
+    hashes, texts, accepted = decontaminate.Hashes(), dict(rows), set()
+    for i, (_, k) in planted.items():
+        item, near = block.items[block.names.index(k)], block.numbers(hashes.of(" ".join(texts[i])).tobytes()).tolist()
+        answer = every.answers[block.names.index(k)]
+        if decontaminate.common_length(item, near) >= decontaminate.COVERED * len(item) and len(answer.intersection(near)) >= decontaminate.ANSWERED * len(answer):
+            accepted.add((i, k))
+    assert got <= accepted and len(got) >= 0.99 * len(accepted)
+
+
+def test_decontamination_of_long_items_and_unspaced_scripts(spark):
+    long = " ".join(f"w{i}" for i in range(70_000))
+    chinese = "今天天气很好我们一起去公园散步然后回家吃晚饭看书睡觉明天再去学校上课"
+    docs = spark.createDataFrame([(1, f"引言部分{chinese}结尾部分"), (2, "完全不同的内容没有任何关系"), (None, f"a {chinese}"), (3, long + " end"), (3, long + " end")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, chinese), (2, long)], "item_id long, text string")
+    got = sorted(((x["doc_id"] or 0, x["item_id"]) for x in decontaminate.contamination(docs, bench, rank=8).select("doc_id", "item_id").collect()))
+    assert got == [(0, 1), (1, 1), (3, 2), (3, 2)]
 
 
 def test_mixing(docs, corpus, empty, odd):
