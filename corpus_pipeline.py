@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import crc_mod, stash
+from pagewright.llm.common import crc_mod, discard, stash, stashes
 from pagewright.llm.decontaminate import contamination
 from pagewright.llm.exact_dedup import exact_dedup
 from pagewright.llm.language_id import UNKNOWN, fit, language_id
@@ -17,13 +17,19 @@ from pagewright.llm.mixing import mix
 from pagewright.llm.simhash import simhash_groups
 
 
+#: Cosine with the best profile under which a text is in none of the learned languages, and characters from which that can
+#: be told: shorter clean texts have few trigrams and reach low cosines by chance.
+LEAST_SCORE, ENOUGH = 0.1, 200
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: null texts and texts without letters. Profiles are learned from the
-    same documents as for the query of language ID."""
+    """Drops documents in none of the learned languages: null texts, texts without letters, and texts of ENOUGH characters or
+    more whose score is under LEAST_SCORE. Profiles are learned from the same documents as for the query of language ID."""
     held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     away = {c: f"__input_{c}" for c in docs.columns if c in ("lang_pred", "score")}  # names that the operator gives
     renamed = docs.withColumnsRenamed(away)
-    told = language_id(renamed, fit(docs.where(~held)), tuple(renamed.columns)).where(F.col("lang_pred") != UNKNOWN)
+    told = language_id(renamed, fit(docs.where(~held)), tuple(renamed.columns))
+    told = told.where((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= LEAST_SCORE) | (F.length("text") < ENOUGH)))
     return told.select(renamed.columns).withColumnsRenamed({v: k for k, v in away.items()})
 
 
@@ -57,8 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; what a stage returns is written as Parquet and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies STAGES to documents; what a stage returns is written as Parquet and read again for the next, and what was
+    written on the way to it is removed."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), stashes()
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), name)
+        discard(spark, start, keep=1)
     return docs
