@@ -26,27 +26,27 @@ def doc_modes(d):
 def font_mode(d):
     """The commonest font of a document, the first seen on ties, and its size."""
     return f"""select x.doc_id, x.font_id, f.font_size as font_size_mode from (select doc_id, font_id, row_number() over (partition by doc_id order by n desc, p) as rn from (
- select doc_id, font_id, count(*) as n, min(page_number * 1000000 + pos) as p from {d.t('tok')} group by doc_id, font_id) a) x join {d.t('font')} f on x.font_id = f.font_id where rn = 1"""
+ select doc_id, font_id, count(*) as n, min(page_number * 1000000 + pos) as p from {d.t('tok')} group by doc_id, font_id) a) x join {d.t('font')} f on x.doc_id = f.doc_id and x.font_id = f.font_id where rn = 1"""
 
 
 @operator("tok", "font")
 def body_font_size(d):
     """Upper median of the sizes of Text tokens, 10 without any."""
-    return f"""with s as (select t.doc_id, f.font_size, row_number() over (partition by t.doc_id order by f.font_size) - 1 as rn, count(*) over (partition by t.doc_id) as n from {d.t('tok')} t join {d.t('font')} f on t.font_id = f.font_id where t.token_type = 6 and f.font_size > 0)
+    return f"""with s as (select t.doc_id, f.font_size, row_number() over (partition by t.doc_id order by f.font_size) - 1 as rn, count(*) over (partition by t.doc_id) as n from {d.t('tok')} t join {d.t('font')} f on t.doc_id = f.doc_id and t.font_id = f.font_id where t.token_type = 6 and f.font_size > 0)
  select a.doc_id, coalesce(s.font_size, cast(10 as double)) as body_font_size from (select distinct doc_id from {d.t('tok')}) a left join s on a.doc_id = s.doc_id and s.rn = {d.idiv('s.n', '2')}"""
 
 
-@operator("tok")
+@operator("frag")
 def merge_rectangles(d):
     """Box around a line's fragments."""
-    return f"""select doc_id, line_no, min("left") as "left", min(top) as top, max("right") as "right", max(bottom) as bottom, max("right") - min("left") as width, max(bottom) - min(top) as height from {d.t('tok')} group by doc_id, line_no"""
+    return f"""select {PAGE}, line_no, min("left") as "left", min(top) as top, max("right") as "right", max(bottom) as bottom, max("right") - min("left") as width, max(bottom) - min(top) as height from {d.t('frag')} group by {PAGE}, line_no"""
 
 
-@operator("tok")
+@operator("frag")
 def merge_tokens(d):
     """A line's fragments as one token: joined text, box around, type of the first."""
-    return f"""select m.doc_id, m.line_no, m.txt, m."left", m.top, m."right", m.bottom, f.token_type from (select doc_id, line_no, {d.listagg('content', "' '", 'frag_no')} as txt, min("left") as "left", min(top) as top, max("right") as "right", max(bottom) as bottom, min(frag_no) as first_frag from {d.t('tok')} group by doc_id, line_no) m
- join {d.t('tok')} f on f.doc_id = m.doc_id and f.line_no = m.line_no and f.frag_no = m.first_frag"""
+    return f"""select m.doc_id, m.page_number, m.line_no, m.txt, m."left", m.top, m."right", m.bottom, f.token_type from (select {PAGE}, line_no, {d.listagg('content', "' '", 'frag_no')} as txt, min("left") as "left", min(top) as top, max("right") as "right", max(bottom) as bottom, min(frag_no) as first_frag from {d.t('frag')} group by {PAGE}, line_no) m
+ join {d.t('frag')} f on f.doc_id = m.doc_id and f.page_number = m.page_number and f.line_no = m.line_no and f.frag_no = m.first_frag"""
 
 
 @operator("tok")
@@ -70,10 +70,10 @@ def document_counts(d):
     return f"""select p.doc_id, p.num_pages, p.num_tokens, r.num_regions from (select doc_id, count(distinct page_number) as num_pages, count(*) as num_tokens from {d.t('tok')} group by doc_id) p join (select doc_id, count(*) as num_regions from {d.t('reg')} group by doc_id) r on p.doc_id = r.doc_id"""
 
 
-@operator("tok", "pred")
+@operator("guess")
 def all_correct(d):
     """Whether a document's predictions are all right."""
-    return f"""select t.doc_id, bool_and(t.token_type = p.token_type) as correct from {d.t('tok')} t join {d.t('pred')} p on t.doc_id = p.doc_id and t.page_number = p.page_number and {d.idiv('p.seq', '2')} = t.pos group by t.doc_id"""
+    return f"""select doc_id, bool_and(token_type = predicted_type) as correct from {d.t('guess')} group by doc_id"""
 
 
 @operator("emi")

@@ -11,12 +11,11 @@ ON_PAGE = "t.doc_id = r.doc_id and t.page_number = r.page_number"
 INTER = '(least(t."right", r."right") - greatest(t."left", r."left")) * (least(t.bottom, r.bottom) - greatest(t.top, r.top))'
 
 
-@operator("reg")
+@operator("raw")
 def rect_fix(d):
     """Corrected rectangles: a side of no length is widened by one each way, then reversed sides are swapped."""
     return f"""select doc_id, page_number, region_seq, least(l, r) as "left", least(t, b) as top, greatest(l, r) as "right", greatest(t, b) as bottom, abs(r - l) as width, abs(b - t) as height from (
- select doc_id, page_number, region_seq, case when l0 = r0 then l0 - 1 else l0 end as l, case when l0 = r0 then r0 + 1 else r0 end as r, case when t0 = b0 then t0 - 1 else t0 end as t, case when t0 = b0 then b0 + 1 else b0 end as b from (
- select doc_id, page_number, region_seq, "left" as l0, case region_seq % 3 when 0 then "left" when 1 then "left" - 7 else "right" end as r0, top as t0, case region_seq % 4 when 0 then bottom when 1 then top else top - 5 end as b0 from {d.t('reg')}) a) x"""
+ select doc_id, page_number, region_seq, case when "left" = "right" then "left" - 1 else "left" end as l, case when "left" = "right" then "right" + 1 else "right" end as r, case when top = bottom then top - 1 else top end as t, case when top = bottom then bottom + 1 else bottom end as b from {d.t('raw')}) x"""
 
 
 @operator("tok", "reg")
@@ -36,14 +35,14 @@ def rect_overlap_closed(d):
     return f"select t.doc_id, t.page_number, t.pos, cast(sum(case when {CLOSED} then 1 else 0 end) as bigint) as n from {d.t('tok')} t join {d.t('reg')} r on {ON_PAGE} group by t.doc_id, t.page_number, t.pos"
 
 
-@operator("tok")
+@operator("names")
 def token_type_lookup(d):
-    """By index (out of range: Text, as -1 wraps to the last), by upper-cased name and by display value (unknown: Text)."""
+    """Token types of an index k and a name n: by index (out of range: Text, as -1 wraps to the last), by upper-cased name and by display value (unknown: Text)."""
     names = " ".join(f"when '{n}' then {i}" for i, (n, _) in enumerate(TOKEN_TYPES))
     values = " ".join(f"when '{v}' then {i}" for i, (_, v) in enumerate(TOKEN_TYPES))
     display = " ".join(f"when {i} then '{v}'" for i, (_, v) in enumerate(TOKEN_TYPES))
     return f"""select doc_id, page_number, pos, k, case when k >= 0 then case k {display} else 'Text' end when k >= -11 then case k + 11 {display} end else 'Text' end as by_index,
- case upper(n) {names} else 6 end as by_name, case n {values} else 6 end as by_value from (select doc_id, page_number, pos, token_type + pos % 5 - 2 as k, case when pos % 4 = 0 then 'list_item' when pos % 4 = 1 then 'List item' when pos % 4 = 2 then 'Caption' else substr(content, 1, 7) end as n from {d.t('tok')}) x"""
+ case upper(n) {names} else 6 end as by_name, case n {values} else 6 end as by_value from {d.t('names')}"""
 
 
 @operator("reg")
@@ -60,24 +59,24 @@ def region_shape_filter(d):
  where aspect_ratio between 0.05 and 20 and ((fill_density >= 0.15 and edge_density >= 0.02) or (fill_density >= 0.02 and fill_density <= 0.90))"""
 
 
-@operator("reg", "page")
+@operator("cand", "page")
 def region_page_fraction(d):
-    """Regions of less than 70 % of the page (here of a page a tenth as large)."""
-    return f"""select r.doc_id, r.page_number, r.region_seq, cast(r.area * 10 as double) / (p.page_width * p.page_height) as fraction from {d.t('reg')} r join {d.t('page')} p on r.doc_id = p.doc_id and r.page_number = p.page_number
- where cast(r.area * 10 as double) / (p.page_width * p.page_height) < 0.70"""
+    """Regions of less than 70 % of their page."""
+    fraction = "cast(r.area as double) / (p.page_width * p.page_height)"
+    return f"""select r.doc_id, r.page_number, r.region_seq, {fraction} as fraction from {d.t('cand')} r join {d.t('page')} p on r.doc_id = p.doc_id and r.page_number = p.page_number where {fraction} < 0.70"""
 
 
-@operator("page", "tok", "img")
+@operator("page", "printed", "pictured")
 def pages_needing_detection(d):
     """Pages with an embedded image or without tokens."""
-    return f"""select p.doc_id, p.page_number from {d.t('page')} p where exists (select 1 from {d.t('img')} i where i.doc_id = p.doc_id and i.page_number = p.page_number and i.a > 300)
- or not exists (select 1 from {d.t('tok')} t where t.doc_id = p.doc_id and t.page_number = p.page_number and t.pos % 2 = 0)"""
+    return f"""select p.doc_id, p.page_number from {d.t('page')} p where exists (select 1 from {d.t('pictured')} i where i.doc_id = p.doc_id and i.page_number = p.page_number)
+ or not exists (select 1 from {d.t('printed')} t where t.doc_id = p.doc_id and t.page_number = p.page_number)"""
 
 
-@operator("page", "tok")
+@operator("page", "printed")
 def scanned_pages(d):
-    """Pages without tokens (here without tokens of the second font)."""
-    return f"""select p.doc_id, p.page_number from {d.t('page')} p where not exists (select 1 from {d.t('tok')} t where t.doc_id = p.doc_id and t.page_number = p.page_number and t.font_id = 1)"""
+    """Pages without tokens."""
+    return f"""select p.doc_id, p.page_number from {d.t('page')} p where not exists (select 1 from {d.t('printed')} t where t.doc_id = p.doc_id and t.page_number = p.page_number)"""
 
 
 @operator("box")
@@ -101,12 +100,13 @@ def region_px_to_pt(d):
     return f"""select doc_id, page_number, region_seq, {dpi} as dpi, {cut('"left"')} as "left", {cut('top')} as top, {cut('width')} as width, {cut('height')} as height from {d.t('reg')}"""
 
 
-@operator("reg", "page")
+@operator("cand", "page")
 def crop_box(d):
-    """Pixel box of a region's crop at 150 dpi, cut to the page."""
+    """Pixel box of a region's crop at 150 dpi, cut to the page; truncation toward zero."""
     s = "(cast(150 as double) / 72)"
-    return f"""select r.doc_id, r.page_number, r.region_seq, greatest(0, {d.trunc(f'(r."left" - 60) * {s}')}) as x0, greatest(0, {d.trunc(f'(r.top - 60) * {s}')}) as y0,
- least({d.trunc(f'p.page_width * {s}')}, {d.trunc(f'(r."right" + 100) * {s}')}) as x1, least({d.trunc(f'p.page_height * {s}')}, {d.trunc(f'(r.bottom + 400) * {s}')}) as y1 from {d.t('reg')} r join {d.t('page')} p on r.doc_id = p.doc_id and r.page_number = p.page_number"""
+    cut = lambda c: d.trunc(f"{c} * {s}")
+    return f"""select r.doc_id, r.page_number, r.region_seq, greatest(0, {cut('r."left"')}) as x0, greatest(0, {cut('r.top')}) as y0, least({cut('p.page_width')}, {cut('r."right"')}) as x1, least({cut('p.page_height')}, {cut('r.bottom')}) as y1
+ from {d.t('cand')} r join {d.t('page')} p on r.doc_id = p.doc_id and r.page_number = p.page_number"""
 
 
 @operator("lab", "tok")
@@ -115,11 +115,7 @@ def label_discrepancy(d):
  from {d.t('lab')} l join {d.t('tok')} t on l.doc_id = t.doc_id and l.page_number = t.page_number and l.seq = t.pos"""
 
 
-@operator("tok", "pred")
+@operator("judged")
 def mistake_type(d):
-    """0 correct, 1 wrong, 2 missing; predictions are rounded half to even."""
-    p = d.half_even("cast(p.token_type as double) + 0.5")
-    truth = "case when t.pos % 3 = 0 then 1 else t.token_type end"
-    guess = f"case when t.pos % 2 = 0 then 0 else {p} end"
-    return f"""select t.doc_id, t.page_number, t.pos, p.seq, case when {guess} = {truth} then 0 when {truth} = 1 and {guess} = 0 then 2 else 1 end as mistake
- from {d.t('tok')} t join {d.t('pred')} p on p.doc_id = t.doc_id and p.page_number = t.page_number and {d.idiv('p.seq', '2')} = t.pos"""
+    """0 correct, 1 wrong, 2 missing (1 predicted as 0); predictions are rounded half to even."""
+    return f"""select doc_id, page_number, pos, seq, case when truth = guess then 0 when truth = 1 and guess = 0 then 2 else 1 end as mistake from (select *, {d.half_even('prediction')} as guess from {d.t('judged')}) x"""

@@ -36,28 +36,28 @@ def tsr_boxes(cell: DataFrame) -> DataFrame:
     return raster.table_boxes(_drawn_tables(cell), "unbordered")
 
 
-def _drawn_pages(reg: DataFrame, tok: DataFrame) -> DataFrame:
+def _drawn_pages(page: DataFrame, reg: DataFrame, tok: DataFrame) -> DataFrame:
     key = ["doc_id", "page_number"]
     box = F.struct("left", "top", "right", "bottom")
-    regions = reg.where("region_seq < 2").groupBy(key).agg(F.collect_list(box).alias("regions"))
-    pages = regions.join(tok.groupBy(key).agg(F.collect_list(box).alias("boxes")), key, "left")
+    regions = reg.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("region_seq", "left", "top", "right", "bottom"))).alias("regions"))
+    pages = page.join(regions, key, "left").join(tok.groupBy(key).agg(F.collect_list(box).alias("boxes")), key, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texture = (np.arange(800)[:, None] // 8 + np.arange(620)[None] // 8) % 2 * 120 + 30
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                gray = np.full((400, 420), 255, np.uint8)
-                for b in r.regions:
+                texture = (np.arange(r.page_height)[:, None] // 8 + np.arange(r.page_width)[None] // 8) % 2 * 120 + 30
+                gray = np.full((r.page_height, r.page_width), 255, np.uint8)
+                for b in r.regions if r.regions is not None else ():
                     at = np.s_[b["top"] : b["bottom"], b["left"] : b["right"]]
-                    gray[at] = texture[: gray.shape[0], : gray.shape[1]][at]
-                out.append((r.doc_id, r.page_number, 420, 400, gray.tobytes(), r.boxes))
+                    gray[at] = texture[at]
+                out.append((r.doc_id, r.page_number, r.page_width, r.page_height, gray.tobytes(), r.boxes))
             yield pd.DataFrame(out, columns=["doc_id", "page_number", "img_w", "img_h", "gray", "boxes"])
 
     return pages.mapInPandas(run, "doc_id long, page_number int, img_w int, img_h int, gray binary, boxes array<struct<left: int, top: int, right: int, bottom: int>>")
 
 
-@frame_operator("reg", "tok")
-def dark_blob_regions(reg: DataFrame, tok: DataFrame) -> DataFrame:
-    """Dark regions found in the pixels of drawn pages, with their statistics."""
-    return raster.detect_regions(_drawn_pages(reg, tok), dpi=72)
+@frame_operator("page", "reg", "tok")
+def dark_blob_regions(page: DataFrame, reg: DataFrame, tok: DataFrame) -> DataFrame:
+    """Dark regions found in the pixels of pages drawn with all their regions, with their statistics."""
+    return raster.detect_regions(_drawn_pages(page, reg, tok), dpi=72)

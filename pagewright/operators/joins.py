@@ -32,9 +32,11 @@ def token_region_overlap(d):
 @operator("reg", "tsr")
 def region_tsr_json(d):
     """Table structure of a region by page and full box; the last of a box wins."""
-    return f"""select r.doc_id, r.page_number, r.region_seq, r.region_type, x.tsr_seq, x.num_cells from {d.t('reg')} r left join (
- select * from (select *, row_number() over (partition by doc_id, page_number, "left", top, "right", bottom order by tsr_seq desc) as rn from {d.t('tsr')}) y where rn = 1) x
- on r.region_type = 'Table' and r.doc_id = x.doc_id and r.page_number = x.page_number and r."left" = x."left" and r.top = x.top and r."right" = x."right" and r.bottom = x.bottom"""
+    box = 'doc_id, page_number, "left", top, "right", bottom'
+    last = "max_by" if d.name == "spark" else "arg_max"
+    return f"""with x as (select {box}, 'Table' as region_type, max(tsr_seq) as tsr_seq, {last}(num_cells, tsr_seq) as num_cells from {d.t('tsr')} group by {box})
+ select r.doc_id, r.page_number, r.region_seq, r.region_type, x.tsr_seq, x.num_cells from {d.t('reg')} r left join x
+ on r.doc_id = x.doc_id and r.page_number = x.page_number and r.region_type = x.region_type and r."left" = x."left" and r.top = x.top and r."right" = x."right" and r.bottom = x.bottom"""
 
 
 @operator("reg", "tsr")
@@ -158,12 +160,15 @@ def region_type_override(d):
 
 @operator("tok", "font")
 def token_font(d):
-    return f"select t.doc_id, t.page_number, t.pos, f.bold, f.italics, f.font_size, f.color from {d.t('tok')} t join {d.t('font')} f on t.font_id = f.font_id"
+    """A token's font; nulls where it isn't declared."""
+    return f"select t.doc_id, t.page_number, t.pos, f.bold, f.italics, f.font_size, f.color from {d.t('tok')} t left join {d.t('font')} f on t.doc_id = f.doc_id and t.font_id = f.font_id"
 
 
 @operator("page", "reg")
 def table_pages(d):
-    return f"select p.doc_id, p.page_number from {d.t('page')} p left semi join (select * from {d.t('reg')} where region_type = 'Table' and area > 9000) r on p.doc_id = r.doc_id and p.page_number = r.page_number".replace("left semi join", "left semi join" if d.name == "spark" else "semi join")
+    """Pages with a table."""
+    join = "left semi join" if d.name == "spark" else "semi join"
+    return f"select p.doc_id, p.page_number from {d.t('page')} p {join} (select * from {d.t('reg')} where region_type = 'Table') r on p.doc_id = r.doc_id and p.page_number = r.page_number"
 
 
 @operator("reg", "tok")
@@ -172,9 +177,9 @@ def text_in_bbox(d):
     return f"""select r.doc_id, r.page_number, r.region_seq, {d.listagg('t.content', "' '", 't."left", t.pos')} as txt from {d.t('reg')} r join {d.t('tok')} t on {ON_PAGE} and {OPEN} and {INTER} * 10 > t.width * t.height group by r.doc_id, r.page_number, r.region_seq"""
 
 
-def _script_line(d) -> str:
+def _script_line(d, tokens: str = "tok") -> str:
     least_h = "greatest(cast(3 as double), cast(t.height as double) / 2)"
-    return f"""{d.t('tok')} t join {d.t('tok')} o on t.doc_id = o.doc_id and t.page_number = o.page_number and t.pos <> o.pos and not (o.bottom < t.top + {least_h} or t.bottom - {least_h} < o.top) and o."right" > t."left" * cast(0.7 as double)"""
+    return f"""{d.t(tokens)} t join {d.t(tokens)} o on t.doc_id = o.doc_id and t.page_number = o.page_number and t.pos <> o.pos and not (o.bottom < t.top + {least_h} or t.bottom - {least_h} < o.top) and o."right" > t."left" * cast(0.7 as double)"""
 
 
 @operator("tok")
@@ -183,14 +188,15 @@ def script_same_line(d):
     return f"""select t.doc_id, t.page_number, t.pos, count(*) as n, min(o.top) as top, max(o.bottom) as bottom from {_script_line(d)} group by t.doc_id, t.page_number, t.pos"""
 
 
-@operator("tok")
+@operator("styled")
 def script_type(d):
-    """Super- and subscript tokens (here all contents count as digits, and heights as low, on every third token)."""
-    return f"""with l as (select t.doc_id, t.page_number, t.pos, t.content, t.token_type, t.top, t.bottom, t.height, min(o.top) as o_top, max(o.bottom) as o_bottom from {_script_line(d)} group by t.doc_id, t.page_number, t.pos, t.content, t.token_type, t.top, t.bottom, t.height),
- m as (select *, least(top, o_top) + cast(greatest(bottom, o_bottom) - least(top, o_top) as double) / 2 as middle from l)
- select doc_id, page_number, pos, case when kind = 1 then concat('<sup>', content, '</sup>') when kind = 2 then concat('<sub>', content, '</sub>') else content end as styled from (
- select *, case when not ({d.matches('content', '^[0-9]+$')} or pos % 3 = 0) or height >= 0.8 * 16 or token_type in (3, 0, 4) then 0 when (o_bottom - o_top) * 0.8 < height then 0
- when top >= middle then 2 when bottom <= middle then 1 when abs(top - middle) >= abs(bottom - middle) then 1 else 2 end as kind from m) x"""
+    """Super- and subscripts: low numbers outside tables, formulas and pictures, by their place on the line that other boxes
+    make; alone on a line or beside low boxes they are ordinary text."""
+    candidate = f"{d.matches('t.content', '^[0-9]+$')} and t.height < 0.8 * t.common_height and t.token_type not in (3, 0, 4)"
+    return f"""with l as (select t.doc_id, t.page_number, t.pos, t.top, t.bottom, t.height, min(o.top) as o_top, max(o.bottom) as o_bottom from {_script_line(d, 'styled')} where {candidate} group by t.doc_id, t.page_number, t.pos, t.top, t.bottom, t.height),
+ m as (select *, least(top, o_top) + cast(greatest(bottom, o_bottom) - least(top, o_top) as double) / 2 as middle from l where (o_bottom - o_top) * 0.8 >= height),
+ k as (select doc_id, page_number, pos, case when top >= middle then 'sub' when bottom <= middle then 'sup' when abs(top - middle) >= abs(bottom - middle) then 'sup' else 'sub' end as kind from m)
+ select t.doc_id, t.page_number, t.pos, case when k.kind is null then t.content else concat('<', k.kind, '>', t.content, '</', k.kind, '>') end as styled from {d.t('styled')} t left join k on t.doc_id = k.doc_id and t.page_number = k.page_number and t.pos = k.pos"""
 
 
 @operator("img")

@@ -17,53 +17,55 @@ def classify_regions(d):
  when color_variance <= 500 and edge_density <= 0.03 and aspect_ratio > 1.0 then 'Logo' when aspect_ratio < 0.8 and color_variance <= 500 and edge_density > 0.03 then 'Formula' else 'Figure' end as region_type from {d.t('reg')}"""
 
 
-@operator("reg")
+@operator("cropped")
 def picture_markdown(d):
     """A picture block in the three modes; without a crop, embedding falls back to a link."""
     nl = d.newline
     name = """concat('image_page', page_number, '_', "left", '_', top, '.png')"""
     alt = "concat(region_type, ' p', page_number)"
     return f"""select doc_id, page_number, region_seq, concat('<!-- ', region_type, ' at (', "left", ',', top, ') ', width, 'x', height, ' -->', {nl}, {nl}, '[', {alt}, '](', {name}, ')') as placeholder,
- concat('![', {alt}, '](images/', {name}, ')') as url, case when region_seq % 2 = 0 then concat('![', {alt}, '](data:image/png;base64,', {'base64(encode(region_type, $utf$))' if d.name == 'spark' else 'base64(encode(region_type))'}, ')') else concat('[', {alt}, '](', {name}, ')') end as embed
- from {d.t('reg')} where region_type in ('Picture', 'Photo', 'Figure', 'Chart')""".replace("$utf$", "'UTF-8'")
+ concat('![', {alt}, '](images/', {name}, ')') as url, case when crop is not null then concat('![', {alt}, '](data:image/png;base64,', base64(crop), ')') else concat('[', {alt}, '](', {name}, ')') end as embed
+ from {d.t('cropped')} where region_type in ('Picture', 'Photo', 'Figure', 'Chart')"""
 
 
-@operator("reg", "tsr")
+@operator("reg", "structure")
 def table_fallback(d):
-    """What stands for a table without structure, without cells or with broken XML (by the region's number here)."""
+    """What stands for a table without structure or, of the last structure at its corner, without cells and XML or with XML
+    that can't be read; else nothing."""
     nl = d.newline
-    return f"""select r.doc_id, r.page_number, r.region_seq, case when t.n is null or r.region_seq = 5 then concat('<!-- Table detected but no TSR data -->', {nl}, {nl}) when r.region_seq = 0 then concat('<!-- Table: no XML -->', {nl}, {nl}) when r.region_seq = 1 then concat('<!-- Table: invalid XML -->', {nl}, {nl}) else '' end as md
- from (select * from {d.t('reg')} where region_type = 'Table') r left join (select doc_id, page_number, "left", top, count(*) as n from {d.t('tsr')} group by doc_id, page_number, "left", top) t on r.doc_id = t.doc_id and r.page_number = t.page_number and r."left" = t."left" and r.top = t.top"""
+    note = lambda text: f"concat('<!-- {text} -->', {nl}, {nl})"
+    return f"""select r.doc_id, r.page_number, r.region_seq, case when t.tsr_seq is null then {note('Table detected but no TSR data')} when t.num_cells > 0 then '' when coalesce(t.xml, '') = '' then {note('Table: no XML')} when not t.readable then {note('Table: invalid XML')} else '' end as md
+ from (select * from {d.t('reg')} where region_type = 'Table') r left join (select * from (select *, row_number() over (partition by doc_id, page_number, "left", top order by tsr_seq desc) as rn from {d.t('structure')}) x where rn = 1) t
+ on r.doc_id = t.doc_id and r.page_number = t.page_number and r."left" = t."left" and r.top = t.top"""
 
 
-@operator("tok")
+@operator("styled")
 def title_level(d):
     """Heading level of titles and section headers by height over the common height."""
-    return f"""with r as (select doc_id, page_number, pos, content, token_type, cast(height as double) / (5 + pos % 9) as ratio from {d.t('tok')}),
+    return f"""with r as (select doc_id, page_number, pos, content, trim(content) as title, token_type, cast(height as double) / common_height as ratio from {d.t('styled')}),
  l as (select *, case when token_type not in (5, 8) then 0 when ratio > 1.99 then 1 when ratio > 1.39 then 2 when ratio > 1.19 then 3 else 4 end as level from r)
- select doc_id, page_number, pos, level, case when level = 0 then content else concat(repeat('#', level), ' ', content) end as md, case when level = 0 then content else concat('<h', level, '>', content, '</h', level, '>') end as html from l"""
+ select doc_id, page_number, pos, level, case when level = 0 then content else concat(repeat('#', level), ' ', title) end as md, case when level = 0 then content else concat('<h', level, '>', title, '</h', level, '>') end as html from l"""
 
 
-@operator("tok")
+@operator("linked")
 def link_markdown(d):
-    """Web links as Markdown and HTML: every occurrence of the link's text."""
-    text = "substr(content, 1, 3)"
-    return f"""select doc_id, page_number, pos, case when pos % 3 = 0 then replace(content, {text}, concat('[', {text}, '](http://z.example/', pos, ')')) else content end as md,
- case when pos % 3 = 0 then replace(content, {text}, concat('<a href=', chr(34), 'http://z.example/', pos, chr(34), '>', {text}, '</a>')) else content end as html from {d.t('tok')}"""
+    """Web links as Markdown and HTML: every occurrence of the link's text. References stay text."""
+    return f"""select doc_id, page_number, pos, case when link_type = 'WEB_URL' then replace(content, link_text, concat('[', link_text, '](', link, ')')) else content end as md,
+ case when link_type = 'WEB_URL' then replace(content, link_text, concat('<a href=', chr(34), link, chr(34), '>', link_text, '</a>')) else content end as html from {d.t('linked')}"""
 
 
-@operator("tok")
+@operator("leveled")
 def list_markdown(d):
     """List items by level; the first character goes, even a blank."""
     return f"""select doc_id, page_number, pos, case when level < 0 then content else concat(repeat('  ', level), '- ', substr(content, 2)) end as md,
- case when level <= 0 then content else concat(repeat('<ul><li>', level), content, repeat('</li></ul>', level)) end as html from (select doc_id, page_number, pos, content, cast(pos % 5 - 1 as int) as level from {d.t('tok')}) x"""
+ case when level <= 0 then content else concat(repeat('<ul><li>', level), content, repeat('</li></ul>', level)) end as html from {d.t('leveled')}"""
 
 
 @operator("tok", "font")
 def style_markdown(d):
     """Bold or italic text; bold wins."""
     return f"""select t.doc_id, t.page_number, t.pos, case when f.bold then concat('**', t.content, '**') when f.italics then concat('_', t.content, '_') else t.content end as md,
- case when f.bold then concat('<b>', t.content, '</b>') when f.italics then concat('<i>', t.content, '</i>') else t.content end as html from {d.t('tok')} t join {d.t('font')} f on t.font_id = f.font_id"""
+ case when f.bold then concat('<b>', t.content, '</b>') when f.italics then concat('<i>', t.content, '</i>') else t.content end as html from {d.t('tok')} t left join {d.t('font')} f on t.doc_id = f.doc_id and t.font_id = f.font_id"""
 
 
 @frame_operator("tok", "page", "reg")

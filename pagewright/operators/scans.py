@@ -23,15 +23,15 @@ def _element(content: str = "content"):
 
 
 def _xml(tok: DataFrame, page: DataFrame, font: DataFrame) -> DataFrame:
-    fonts = font.agg(F.array_join(F.array_sort(F.collect_list(F.format_string('<fontspec id="%d" size="%.0f" family="%s"/>', "font_id", "font_size", "family"))), "").alias("fonts"))
+    fonts = font.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.format_string('<fontspec id="%d" size="%.0f" family="%s"/>', "font_id", "font_size", "family"))), "").alias("fonts"))
     body = tok.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("pos", _element().alias("e")))).alias("es"))
     opened = F.format_string('<page number="%d" width="%d" height="%d">', "page_number", "page_width", "page_height")
     pages = page.join(body, ["doc_id", "page_number"]).select("doc_id", "page_number", F.concat(opened, F.array_join(F.transform("es", lambda e: e["e"]), ""), F.lit('<text top="1" left="1" width="0" height="0" font="0"> </text></page>')).alias("x"))
     docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "x"))).alias("ps"))
-    return docs.crossJoin(F.broadcast(fonts)).select("doc_id", F.concat(F.lit("<pdf2xml>"), "fonts", F.array_join(F.transform("ps", lambda p: p["x"]), ""), F.lit("</pdf2xml>")).alias("xml"))  # fonts: one row
+    return docs.join(fonts, "doc_id").select("doc_id", F.concat(F.lit("<pdf2xml>"), "fonts", F.array_join(F.transform("ps", lambda p: p["x"]), ""), F.lit("</pdf2xml>")).alias("xml"))
 
 
-FX.add("xml", "tok", "page", "font", spark=_xml)(lambda d: "select 1 as none")
+FX.invent("xml", "tok", "page", "font", spark=_xml)(lambda d: "select 1 as none")
 
 
 @operator("xml", spark=lambda xml: poppler.scan_tokens(xml).select("doc_id", "page_number", "pos", "tag_id", "content", "font_id", "reading_order_no", "left", "top", "right", "bottom"))
@@ -47,7 +47,7 @@ def scan_pages(d):
 
 @operator("xml", spark=lambda xml: poppler.scan_fonts(xml))
 def scan_fonts(d):
-    return "select d.doc_id, cast(f.font_id as varchar) as font_id, f.family, f.font_size, f.bold, f.italics, f.color from (select distinct doc_id from page) d cross join font f"
+    return "select doc_id, cast(font_id as varchar) as font_id, family, font_size, bold, italics, color from font"
 
 
 @operator("xml", spark=lambda xml: poppler.contains_text(xml))
@@ -73,7 +73,7 @@ def _label_json(lab: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("page_number").alias("number"), "labels")).alias("pages"))).alias("labels"))
 
 
-FX.add("labeljson", "lab", spark=_label_json)(lambda d: "select 1 as none")
+FX.invent("labeljson", "lab", spark=_label_json)(lambda d: "select 1 as none")
 
 
 @operator("labeljson", spark=lambda labeljson: poppler.scan_labels(labeljson))

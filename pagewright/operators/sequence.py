@@ -20,6 +20,8 @@ from .joins import LINE_JOIN, PLACED, _table_md
 PAGE = "doc_id, page_number"
 #: A gap over which a paragraph ends; half of it where the type changes.
 PARAGRAPH_GAP = 12
+#: Characters that mark a list item.
+LIST_MARKERS = ("-", "•", "\uf0b7", "‣", "⁃", "⁌", "⁍", "◘", "◦", "⦾", "⦿")
 
 
 @operator("tok")
@@ -65,14 +67,17 @@ def reading_order_features(d):
  from {d.t('ord')} window u as (partition by {PAGE} order by pos rows between unbounded preceding and unbounded following)) x where r2 is not null"""
 
 
-@operator("tok", "page")
+@operator("listed")
 def list_levels(d):
-    """List level by the order in which markers first appear in a document, at most 3; -1 without a marker. (Letters stand in
-    for some markers, which the texts lack.)"""
-    marks = "('-', '•', '‣', '⁃', 'T', 'A', 'E', 'S')"
-    return f"""with m as (select {PAGE}, pos, substr(content, 1, 1) as marker from {d.t('tok')} where substr(content, 1, 1) in {marks}),
- f as (select doc_id, marker, row_number() over (partition by doc_id order by min(page_number * 1000000 + pos)) - 1 as level from m group by doc_id, marker)
- select t.doc_id, t.page_number, t.pos, cast(coalesce(least(f.level, 3), -1) as int) as level from {d.t('tok')} t left join f on t.doc_id = f.doc_id and f.marker = substr(t.content, 1, 1)"""
+    """List level: the place of a content's first character, blanks aside, among the markers in the order in which a document
+    first has them, at most 3; -1 without a marker."""
+    marks = ", ".join(f"'{m}'" for m in LIST_MARKERS)
+    return f"""with c as (select {PAGE}, pos, substr({d.lstrip('content')}, 1, 1) as marker from {d.t('listed')}),
+ f as (select doc_id, marker, row_number() over (partition by doc_id order by min(page_number * cast(1000000 as bigint) + pos)) - 1 as level from c where marker in ({marks}) group by doc_id, marker)
+ select c.doc_id, c.page_number, c.pos, cast(case when f.level is null then -1 when f.level > 3 then 3 else f.level end as int) as level from c left join f on f.doc_id = c.doc_id and f.marker = c.marker"""
+
+
+FX.add("leveled", "listed")(lambda d: f"select l.doc_id, l.page_number, l.pos, t.content, l.level from ({list_levels.template(d)}) l join {d.t('listed')} t on l.doc_id = t.doc_id and l.page_number = t.page_number and l.pos = t.pos")
 
 
 def by_page(df: DataFrame, order: str, out: list[str], added: str, fold) -> DataFrame:
@@ -220,7 +225,7 @@ def line_blocks(d):
 
 @FX.add("tables", "cell", "tok")
 def tables(d):
-    return f"with {_table_md(d)} select doc_id, page_number, region_seq, md from tables".replace("select doc_id, page_number, region_seq, md from tables", "select doc_id, page_number, region_seq, md from tables")
+    return f"with {_table_md(d)} select doc_id, page_number, region_seq, md from tables"
 
 
 @FX.add("block_md", "blocks", "reg", "tables")
@@ -271,22 +276,58 @@ def viterbi(emissions: np.ndarray, log_transition: np.ndarray) -> list[int]:
     return path[::-1]
 
 
+def viterbi_pages(pages: list[np.ndarray], log_transition: np.ndarray) -> list[np.ndarray]:
+    """viterbi of each page, step by step over all pages that are as long: the pages are sorted by length, so that those still
+    going on are always the first ones."""
+    order = sorted(range(len(pages)), key=lambda i: -len(pages[i]))
+    sizes = np.array([len(pages[i]) for i in order])
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pages)
+    if not len(pages):
+        return out
+    logs = [np.log(pages[i] + 1e-12) if len(pages[i]) > 1 else pages[i] for i in order]
+    best, back = np.stack([x[0] for x in logs]), []
+    for step in range(1, sizes[0]):
+        on = int((sizes > step).sum())
+        scores = best[:on, :, None] + log_transition[None] + np.stack([x[step] for x in logs[:on]])[:, None, :]
+        back.append(np.argmax(scores, axis=1))
+        best[:on] = np.take_along_axis(scores, back[-1][:, None, :], axis=1)[:, 0]
+    last = np.argmax(best, axis=1)
+    paths = [np.empty(n, np.int64) for n in sizes]
+    for k, n in enumerate(sizes):
+        paths[k][n - 1] = last[k]
+    for step in range(sizes[0] - 1, 0, -1):
+        on = int((sizes > step).sum())
+        now = np.array([paths[k][step] for k in range(on)])
+        for k, v in enumerate(back[step - 1][np.arange(on), now].tolist()):
+            paths[k][step - 1] = v
+    for k, i in enumerate(order):
+        out[i] = paths[k]
+    return out
+
+
 def _viterbi_spark(emi: DataFrame, trans: DataFrame) -> DataFrame:
-    """The 121 transition probabilities go with the tasks; each takes whole documents."""
+    """The 121 transition probabilities are one row that goes to all tasks within the query; a task decodes the pages that a
+    batch holds together."""
     n = 11
-    log_transition = np.zeros((n, n))
-    for r in trans.collect():  # 121 rows
-        log_transition[r["prev"], r["curr"]] = r["p"]
-    log_transition = np.log(log_transition + 1e-12)
-
-    def decode(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["page_number", "pos"], ignore_index=True)
-        labels: list[int] = []
-        for _, page in x.groupby("page_number", sort=True):
-            labels += viterbi(np.stack(page["p"].to_list()), log_transition)
-        return x[["doc_id", "page_number", "pos"]].assign(label=np.array(labels, np.int32))
-
-    return emi.groupBy("doc_id").applyInPandas(decode, "doc_id long, page_number int, pos int, label int")
+    matrix = trans.agg(F.array_sort(F.collect_list(F.struct("prev", "curr", "p"))).alias("cells"))  # 121 cells, one row
+    pages = emi.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("rows"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log_transition = None
+        for x in batches:
+            if not len(x):
+                continue
+            if log_transition is None:
+                log_transition = np.zeros((n, n))
+                for r in x["cells"].iloc[0]:
+                    log_transition[r["prev"], r["curr"]] = r["p"]
+                log_transition = np.log(log_transition + 1e-12)
+            rows = x["rows"].to_list()
+            labels = viterbi_pages([np.stack([r["p"] for r in page]) for page in rows], log_transition)
+            sizes = [len(page) for page in rows]
+            yield pd.DataFrame({"doc_id": x["doc_id"].repeat(sizes).to_numpy(), "page_number": x["page_number"].repeat(sizes).to_numpy(), "pos": np.array([r["pos"] for page in rows for r in page], np.int32), "label": np.concatenate(labels).astype(np.int32)})
+
+    return pages.crossJoin(F.broadcast(matrix)).mapInPandas(run, "doc_id long, page_number int, pos int, label int")  # matrix: one row
 
 
 @FX.add("trans", "tok")

@@ -27,6 +27,9 @@ class Spark:
     def half_even(self, x: str) -> str:
         return f"cast(bround({x}, 0) as bigint)"
 
+    def lstrip(self, x: str) -> str:
+        return f"regexp_replace({x}, '^\\\\s+', '')"
+
     def trunc(self, x: str) -> str:
         return f"cast({x} as int)"
 
@@ -60,6 +63,9 @@ class Duck(Spark):
     def half_even(self, x: str) -> str:
         return f"cast(round_even({x}, 0) as bigint)"
 
+    def lstrip(self, x: str) -> str:
+        return f"regexp_replace({x}, '^\\s+', '')"
+
     def trunc(self, x: str) -> str:
         return f"cast(trunc({x}) as int)"
 
@@ -124,20 +130,31 @@ class Relations:
 
     def __init__(self):
         self.made: dict[str, tuple[tuple[str, ...], Callable, Callable | None]] = {}
+        self.invented: set[str] = set()
 
     def add(self, name: str, *inputs: str, spark: Callable | None = None):
+        """A relation that follows from others."""
+
         def made(template: Callable) -> Callable:
             self.made[name] = (inputs, template, spark)
             return template
 
         return made
 
+    def invent(self, name: str, *inputs: str, spark: Callable | None = None):
+        """A relation of test data: of use over the tables only, never beside a user's own relations."""
+        self.invented.add(name)
+        return self.add(name, *inputs, spark=spark)
+
     def frame(self, spark: SparkSession, sf_dir: str, name: str, given: dict | None = None) -> DataFrame:
         """A relation over given ones or, without them, over the tables below sf_dir. Each use of a relation is a plan of its
         own: Spark's analyser can fail to tell two uses of one apart when Python stages lie between; equal exchanges are
-        still found and run once."""
-        if given and name in given:
+        still found and run once. Beside given relations nothing is invented: what neither is given nor follows from given
+        ones is an error."""
+        if given is not None and name in given:
             return given[name]
+        if given is not None and (name in self.invented or name not in self.made):
+            raise KeyError(f"the relation {name!r} must be given")
         if name not in self.made:
             return spark.read.parquet(f"{sf_dir}/{name}.parquet")
         inputs, template, form = self.made[name]

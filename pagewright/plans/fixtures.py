@@ -12,7 +12,7 @@ TOKEN_TYPES = (("FORMULA", "Formula"), ("FOOTNOTE", "Footnote"), ("LIST_ITEM", "
 DISPLAY = "(case token_type " + " ".join(f"when {i} then '{v}'" for i, (_, v) in enumerate(TOKEN_TYPES)) + " end)"
 
 
-@FX.add("tok", "documents")
+@FX.invent("tok", "documents")
 def tok(d):
     """Tokens: a line of a document is a visual line, a sentence of it a fragment."""
     if d.name == "spark":
@@ -34,17 +34,18 @@ select doc_id, page_number, cast(row_number() over (partition by doc_id, page_nu
     )
 
 
-@FX.add("page", "tok")
+@FX.invent("page", "tok")
 def page(d):
     return f"select doc_id, page_number, 612 as page_width, 792 as page_height from (select distinct doc_id, page_number from {d.t('tok')})"
 
 
-@FX.add("font")
+@FX.invent("font", "tok")
 def font(d):
-    return "select cast(c1 as int) as font_id, c2 as family, cast(c3 as double) as font_size, contains(c2, 'Bold') as bold, contains(c2, 'Italic') as italics, '#000000' as color from (values (0, 'Times', 12), (1, 'Times-Bold', 14), (2, 'Helvetica-Italic', 10), (3, 'Helvetica-BoldItalic', 12)) v(c1, c2, c3)"
+    """Four fonts a document."""
+    return f"select n.doc_id, cast(c1 as int) as font_id, c2 as family, cast(c3 as double) as font_size, contains(c2, 'Bold') as bold, contains(c2, 'Italic') as italics, '#000000' as color from (values (0, 'Times', 12), (1, 'Times-Bold', 14), (2, 'Helvetica-Italic', 10), (3, 'Helvetica-BoldItalic', 12)) v(c1, c2, c3) cross join (select distinct doc_id from {d.t('tok')}) n"
 
 
-@FX.add("reg", "page")
+@FX.invent("reg", "page")
 def reg(d):
     return f"""select doc_id, page_number, k as region_seq,
  cast(40 + (doc_id*13 + page_number*7 + k*29) % 300 as int) as "left", cast(50 + (doc_id*11 + page_number*5 + k*37) % 280 as int) as top,
@@ -59,7 +60,7 @@ def reg(d):
 from {d.t('page')} p cross join (values (0),(1),(2),(3),(4),(5)) t(k)"""
 
 
-@FX.add("emi", "tok")
+@FX.invent("emi", "tok")
 def emi(d):
     """Emission probabilities of the 11 types."""
     if d.name == "spark":
@@ -68,14 +69,14 @@ def emi(d):
     return "select doc_id, page_number, pos, list_transform(w, lambda x: x / list_sum(w)) as p from (select doc_id, page_number, pos, list_transform(range(11), lambda k: (1 + (doc_id*31 + pos*17 + k*7 + (pos*k) % 5) % 29)::double) as w from tok)"
 
 
-@FX.add("lab", "tok")
+@FX.invent("lab", "tok")
 def lab(d):
     """Layout labels: boxes of every other token, moved and stretched a little."""
     return f"""select doc_id, page_number, pos as seq, "left" - 3 + pos % 5 as "left", top - 2 + pos % 4 as top, width + 2 + pos % 9 as width, height + pos % 6 as height,
  cast((token_type + pos) % 11 as int) as label_type from {d.t('tok')} where pos % 2 = 1"""
 
 
-@FX.add("cell", "reg")
+@FX.invent("cell", "reg")
 def cell(d):
     """A grid of three by three cells in each table region, relative to it."""
     return f"""select doc_id, page_number, region_seq, "left" as region_left, top as region_top, r as "row", c as col, cast(c * {d.idiv('width', '3')} as double) as x, cast(r * {d.idiv('height', '3')} as double) as y,
@@ -83,14 +84,14 @@ def cell(d):
  from {d.t('reg')} cross join (values (0),(1),(2)) a(r) cross join (values (0),(1),(2)) b(c) where region_type = 'Table'"""
 
 
-@FX.add("tsr", "reg")
+@FX.invent("tsr", "reg")
 def tsr(d):
     """Table structures, two of the same box for every other region."""
     return f"""select doc_id, page_number, "left", top, "right", bottom, region_seq * 2 + k as tsr_seq, 9 + k as num_cells from {d.t('reg')} cross join (values (0),(1)) t(k)
  where region_type = 'Table' and (k = 0 or doc_id % 2 = 0)"""
 
 
-@FX.add("box", "reg")
+@FX.invent("box", "reg")
 def box(d):
     """Boxes as table recognition finds them, in the pixels of a crop of 200 by 160."""
     return f"""select doc_id, page_number, region_seq, k as seq, cast((doc_id*7 + k*37 + region_seq*11) % 200 as int) as x, cast((doc_id*5 + k*k*13) % 160 as int) as y,
@@ -98,7 +99,7 @@ def box(d):
  from {d.t('reg')} cross join (values (0),(1),(2),(3),(4),(5),(6),(7),(8),(9)) t(k) where region_type = 'Table'"""
 
 
-@FX.add("img", "page")
+@FX.invent("img", "page")
 def img(d):
     """Embedded image objects: the matrix of the unit square."""
     return f"""select doc_id, page_number, k as seq, cast(page_width as double) as page_w, cast(page_height as double) as page_h, cast(40 + (doc_id*31 + k*211) % 560 as double) as a, cast((doc_id + k) % 3 as double) as b,
@@ -106,14 +107,96 @@ def img(d):
  from {d.t('page')} cross join (values (0),(1),(2)) t(k)"""
 
 
-@FX.add("pred", "tok")
+@FX.invent("pred", "tok")
 def pred(d):
     """Predictions by place: some moved a little, some far, some missing, some twice."""
     return f"""select doc_id, page_number, pos * 2 + k as seq, "left" + (case when pos % 7 = 3 then 5 when pos % 11 = 5 then 40 else 0 end) as "left", top, cast((token_type + k) % 11 as int) as token_type
  from {d.t('tok')} cross join (values (0),(1)) t(k) where pos % 13 <> 8 and (k = 0 or pos % 5 = 0)"""
 
 
-@FX.add("ord", "tok")
+@FX.invent("ord", "tok")
 def ord_(d):
     """Tokens with a reading order: mostly that of the document, some swapped."""
     return f"""select *, cast(case when pos % 6 = 4 then pos + 2 else pos end as int) as reading_order_no from {d.t('tok')}"""
+
+
+@FX.invent("raw", "reg")
+def raw(d):
+    """Rectangles with sides of no length and reversed sides."""
+    return f"""select doc_id, page_number, region_seq, "left", top, case region_seq % 3 when 0 then "left" when 1 then "left" - 7 else "right" end as "right", case region_seq % 4 when 0 then bottom when 1 then top else top - 5 end as bottom from {d.t('reg')}"""
+
+
+@FX.invent("cand", "reg")
+def cand(d):
+    """Candidates: regions ten times as large, some beyond the page's edges."""
+    return f"""select doc_id, page_number, region_seq, "left" - 60 as "left", top - 60 as top, "right" + 100 as "right", bottom + 400 as bottom, area * 10 as area from {d.t('reg')}"""
+
+
+@FX.invent("printed", "tok")
+def printed(d):
+    """Tokens, but those of every third page, which is a scan."""
+    return f"select * from {d.t('tok')} where (doc_id + page_number) % 3 <> 0"
+
+
+@FX.invent("pictured", "img")
+def pictured(d):
+    """Embedded images of some pages."""
+    return f"select * from {d.t('img')} where (doc_id + page_number) % 4 = 0"
+
+
+@FX.invent("names", "tok")
+def names(d):
+    """Indexes and names of token types, right and wrong ones."""
+    return f"""select doc_id, page_number, pos, token_type + pos % 5 - 2 as k, case when pos % 4 = 0 then 'list_item' when pos % 4 = 1 then 'List item' when pos % 4 = 2 then 'Caption' else substr(content, 1, 7) end as n from {d.t('tok')}"""
+
+
+@FX.invent("guess", "tok", "pred")
+def guess(d):
+    """Types and predicted types of tokens."""
+    return f"""select t.doc_id, t.page_number, t.pos, p.seq, t.token_type, p.token_type as predicted_type from {d.t('tok')} t join {d.t('pred')} p on t.doc_id = p.doc_id and t.page_number = p.page_number and {d.idiv('p.seq', '2')} = t.pos"""
+
+
+@FX.invent("judged", "guess")
+def judged(d):
+    """Truths and predictions as numbers, with halves among them."""
+    return f"""select doc_id, page_number, pos, seq, case when pos % 3 = 0 then 1 else token_type end as truth, case when pos % 2 = 0 then cast(0 as double) else cast(predicted_type as double) + 0.5 end as prediction from {d.t('guess')}"""
+
+
+@FX.invent("frag", "tok")
+def frag(d):
+    """Tokens as fragments of lines."""
+    return f"""select doc_id, page_number, line_no, frag_no, content, "left", top, "right", bottom, token_type from {d.t('tok')}"""
+
+
+@FX.invent("cropped", "reg")
+def cropped(d):
+    """Regions with the bytes of their crops, which are missing for every other one."""
+    crop = "encode(region_type, 'UTF-8')" if d.name == "spark" else "encode(region_type)"
+    return f"select *, case when region_seq % 2 = 0 then {crop} end as crop from {d.t('reg')}"
+
+
+@FX.invent("structure", "tsr")
+def structure(d):
+    """Table structures: cells of some, XML of others, which can be read or not."""
+    xml = "case when tsr_seq % 12 = 0 then null when tsr_seq % 12 in (2, 4) then '<broken' else '<table/>' end"
+    return f"""select doc_id, page_number, "left", top, tsr_seq, case when tsr_seq % 12 in (6, 8) then num_cells else 0 end as num_cells, {xml} as xml, tsr_seq % 12 not in (0, 2, 4) as readable from {d.t('tsr')}"""
+
+
+@FX.invent("styled", "tok")
+def styled(d):
+    """Tokens with the common height of a document's text, and digits here and there."""
+    return f"""select doc_id, page_number, pos, case when pos % 3 = 0 then cast(pos as {'string' if d.name == 'spark' else 'varchar'}) else content end as content, token_type, "left", top, "right", bottom, width, height, cast(5 + doc_id % 15 as int) as common_height from {d.t('tok')}"""
+
+
+@FX.invent("linked", "tok")
+def linked(d):
+    """Tokens with links: web links, references and none."""
+    return f"""select doc_id, page_number, pos, content, case when pos % 3 = 2 then '' else substr(content, 1, 3) end as link_text, case when pos % 3 = 0 then concat('http://z.example/', pos) when pos % 3 = 1 then '#p1' else '' end as link,
+ case when pos % 3 = 0 then 'WEB_URL' when pos % 3 = 1 then 'DOCUMENT_REFERENCE' else 'NO_LINK' end as link_type from {d.t('tok')}"""
+
+
+@FX.invent("listed", "tok")
+def listed(d):
+    """Tokens of which some begin with a list marker, some after blanks."""
+    marker = " ".join(f"when {i} then '{m}'" for i, m in enumerate(("-", "•", "‣", "⁃", "◦", "⦿", "*")))
+    return f"""select doc_id, page_number, pos, case when pos % 2 = 0 then concat(case when pos % 8 = 0 then '  ' else '' end, case (pos + doc_id) % 7 {marker} end, ' ', content) else content end as content from {d.t('tok')}"""
