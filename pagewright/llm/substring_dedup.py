@@ -34,6 +34,8 @@ from .suffix_array import SuffixArray
 #: Bytes of a repeat, of an anchor, documents of a slice, positions hashed at a time, context bytes of a suffix array, most
 #: contexts of an anchor, and runs from which a context is common in a slice, with the most of these that a task remembers.
 LENGTH, SEED_BYTES, SLICE, STEP, ARRAY_BYTES, CROWD, COMMON, KEPT = 100, 32, 256, 1 << 17, 1 << 20, 512, 8, 1 << 16
+#: Tasks that a crowded anchor's contexts are dealt to where they meet their number.
+SALTS = 32
 #: A run's `windows` hold their number in the low bits, and above them where the anchor stands in the first of them.
 PLACE = 1 << 12
 
@@ -256,8 +258,10 @@ def part_crowds(cut: DataFrame, crowds: DataFrame, length: int = LENGTH, crowd:
     while True:
         parts = stash(longer_anchors(rows, length), "substring-parts")
         heads = parts.groupBy("anchor", "context").agg(F.min(F.struct("doc", "pos")).alias("head"))
-        several = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-        heads = heads.join(several, "anchor").select("anchor", "context", F.col("head.doc").alias("head_doc"), F.col("head.pos").alias("head_pos"), "n")
+        several = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hot anchor's contexts go to many tasks
+        heads = heads.withColumn("salt", F.pmod("context", F.lit(SALTS)).cast("int")).join(several, ["anchor", "salt"], "left")
+        heads = heads.select("anchor", "context", F.col("head.doc").alias("head_doc"), F.col("head.pos").alias("head_pos"), F.coalesce("n", F.lit(1)).alias("n"))
         met = stash(parts.join(heads, ["anchor", "context"]), "substring-parted")
         is_head = (F.col("doc") == F.col("head_doc")) & (F.col("pos") == F.col("head_pos"))
         covered.append(met.where(~is_head).select("doc", F.col("pos").alias("start"), (F.col("pos") + F.length("bytes")).alias("end")))
