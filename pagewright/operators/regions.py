@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..plans.dual import frame_operator, operator
+from ..plans.dual import braced, operator
 from ..plans.fixtures import TOKEN_TYPES
 
+PAGE = "doc_id, page_number"
+
 
 @operator("reg")
 def classify_regions(d):
@@ -68,16 +67,27 @@ def style_markdown(d):
  case when f.bold then concat('<b>', t.content, '</b>') when f.italics then concat('<i>', t.content, '</i>') else t.content end as html from {d.t('tok')} t left join {d.t('font')} f on t.doc_id = f.doc_id and t.font_id = f.font_id"""
 
 
-@frame_operator("tok", "page", "reg")
-def document_json(tok: DataFrame, page: DataFrame, reg: DataFrame) -> DataFrame:
-    """Documents as JSON: pages with tokens and regions, and totals."""
-    display = F.create_map(*[F.lit(x) for i, (_, v) in enumerate(TOKEN_TYPES) for x in (i, v)])
-    box = F.struct("left", "top", "right", "bottom").alias("bounding_box")
-    key = ["doc_id", "page_number"]
-    tokens = tok.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("content").alias("text"), display[F.col("token_type")].alias("token_type"), box))).alias("tokens"))
-    regions = reg.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("region_seq", "region_type", box, "width", "height", "area", F.round("aspect_ratio", 4).alias("aspect_ratio")))).alias("regions"))
-    pages = page.join(tokens, key, "left").join(regions, key, "left")
-    body = F.struct("page_number", F.col("page_width").alias("width"), F.col("page_height").alias("height"), F.transform("tokens", lambda t: t.dropFields("pos")).alias("tokens"), F.transform("regions", lambda r: r.dropFields("region_seq")).alias("regions"))
-    docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(body), lambda a, b: a["page_number"] - b["page_number"]).alias("pages"))
-    size = lambda c: F.aggregate("pages", F.lit(0), lambda n, p: n + F.coalesce(F.size(p[c]), F.lit(0)))
-    return docs.select("doc_id", F.to_json(F.struct("pages", F.size("pages").alias("num_pages"), size("tokens").alias("num_tokens"), size("regions").alias("num_regions"))).alias("json"))
+@operator("tok", "page", "reg", "tsr", "cell")
+def document_json(d):
+    """Documents as JSON: pages with tokens and regions, the last structure of a table's box with its cells and their text under
+    the table, and totals. Texts of cells are those of the tokens that overlap them, as in cell_text_json."""
+    from .joins import cell_text_json, region_tsr_json
+
+    text = (lambda x: f"substr(to_json(array({x})), 2, length(to_json(array({x}))) - 2)") if d.name == "spark" else (lambda x: f"cast(to_json({x}) as varchar)")
+    box = lambda x0, y0, x1, y1: f"""'{{¤left¤:', {x0}, ',¤top¤:', {y0}, ',¤right¤:', {x1}, ',¤bottom¤:', {y1}, '}}'"""
+    own = box('"left"', "top", '"right"', "bottom")
+    part = lambda x: f"coalesce({x}, '')"
+    display = "case token_type " + " ".join(f"when {i} then '{v}'" for i, (_, v) in enumerate(TOKEN_TYPES)) + " end"
+    corner = {k: d.trunc(v) for k, v in (("x0", "c.x"), ("y0", "c.y"), ("x1", "c.x + c.w"), ("y1", "c.y + c.h"))}
+    sql = f"""with ct as ({cell_text_json.template(d)}), rt as ({region_tsr_json.template(d)}),
+ tj as (select {PAGE}, {d.listagg(f"""concat('{{¤text¤:', {text('content')}, ',¤token_type¤:¤', {display}, '¤,¤bounding_box¤:', {own}, '}}')""", "','", 'pos')} as js, count(*) as n from {d.t('tok')} group by {PAGE}),
+ cj as (select c.doc_id, c.page_number, c.region_seq, {d.listagg(f"""concat('{{¤row¤:', c."row", ',¤col¤:', c.col, ',¤bounding_box¤:', {box(*corner.values())}, ',¤text¤:', {text('ct.txt')}, '}}')""", "','", 'c."row", c.col')} as js from {d.t('cell')} c
+  join ct on c.doc_id = ct.doc_id and c.page_number = ct.page_number and c.region_seq = ct.region_seq and c."row" = ct."row" and c.col = ct.col group by c.doc_id, c.page_number, c.region_seq),
+ rx as (select r.*, case when x.tsr_seq is not null then concat(',¤tsr_result¤:{{¤num_cells¤:', x.num_cells, ',¤cells¤:[', {part('cj.js')}, ']}}') else '' end as tsr from {d.t('reg')} r join rt x on r.doc_id = x.doc_id and r.page_number = x.page_number and r.region_seq = x.region_seq
+  left join cj on r.doc_id = cj.doc_id and r.page_number = cj.page_number and r.region_seq = cj.region_seq),
+ rj as (select {PAGE}, {d.listagg(f"""concat('{{¤region_type¤:¤', region_type, '¤,¤bounding_box¤:', {own}, ',¤width¤:', width, ',¤height¤:', height, ',¤area¤:', area, ',¤aspect_ratio¤:', round(aspect_ratio, 4), tsr, '}}')""", "','", 'region_seq')} as js, count(*) as n from rx group by {PAGE}),
+ pj as (select p.doc_id, {d.listagg(f"""concat('{{¤page_number¤:', p.page_number, ',¤width¤:', p.page_width, ',¤height¤:', p.page_height, ',¤tokens¤:[', {part('tj.js')}, '],¤regions¤:[', {part('rj.js')}, ']}}')""", "','", 'p.page_number')} as js, count(*) as pages, sum(coalesce(tj.n, 0)) as tokens, sum(coalesce(rj.n, 0)) as regions
+  from {d.t('page')} p left join tj on p.doc_id = tj.doc_id and p.page_number = tj.page_number left join rj on p.doc_id = rj.doc_id and p.page_number = rj.page_number group by p.doc_id)
+ select doc_id, concat('{{¤pages¤:[', js, '],¤num_pages¤:', pages, ',¤num_tokens¤:', tokens, ',¤num_regions¤:', regions, '}}') as json from pj"""
+    sql = sql.replace("¤", '"' if d.name == "duck" else "\\u0022")  # quotes of JSON; those of SQL stand for names
+    return sql if d.name == "duck" else braced(sql, d, ("tok", "page", "reg", "tsr", "cell"))

@@ -81,6 +81,14 @@ class Duck(Spark):
     newline = "chr(10)"
 
 
+def braced(sql: str, d: Spark, relations: tuple[str, ...]) -> str:
+    """For Spark's SQL formatter: braces doubled but those around names of relations."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for r in relations:
+        sql = sql.replace("{" + d.t(r) + "}", d.t(r))
+    return sql
+
+
 @dataclass(frozen=True)
 class Operator:
     """Callable with its input relations as keyword DataFrames."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import operators  # noqa: F401  registers the operators
@@ -11,22 +11,39 @@ from .dual import OPERATORS
 from .fixtures import FX
 
 
-def relations(docs: DataFrame, emissions: DataFrame | None = None, regions: DataFrame | None = None, cells: DataFrame | None = None) -> dict[str, DataFrame]:
-    """docs (doc_id, xml) -> the relations that operators take. Without emissions every token is text; without regions or cells
-    there are none. regions: as fixture `reg`; cells: as fixture `cell`; emissions: doc_id, page_number, pos, p."""
+def relations(docs: DataFrame, emissions: DataFrame | None = None, regions: DataFrame | None = None, cells: DataFrame | None = None, images: DataFrame | None = None, structures: DataFrame | None = None, heights: DataFrame | None = None) -> dict[str, DataFrame]:
+    """docs (doc_id, xml) -> the relations that operators take, all from the documents or given; none is invented.
+
+    Without emissions every token is text; without regions, cells, images or structures there are none. regions, cells,
+    images, structures, emissions: columns as the fixtures `reg`, `cell`, `img`, `tsr`, `emi`. heights (doc_id,
+    common_height): the common height of a document's text; only with it are `styled` tokens there. A document with
+    something wrong is left out (or what of it was recovered, kept): `quarantine` says which.
+    """
     spark = docs.sparkSession
-    found = poppler.scan_tokens(docs)
-    tok = found.withColumn("font_id", F.hash("font_id")).withColumn("token_type", F.lit(6))
+    parsed = poppler.parse(docs).persist()  # read by several relations; lost blocks are parsed again
+    found = poppler.scan_tokens(parsed)
+    tok = found.drop("link", "link_text").withColumn("token_type", F.lit(6))
     none = lambda schema: spark.createDataFrame([], schema)
-    reg = regions if regions is not None else none("doc_id long, page_number int, region_seq int, `left` int, top int, `right` int, bottom int, width int, height int, area int, region_type string, aspect_ratio double")
+    reg = regions if regions is not None else none("doc_id long, page_number int, region_seq int, `left` int, top int, `right` int, bottom int, width int, height int, area int, region_type string, aspect_ratio double, fill_density double, edge_density double, color_variance double, h_lines int, v_lines int")
     cell = cells if cells is not None else none("doc_id long, page_number int, region_seq int, region_left int, region_top int, `row` int, col int, x double, y double, w double, h double")
+    img = images if images is not None else none("doc_id long, page_number int, seq int, page_w double, page_h double, a double, b double, c double, d double, e double, f double, has_text boolean")
+    tsr = structures if structures is not None else none("doc_id long, page_number int, `left` int, top int, `right` int, bottom int, region_seq int, tsr_seq int, num_cells int")
     text = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: (k == 6).cast("double"))
     emi = emissions if emissions is not None else tok.select("doc_id", "page_number", "pos", text.alias("p"))
-    return {"tok": tok, "page": poppler.scan_pages(docs), "reg": reg, "cell": cell, "emi": emi}
+    typed = tok.drop("token_type").join(emi, ["doc_id", "page_number", "pos"], "left").withColumn("token_type", F.when(F.col("p").isNull(), 6).otherwise(F.array_position("p", F.array_max("p")).cast("int") - 1)).drop("p") if emissions is not None else tok
+    lines = OPERATORS["token_lines"](lineof=FX.frame(spark, "", "lineof", {"tok": typed}))
+    frag = typed.join(lines.withColumnRenamed("line_id", "line_no"), ["doc_id", "page_number", "pos"])
+    order = Window.partitionBy("doc_id", "page_number", "line_no").orderBy("left", "pos")
+    frag = frag.select("doc_id", "page_number", "line_no", F.row_number().over(order).alias("frag_no"), "content", "left", "top", "right", "bottom", "token_type")
+    known = {"tok": typed, "page": poppler.scan_pages(parsed), "font": poppler.scan_fonts(parsed), "reg": reg, "cell": cell, "img": img, "tsr": tsr, "emi": emi}
+    known |= {"printed": typed, "pictured": img, "ord": typed, "listed": typed, "frag": frag, "linked": poppler.links(found), "quarantine": poppler.quarantine(parsed), "raw": reg, "cand": reg}
+    if heights is not None:
+        known["styled"] = typed.join(heights.select("doc_id", "common_height"), "doc_id")
+    return known
 
 
 def run(spark: SparkSession, key: str, known: dict[str, DataFrame]) -> DataFrame:
-    """Any operator by key over given relations; what isn't given is derived."""
+    """Any operator by key over given relations and what follows from them; a relation that does neither is an error."""
     known = dict(known)
     op = OPERATORS[key]
     return op(**{i: FX.frame(spark, "", i, known) for i in op.inputs})

@@ -1,12 +1,13 @@
 """Page XML as pdftohtml writes it, and label JSON, as relations.
 
 XML text is the engine's entry point: one row a document. Elements may hold mixed content, which a row schema would lose,
-so a document is parsed with ElementTree in a mapInPandas stage; a document that can't be parsed gives one row in the
-quarantine instead of stopping the job.
+so a document is parsed with ElementTree, once, in a mapInPandas stage; a document with something wrong gives one row in the
+quarantine instead of stopping the job. PDFs become XML and rasters through functions that a caller may replace.
 """
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -14,9 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENS = "doc_id long, page_number int, pos int, tag_id string, content string, font_id string, reading_order_no int, `left` int, top int, `right` int, bottom int, width int, height int"
+TOKENS = "doc_id long, page_number int, pos int, tag_id string, content string, font_id string, reading_order_no int, `left` int, top int, `right` int, bottom int, width int, height int, link string, link_text string"
 PAGES = "doc_id long, page_number int, page_width int, page_height int"
 FONTS = "doc_id long, font_id string, family string, font_size double, bold boolean, italics boolean, color string"
+_STRAY, _CONTROL = re.compile(r"&(?!(?:#\d+|#x[0-9a-fA-F]+|\w+);)"), re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
 LABELS = "struct<pages: array<struct<number: int, labels: array<struct<top: int, left: int, width: int, height: int, label_type: int, metadata: string>>>>>"
 
 
@@ -48,22 +50,27 @@ def fixed(left: int, top: int, right: int, bottom: int) -> tuple[int, int, int,
     return min(left, right), min(top, bottom), max(left, right), max(top, bottom)
 
 
-def _root(text: str | None) -> ET.Element | None:
+def _root(text: str | None) -> tuple[ET.Element | None, str | None]:
+    """The root and what is wrong with the XML. Of broken XML comes what can be had: with stray ampersands and control
+    characters mended the whole, else the elements up to the place where it breaks."""
     try:
-        return ET.fromstring(text or "")
+        return ET.fromstring(text or ""), None
+    except ET.ParseError as e:
+        error = str(e)
+    try:
+        return ET.fromstring(_STRAY.sub("&amp;", _CONTROL.sub("", text or ""))), error
     except ET.ParseError:
-        return None
-
-
-def _rows(docs: DataFrame, each, schema: str) -> DataFrame:
-    names = [c.strip().split(" ")[0].strip("`") for c in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            rows = [(i, *r) for i, text in zip(x["doc_id"], x["xml"], strict=True) if (root := _root(text)) is not None for r in each(root)]
-            yield pd.DataFrame(rows, columns=names)
-
-    return docs.select("doc_id", "xml").mapInPandas(run, schema)
+        pass
+    events = ET.XMLPullParser(("start",))
+    try:
+        events.feed(text or "")
+        events.close()
+    except ET.ParseError:
+        pass
+    try:
+        return next((e for _, e in events.read_events()), None), error
+    except ET.ParseError:
+        return None, error
 
 
 def _tokens(root: ET.Element):
@@ -79,46 +86,156 @@ def _tokens(root: ET.Element):
             pos += 1
             left, top = int(e.get("left")), int(e.get("top"))
             x0, y0, x1, y1 = fixed(left, top, left + int(e.get("width")), top + int(e.get("height")))
-            yield number, pos, e.get("id", "tag"), content, e.get("font"), int(e.get("reading_order_no", -1)), x0, y0, x1, y1, x1 - x0, y1 - y0
+            anchor = e.find(".//a")
+            link = ("", "") if anchor is None else (anchor.get("href", ""), "".join(anchor.itertext()).strip())
+            yield number, pos, e.get("id", "tag"), content, e.get("font"), int(e.get("reading_order_no", -1)), x0, y0, x1, y1, x1 - x0, y1 - y0, *link
+
+
+def _pages(root: ET.Element):
+    return [(int(p.get("number")), int(p.get("width")), int(p.get("height"))) for p in root.iter("page")]
+
+
+def _fonts(root: ET.Element):
+    return [(f.get("id"), f.get("family"), float(f.get("size")), "Bold" in f.get("family"), "Italic" in f.get("family"), f.get("color", "#000000")) for f in root.iter("fontspec")]
+
+
+def _named(schema: str) -> str:
+    """A schema's columns but doc_id, as fields of a struct."""
+    return ", ".join(f"{n}: {t}" for n, t in (c.strip().split(" ") for c in schema.split(",")[1:]))
+
+
+def parse(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, xml) -> doc_id, tokens, pages, fonts (arrays of structs), contains_text, error, recovered: one row a document
+    and one reading of its XML, from which all scans follow; keep it where several are wanted.
+
+    error says what is wrong with a document, else it is null: XML that doesn't parse (recovered: what could be had is there),
+    a token's font that isn't declared, an attribute that is missing or no number. Then the document has no rows at all unless
+    it was recovered; others go on. An empty text gives no rows and an error."""
+    fields = [(_tokens, TOKENS, "tokens"), (_pages, PAGES, "pages"), (_fonts, FONTS, "fonts")]
+    names = [[c.split(":")[0].strip("` ") for c in _named(schema).split(", ")] for _, schema, _ in fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for i, text in zip(x["doc_id"], x["xml"], strict=True):
+                root, error = _root(text)
+                found, some = [[], [], []], False
+                if root is not None:
+                    some = next(root.iter("text"), None) is not None
+                    try:
+                        found = [[dict(zip(n, r, strict=True)) for r in each(root)] for (each, _, _), n in zip(fields, names, strict=True)]
+                    except (KeyError, TypeError, ValueError) as e:
+                        found, error = [[], [], []], error or f"{type(e).__name__}: {e}"
+                out.append((i, *found, some, error, error is not None and any(found)))
+            yield pd.DataFrame(out, columns=["doc_id", "tokens", "pages", "fonts", "contains_text", "error", "recovered"])
+
+    arrays = ", ".join(f"{name} array<struct<{_named(schema)}>>" for _, schema, name in fields)
+    return docs.select("doc_id", "xml").mapInPandas(run, f"doc_id long, {arrays}, contains_text boolean, error string, recovered boolean")
+
+
+def _scan(docs: DataFrame, name: str) -> DataFrame:
+    """docs: as they are, or parsed."""
+    parsed = docs if name in docs.columns else parse(docs)
+    return parsed.select("doc_id", F.inline(name))
 
 
 def scan_tokens(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, xml) -> TOKENS: text elements that aren't blank, all their descendants' text."""
-    return _rows(docs, _tokens, TOKENS)
+    """docs (doc_id, xml), or parsed -> TOKENS: text elements that aren't blank, all their descendants' text, with the target
+    and the text of their first link."""
+    return _scan(docs, "tokens")
 
 
 def scan_pages(docs: DataFrame) -> DataFrame:
-    return _rows(docs, lambda root: ((int(p.get("number")), int(p.get("width")), int(p.get("height"))) for p in root.iter("page")), PAGES)
+    return _scan(docs, "pages")
 
 
 def scan_fonts(docs: DataFrame) -> DataFrame:
-    return _rows(docs, lambda root: ((f.get("id"), f.get("family"), float(f.get("size")), "Bold" in f.get("family"), "Italic" in f.get("family"), f.get("color", "#000000")) for f in root.iter("fontspec")), FONTS)
+    return _scan(docs, "fonts")
 
 
 def quarantine(docs: DataFrame) -> DataFrame:
-    """doc_id, error of the documents whose XML can't be parsed; they have no tokens, pages or fonts."""
+    """doc_id, error, recovered of the documents with something wrong."""
+    parsed = docs if "error" in docs.columns else parse(docs)
+    return parsed.where("error is not null").select("doc_id", "error", "recovered")
+
+
+def contains_text(docs: DataFrame) -> DataFrame:
+    """doc_id, contains_text: whether any text element is there; false where nothing of the XML can be read."""
+    parsed = docs if "contains_text" in docs.columns else parse(docs)
+    return parsed.select("doc_id", "contains_text")
+
+
+def links(tokens: DataFrame) -> DataFrame:
+    """TOKENS -> doc_id, page_number, pos, content, link, link_text, link_type: a link without target is none; a web link whose
+    text isn't part of the content, none; else a web link or a reference within the document."""
+    web = F.col("link").startswith("http")
+    none = (F.col("link") == "") | (web & ((F.col("link_text") == "") | ~F.contains("content", "link_text")))
+    blank = lambda c: F.when(none, "").otherwise(F.col(c)).alias(c)
+    return tokens.select("doc_id", "page_number", "pos", "content", blank("link"), blank("link_text"), F.when(none, "NO_LINK").when(web, "WEB_URL").otherwise("DOCUMENT_REFERENCE").alias("link_type"))
+
+
+PDFTOHTML = ("pdftohtml", "-i", "-xml", "-zoom", "1.0")
+
+
+def _pdftohtml(pdf: bytes, hidden: bool) -> str:
+    """XML of one PDF by the command, which must be on the executors."""
+    import os
+    import subprocess
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:  # on the executor, for this call alone
+        source, target = os.path.join(folder, "in.pdf"), os.path.join(folder, "out.xml")
+        with open(source, "wb") as f:
+            f.write(pdf)
+        subprocess.run([*PDFTOHTML[:2], *(["-hidden"] if hidden else []), *PDFTOHTML[2:], source, target], check=True, capture_output=True)
+        with open(target, errors="ignore") as f:
+            return f.read()
+
+
+def pdf_to_xml(pdfs: DataFrame, convert=_pdftohtml) -> DataFrame:
+    """pdfs (doc_id, pdf binary) -> doc_id, xml, error. A PDF without visible text is converted again with its hidden text. What
+    fails gives a null xml and the error. convert(bytes, hidden) -> XML; by default the pdftohtml command."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows = []
-            for i, text in zip(x["doc_id"], x["xml"], strict=True):
+            out = []
+            for i, pdf in zip(x["doc_id"], x["pdf"], strict=True):
                 try:
-                    ET.fromstring(text or "")
-                except ET.ParseError as e:
-                    rows.append((i, str(e)))
-            yield pd.DataFrame(rows, columns=["doc_id", "error"])
+                    xml = convert(pdf, False)
+                    root = _root(xml)[0]
+                    if root is None or next(root.iter("text"), None) is None:
+                        xml = convert(pdf, True)
+                    out.append((i, xml, None))
+                except Exception as e:  # noqa: BLE001  whatever a converter raises concerns one document
+                    out.append((i, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["doc_id", "xml", "error"])
 
-    return docs.select("doc_id", "xml").mapInPandas(run, "doc_id long, error string")
+    return pdfs.select("doc_id", "pdf").mapInPandas(run, "doc_id long, xml string, error string")
 
 
-def contains_text(docs: DataFrame) -> DataFrame:
-    """doc_id, contains_text: whether any text element is there; false where the XML can't be parsed."""
+def page_rasters(pdfs: DataFrame, render, dpi: int = 150) -> DataFrame:
+    """pdfs (doc_id, pdf binary) -> doc_id, page_number, img_w, img_h, gray binary, error. render(bytes, dpi) gives the pages as
+    arrays, gray or with three colours, one after another, so that a task holds a page. A PDF that fails gives one row with
+    the error, after the pages before."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        names = ["doc_id", "page_number", "img_w", "img_h", "gray", "error"]
         for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "contains_text": [(r := _root(t)) is not None and next(r.iter("text"), None) is not None for t in x["xml"]]})
+            for i, pdf in zip(x["doc_id"], x["pdf"], strict=True):
+                number = 0
+                try:
+                    for page in render(pdf, dpi):
+                        number += 1
+                        page = np.asarray(page, float)
+                        gray = page if page.ndim == 2 else page[..., :3] @ np.array([0.299, 0.587, 0.114])
+                        gray = np.rint(gray).astype(np.uint8)
+                        yield pd.DataFrame([(i, number, gray.shape[1], gray.shape[0], gray.tobytes(), None)], columns=names)
+                except Exception as e:  # noqa: BLE001  as above
+                    yield pd.DataFrame([(i, number + 1, None, None, None, f"{type(e).__name__}: {e}")], columns=names).astype({"img_w": "Int32", "img_h": "Int32"})
 
-    return docs.select("doc_id", "xml").mapInPandas(run, "doc_id long, contains_text boolean")
+    return pdfs.select("doc_id", "pdf").mapInPandas(run, "doc_id long, page_number int, img_w int, img_h int, gray binary, error string")
 
 
 def scan_labels(docs: DataFrame) -> DataFrame:
@@ -134,7 +251,4 @@ def hyperlinks(elements: DataFrame) -> DataFrame:
     a reference within the document."""
     link, text = F.expr("coalesce(xpath_string(xml, '//a[1]/@href'), '')"), F.trim(F.expr("coalesce(xpath_string(xml, '//a[1]'), '')"))
     x = elements.select("doc_id", "pos", "content", link.alias("link"), text.alias("link_text"))
-    web = F.col("link").startswith("http")
-    none = (F.col("link") == "") | (web & ((F.col("link_text") == "") | ~F.contains("content", "link_text")))
-    blank = lambda c: F.when(none, "").otherwise(F.col(c)).alias(c)
-    return x.select("doc_id", "pos", blank("link"), blank("link_text"), F.when(none, "NO_LINK").when(web, "WEB_URL").otherwise("DOCUMENT_REFERENCE").alias("link_type"))
+    return links(x.withColumn("page_number", F.lit(None))).select("doc_id", "pos", "link", "link_text", "link_type")

@@ -3,11 +3,13 @@ import json
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import model
 from pagewright.plans import parse
-from pagewright.sources import sinks
+from pagewright.plans.dual import OPERATORS
+from pagewright.sources import poppler, sinks
 from pagewright.streaming.ingest import ingest
 from tests.test_layout import XML
 
@@ -52,3 +54,68 @@ def test_model(spark, tmp_path):
     got = model.score(x, again).select("label", (F.array_position("p", F.array_max("p")) - 1).alias("best"), F.size("p").alias("n")).collect()
     assert all(g["label"] == g["best"] and g["n"] == 11 for g in got) and trans.count() == 1
     assert model.score_with(x, lambda a: np.eye(11)[a[:, 0].astype(int)]).count() == 60
+
+
+BAD_FONT = XML.replace('font="0" id="t9"', 'font="5" id="t9"')
+BAD_NUMBER = XML.replace('left="140"', 'left="far"')
+
+
+def test_one_bad_document_does_not_stop_the_others(spark):
+    texts = [XML, BAD_FONT, BAD_NUMBER, "<broken", XML.replace("z &amp; y", "z & y"), XML[: XML.index("<text top=\"1\"")], None]
+    known = parse.relations(spark.createDataFrame(list(enumerate(texts)), "doc_id long, xml string"))
+    md = {r["doc_id"]: r["md"] for r in parse.run(spark, "document_markdown", known).collect()}
+    assert md == {0: "a bold tail z & y", 4: "a bold tail z & y", 5: "a bold tail z & y"}
+    assert {r["doc_id"]: r["recovered"] for r in known["quarantine"].collect()} == {1: False, 2: False, 3: False, 4: True, 5: True, 6: False}
+
+
+def test_relations_of_a_document_are_its_own(spark):
+    known = parse.relations(docs(spark))
+    assert [tuple(r) for r in parse.run(spark, "token_font", known).select("pos", "bold", "font_size").orderBy("pos").collect()] == [(1, True, 12.0), (2, True, 12.0)]
+    assert [r["font_size_mode"] for r in parse.run(spark, "font_mode", known).collect()] == [12.0]
+    assert parse.run(spark, "text_features", known).count() == 2
+    assert parse.run(spark, "embedded_image_regions", known).count() == 0
+    assert [r["txt"] for r in parse.run(spark, "merge_tokens", known).collect()] == ["a bold tail z & y"]
+    assert [(r["pos"], r["md"]) for r in parse.run(spark, "link_markdown", known).orderBy("pos").collect()] == [(1, "a bold tail"), (2, "[z & y](http://z.example)")]
+    assert {r["level"] for r in parse.run(spark, "list_levels", known).collect()} == {-1}
+    assert [r["page_number"] for r in parse.run(spark, "scanned_pages", known).collect()] == [2]
+    heights = spark.createDataFrame([(1, 5)], "doc_id long, common_height int")
+    assert parse.run(spark, "title_level", parse.relations(docs(spark), heights=heights)).count() == 2
+    for key in ("title_level", "label_assign", "mistake_type", "tsr_rows"):
+        with pytest.raises(KeyError, match="must be given"):
+            parse.run(spark, key, known)
+
+
+def test_every_operator_runs_or_says_what_it_lacks(spark):
+    known = parse.relations(docs(spark), heights=spark.createDataFrame([(1, 5)], "doc_id long, common_height int"))
+    ran = 0
+    for key in OPERATORS:
+        try:
+            frame = parse.run(spark, key, known)
+        except KeyError as e:
+            assert "must be given" in str(e)
+            continue
+        assert frame.columns
+        ran += 1
+    assert ran >= 60
+
+
+def test_pdfs(spark):
+    pdfs = spark.createDataFrame([(1, b"text"), (2, b"hidden"), (3, b"bad")], "doc_id long, pdf binary")
+
+    def convert(pdf, hidden):
+        if pdf == b"bad":
+            raise ValueError("no PDF")
+        return XML if pdf == b"text" or hidden else "<pdf2xml><page number='1' width='1' height='1'/></pdf2xml>"
+
+    got = {r["doc_id"]: (r["xml"], r["error"]) for r in poppler.pdf_to_xml(pdfs, convert).collect()}
+    assert got == {1: (XML, None), 2: (XML, None), 3: (None, "ValueError: no PDF")}
+
+    def render(pdf, dpi):
+        yield np.full((2, 3), 7)
+        if pdf == b"bad":
+            raise ValueError("no page")
+        yield np.full((2, 3, 3), [255, 0, 0])
+
+    pages = sorted((r["doc_id"], r["page_number"], bytes(r["gray"] or b""), r["error"]) for r in poppler.page_rasters(pdfs, render, 72).collect())
+    assert pages[:2] == [(1, 1, bytes([7] * 6), None), (1, 2, bytes([76] * 6), None)]
+    assert pages[-2:] == [(3, 1, bytes([7] * 6), None), (3, 2, b"", "ValueError: no page")]
