@@ -156,11 +156,10 @@ def typed(d):
 
 @FX.add("lines", "typed", "lineof")
 def lines(d):
-    return f"""with x as (select t.*, p.line_id, count(*) over (partition by t.doc_id, t.page_number, p.line_id, t.token_type) as same, row_number() over (partition by t.doc_id, t.page_number, p.line_id order by t."left", t.pos) as seat
-  from {d.t('typed')} t join {d.t('lineof')} p on t.doc_id = p.doc_id and t.page_number = p.page_number and t.pos = p.pos),
- y as (select *, row_number() over (partition by {PAGE}, line_id order by same desc, seat) as best from x)
- select {PAGE}, line_id, min(top) as top, max(bottom) as bottom, min("left") as "left", max("right") as "right", {d.listagg('content', "' '", '"left", pos')} as txt, min(case when best = 1 then token_type end) as dominant_type,
- cast(row_number() over (partition by {PAGE} order by min(top), line_id) as int) as line_no from y group by {PAGE}, line_id"""
+    x = f"""(select t.*, p.line_id, count(*) over (partition by t.doc_id, t.page_number, p.line_id, t.token_type) as same, row_number() over (partition by t.doc_id, t.page_number, p.line_id order by t."left", t.pos) as seat
+  from {d.t('typed')} t join {d.t('lineof')} p on t.doc_id = p.doc_id and t.page_number = p.page_number and t.pos = p.pos) x"""
+    return f"""select {PAGE}, line_id, min(top) as top, max(bottom) as bottom, min("left") as "left", max("right") as "right", {d.listagg('content', "' '", '"left", pos')} as txt, min(case when best = 1 then token_type end) as dominant_type,
+ cast(row_number() over (partition by {PAGE} order by min(top), line_id) as int) as line_no from (select *, row_number() over (partition by {PAGE}, line_id order by same desc, seat) as best from {x}) y group by {PAGE}, line_id"""
 
 
 @operator("lines")

@@ -6,10 +6,12 @@ may carry a Spark implementation of its own where SQL isn't the best plan; its t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Spark:
@@ -89,6 +91,28 @@ def braced(sql: str, d: Spark, relations: tuple[str, ...]) -> str:
     return sql
 
 
+#: Views that rendered SQL reads. They outlive their query's analysis, since dropping a view also drops what is kept of its plan.
+_views: list[str] = []
+
+
+def rendered(template: Callable, frames: dict[str, DataFrame]) -> DataFrame:
+    """The template's Spark SQL over frames by the names of relations."""
+    spark, names = next(iter(frames.values())).sparkSession, {}
+    for k, v in frames.items():
+        names[k] = f"pagewright_{uuid.uuid4().hex}_{k}"
+        v.createOrReplaceTempView(names[k])
+    _views.extend(names.values())
+    out = spark.sql(template(Spark()).format(**names).replace('"', "`"))
+    forget(spark, 1024)
+    return out
+
+
+def forget(spark: SparkSession, most: int = 0) -> None:
+    """Drops the oldest views but for `most`."""
+    while len(_views) > most:
+        spark.catalog.dropTempView(_views.pop(0))
+
+
 @dataclass(frozen=True)
 class Operator:
     """Callable with its input relations as keyword DataFrames."""
@@ -102,8 +126,7 @@ class Operator:
     def __call__(self, **frames: DataFrame) -> DataFrame:
         if self.spark_form:
             return self.spark_form(**{k: frames[k] for k in self.inputs})
-        spark = next(iter(frames.values())).sparkSession
-        return spark.sql(self.template(Spark()).replace('"', "`"), **{k: frames[k] for k in self.inputs})
+        return rendered(self.template, {k: frames[k] for k in self.inputs})
 
     def oracle(self) -> str | None:
         return self.template(Duck()) if self.template else None
@@ -133,12 +156,17 @@ def frame_operator(*inputs: str, key: str | None = None):
     return made
 
 
+#: Relations that are worth keeping, inner ones first, and reads from which they are kept.
+SHARED, LEAST = ("tok", "lines", "ctx"), 2
+
+
 class Relations:
     """Relations by name, each derived from tables or other relations; built when asked for."""
 
     def __init__(self):
         self.made: dict[str, tuple[tuple[str, ...], Callable, Callable | None]] = {}
         self.invented: set[str] = set()
+        self.kept: list[DataFrame] = []
 
     def add(self, name: str, *inputs: str, spark: Callable | None = None):
         """A relation that follows from others."""
@@ -154,21 +182,49 @@ class Relations:
         self.invented.add(name)
         return self.add(name, *inputs, spark=spark)
 
-    def frame(self, spark: SparkSession, sf_dir: str, name: str, given: dict | None = None) -> DataFrame:
+    def frame(self, spark: SparkSession, sf_dir: str, name: str, given: dict | None = None, shared: dict | None = None) -> DataFrame:
         """A relation over given ones or, without them, over the tables below sf_dir. Each use of a relation is a plan of its
         own: Spark's analyser can fail to tell two uses of one apart when Python stages lie between; equal exchanges are
         still found and run once. Beside given relations nothing is invented: what neither is given nor follows from given
         ones is an error."""
         if given is not None and name in given:
             return given[name]
+        if shared and name in shared:  # columns by aliases: each use has its own
+            return shared[name].select(*[F.col(c).alias(c) for c in shared[name].columns])
         if given is not None and (name in self.invented or name not in self.made):
             raise KeyError(f"the relation {name!r} must be given")
         if name not in self.made:
             return spark.read.parquet(f"{sf_dir}/{name}.parquet")
         inputs, template, form = self.made[name]
-        frames = {i: self.frame(spark, sf_dir, i, given) for i in inputs}
-        return form(**frames) if form else spark.sql(template(Spark()).replace('"', "`"), **frames)
+        frames = {i: self.frame(spark, sf_dir, i, given, shared) for i in inputs}
+        return form(**frames) if form else rendered(template, frames)
+
+    def uses(self, templates: list, out: dict[str, int] | None = None) -> dict[str, int]:
+        """How often each relation is read in all, where templates (inputs, template, form) are run once each."""
+        out = {} if out is None else out
+        for inputs, template, form in templates:
+            text = "" if form else template(Spark())
+            for i in inputs:
+                n = 1 if form else text.count("{" + i + "}")
+                out[i] = out.get(i, 0) + n
+                if i in self.made:
+                    self.uses([self.made[i]] * n, out)
+        return out
 
+    def frames(self, spark: SparkSession, sf_dir: str, op: Operator) -> dict[str, DataFrame]:
+        """An operator's inputs over the tables. A relation of SHARED that the operator reads at least LEAST times in all is
+        computed once, kept in memory and on the executors' disks (lost blocks are computed again) until the next operator's
+        inputs are asked for."""
+        for df in self.kept:
+            df.unpersist()
+        forget(spark)
+        reads = self.uses([(op.inputs, op.template, op.spark_form)])
+        shared: dict[str, DataFrame] = {}
+        for n in SHARED:
+            if n in self.made and reads.get(n, 0) >= LEAST:
+                shared[n] = self.frame(spark, sf_dir, n, None, shared).persist()
+        self.kept = list(shared.values())
+        return {i: self.frame(spark, sf_dir, i, None, shared) for i in op.inputs}
 
     def needed(self, names: tuple[str, ...], out: list[str] | None = None) -> list[str]:
         out = [] if out is None else out

@@ -15,23 +15,18 @@ DISPLAY = "(case token_type " + " ".join(f"when {i} then '{v}'" for i, (_, v) in
 @FX.invent("tok", "documents")
 def tok(d):
     """Tokens: a line of a document is a visual line, a sentence of it a fragment."""
-    if d.name == "spark":
-        head = f"""with l as (select doc_id, posexplode(split(text, '\\n')) as (line_no, ln) from {d.t('documents')}),
-f as (select doc_id, line_no, frag_no, trim(x) as content from (select doc_id, line_no, posexplode(split(ln, '[.] ')) as (frag_no, x) from l) where length(trim(x)) > 0)"""
+    if d.name == "spark":  # nested, without names: a plan that is built twice then is equal, and what is kept is found
+        lines = f"(select doc_id, posexplode(split(text, '\\n')) as (line_no, ln) from (select doc_id, text from {d.t('documents')} distribute by doc_id) t) l"
+        parts = f"(select doc_id, line_no, frag_no, trim(x) as content from (select doc_id, line_no, posexplode(split(ln, '[.] ')) as (frag_no, x) from {lines}) f where length(trim(x)) > 0) f"
     else:
-        head = """with l as (select doc_id, unnest(range(len(string_split(text, chr(10)))))::int as line_no, unnest(string_split(text, chr(10))) as ln from documents),
-f0 as (select doc_id, line_no, unnest(range(len(string_split(ln, '. '))))::int as frag_no, trim(unnest(string_split(ln, '. '))) as content from l),
-f as (select * from f0 where length(content) > 0)"""
-    return (
-        head
-        + f""", g as (select *, cast({d.idiv('line_no', '20')} + 1 as int) as page_number,
+        lines = "(select doc_id, unnest(range(len(string_split(text, chr(10)))))::int as line_no, unnest(string_split(text, chr(10))) as ln from documents) l"
+        parts = f"(select * from (select doc_id, line_no, unnest(range(len(string_split(ln, '. '))))::int as frag_no, trim(unnest(string_split(ln, '. '))) as content from {lines}) f0 where length(content) > 0) f"
+    return f"""select doc_id, page_number, cast(row_number() over (partition by doc_id, page_number order by line_no, frag_no) as int) as pos, line_no, frag_no, content,
+ "left", top, "left"+width as "right", top+height as bottom, width, height,
+ cast((doc_id + line_no) % 4 as int) as font_id, cast((doc_id*7 + line_no*3 + frag_no*5) % 11 as int) as token_type from (select *, cast({d.idiv('line_no', '20')} + 1 as int) as page_number,
  cast(50 + coalesce(sum(length(content)*4+8) over (partition by doc_id, line_no order by frag_no rows between unbounded preceding and 1 preceding), 0) as int) as "left",
  cast(60 + (line_no % 20)*16 + (case when line_no % 5 = 0 then 0 else 3 end) + frag_no % 2 as int) as top,
- cast(length(content)*4 as int) as width, cast(10 + (doc_id + line_no) % 5 as int) as height from f)
-select doc_id, page_number, cast(row_number() over (partition by doc_id, page_number order by line_no, frag_no) as int) as pos, line_no, frag_no, content,
- "left", top, "left"+width as "right", top+height as bottom, width, height,
- cast((doc_id + line_no) % 4 as int) as font_id, cast((doc_id*7 + line_no*3 + frag_no*5) % 11 as int) as token_type from g"""
-    )
+ cast(length(content)*4 as int) as width, cast(10 + (doc_id + line_no) % 5 as int) as height from {parts}) g"""
 
 
 @FX.invent("page", "tok")

@@ -13,7 +13,7 @@ from .fixtures import FX
 
 def _query(op) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op(**{i: FX.frame(spark, sf_dir, i) for i in op.inputs})
+        return op(**FX.frames(spark, sf_dir, op))
 
     run.__name__, run.__doc__ = op.key, op.doc
     return run

@@ -67,8 +67,7 @@ def test_operator(spark, sf, duck, key):
 @pytest.mark.parametrize("key", ["line_blocks", "viterbi_labels", "document_markdown", "cell_text_md", "doc_modes"])
 def test_row_order_does_not_matter(spark, sf, key):
     op = OPERATORS[key]
-    known = {}
-    frames = {i: FX.frame(spark, sf, i, known) for i in op.inputs}
+    frames = {i: FX.frame(spark, sf, i) for i in op.inputs}
     mixed = {k: v.repartition(7).sortWithinPartitions(*v.columns[::-1][:1]) if v.columns else v for k, v in frames.items()}
     assert sorted(map(str, op(**frames).collect())) == sorted(map(str, op(**mixed).collect()))
 
