@@ -152,6 +152,16 @@ def grid_lines(mask: np.ndarray, kernel: int) -> tuple[int, int]:
     return count(dilate(erode(mask, kernel, 1), kernel, 1), 1, w), count(dilate(erode(mask, 1, kernel), 1, kernel), 0, h)
 
 
+#: Reach, at 150 dpi, over which strokes of text grow together.
+TEXT_CLOSING = (50, 10)
+
+
+def text_mask(ink: np.ndarray, dpi: int) -> np.ndarray:
+    """Ink closed into blocks of text; what lies outside of them is no text. For pages whose text is thin."""
+    kw, kh = (scaled(v, dpi) for v in TEXT_CLOSING)
+    return erode(dilate(ink, kw, kh), kw, kh)
+
+
 def token_mask(boxes: list[tuple[int, int, int, int]], shape: tuple[int, int], dpi: int) -> np.ndarray:
     """Cells under tokens (left, top, right, bottom in points), grown a little."""
     out, s = np.zeros(shape, bool), dpi / 72

@@ -124,3 +124,14 @@ def tsr_column_assign(d):
 def tsr_first_box(d):
     """The first box, from the left, of each cell of the grid, as XML puts it down."""
     return f"""with {_tsr_columns(d)} select doc_id, page_number, region_seq, row_no, col, x, y, w, h from (select *, row_number() over (partition by doc_id, page_number, region_seq, row_no, col order by y, seq) as rn from assigned) z where rn = 1"""
+
+
+@operator("box")
+def tsr_xml(d):
+    """A table's grid as XML: of each cell of the grid that has boxes the first; an empty element without any."""
+    key, q = "doc_id, page_number, region_seq", "chr(34)"
+    pair = lambda n, v: f"' {n}=', {q}, {v}, {q}"
+    cell = f"""concat('  <cell', {pair('row', 'row_no')}, {pair('column', 'col')}, '>', {d.newline}, '    <boundingbox', {pair('x', 'x')}, {pair('y', 'y')}, {pair('w', 'w')}, {pair('h', 'h')}, '/>', {d.newline}, '  </cell>', {d.newline})"""
+    return f"""with f as ({tsr_first_box.template(d)}), g as (select {key}, {d.listagg(cell, "''", 'row_no, col')} as cells from f group by {key})
+ select b.doc_id, b.page_number, b.region_seq, case when g.cells is null then concat('<table/>', {d.newline}) else concat('<table>', {d.newline}, g.cells, '</table>', {d.newline}) end as xml
+ from (select distinct {key} from {d.t('box')}) b left join g on b.doc_id = g.doc_id and b.page_number = g.page_number and b.region_seq = g.region_seq"""

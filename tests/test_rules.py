@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 
 from pagewright.functions import raster
@@ -238,6 +239,23 @@ def test_table_structures(rows):
     assert rows("tsr_column_assign", "seq row_no col", box=frame) == [(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1), (4, 1, 2)]
 
 
+def test_table_xml(rows):
+    box = "doc_id long, page_number int, region_seq int, seq int, x int, y int, w int, h int, img_w int, img_h int"
+    frame = ([(1, 1, 0, s, x, y, 40, 10, 200, 200) for s, (x, y) in enumerate([(0, 0), (60, 1), (2, 2), (0, 30), (60, 30)])] + [(1, 1, 1, 0, 0, 0, 199, 10, 200, 200)], box)
+    cell = '  <cell row="{}" column="{}">\n    <boundingbox x="{}" y="{}" w="40" h="10"/>\n  </cell>\n'.format
+    got = dict(rows("tsr_xml", "region_seq xml", box=frame))
+    # three boxes of the first row make three columns; those of the second go to the nearest
+    assert got[1] == "<table/>\n" and got[0].startswith("<table>\n" + cell(0, 0, 0, 0)) and got[0].endswith(cell(1, 2, 60, 30) + "</table>\n")
+
+
+def test_text_mask():
+    ink = np.zeros((60, 300), bool)
+    ink[20:26, 20:40] = ink[20:26, 60:80] = ink[20:26, 200:220] = True
+    mask = raster.text_mask(ink, 150)
+    # kernels of even size move what they close by one
+    assert mask[21:27, 21:81].all() and not mask[20:28, 100:190].any() and mask[21:27, 201:221].all() and not mask[:15].any()
+
+
 def test_predictions(rows):
     pred = ([(1, 1, 0, 10, 10, 3), (1, 1, 1, 10, 10, 4), (1, 1, 2, 95, 10, 5), (1, 1, 3, 500, 500, 7)], "doc_id long, page_number int, seq int, `left` int, top int, token_type int")
     frame = tok((1, "a", 10, 10, 20, 20), (2, "b", 100, 10, 110, 20), (3, "c", 300, 10, 310, 20))
