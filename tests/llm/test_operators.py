@@ -50,6 +50,29 @@ def test_exact_dedup_directory_doubles(spark):
     assert max(sizes.values()) <= 50 and len({r["depth"] for r in rows}) >= 1
 
 
+def test_exact_dedup_index_is_dealt_by_bucket(docs, corpus):
+    rows, index = exact_dedup.build_index(docs, capacity=3, max_depth=4)
+    files = index.withColumn("file", F.input_file_name()).groupBy("bucket").agg(F.countDistinct("file").alias("files"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(files) > 3 and all(r["files"] == 1 for r in files)
+    assert sum(r["n"] for r in files) == len({lowered(t) for _, t, *_ in corpus}) and index.where("chain > 1").count() == 0
+    assert rows.join(index, ["bucket", "key", "sha"]).count() == len(corpus)
+    plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "MapIn" not in plan
+
+
+def test_shared_folder_of_a_cluster_must_be_named(monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
+
+
 def test_exact_dedup_small_buckets_agree(docs):
     want = sorted(map(tuple, exact_dedup.exact_dedup(docs).collect()))
     assert sorted(map(tuple, exact_dedup.exact_dedup(docs, capacity=1, max_depth=3).collect())) == want
