@@ -16,6 +16,9 @@ MODULES = {
     "op8_language_id": "language_id",
     "op9_quality": "quality",
     "op10_exact_dedup": "exact_dedup",
+    "op11_fill_in_middle": "fim",
+    "op12_toxicity": "toxicity",
+    "op13_sale_enrichment": "sale_enrichment",
 }
 
 
