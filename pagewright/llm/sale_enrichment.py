@@ -44,6 +44,7 @@ OUT = "rec string, id long, batch int, n_held long, change_id long, balance_cent
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # each start opens stores of its own; else those before stay on the executors' disks
 }
 
 
@@ -145,14 +146,14 @@ def watermarks(rows: DataFrame, batches: int = BATCHES, hours: int = 0) -> list[
     return [tuple(m if m == LOWEST else m - back for m in pair) for pair in out]
 
 
-def sliced(rows: DataFrame, least: int = LEAST_SLICE) -> DataFrame:
-    """Adds slice: places in the order by client, time, kind and id, about max(least, root of all rows) to a slice. Ranges are
+def sliced(rows: DataFrame, least: int = LEAST_SLICE) -> tuple[DataFrame, int]:
+    """(rows, number of slices about). Adds slice: places in the order by client, time, kind and id, about max(least, root of all rows) to a slice. Ranges are
     sorted by task and told apart by their task, so numbers of slices ascend; written to shared files, so they stay."""
     n = rows.count()
     size = max(least, int(n**0.5))
     ranges = rows.repartitionByRange(max(1, -(-n // TASK_ROWS)), "client", "t", "kind", "id").sortWithinPartitions("client", "t", "kind", "id")
     place = F.monotonically_increasing_id()  # task * 2**33 + place within it
-    return stash(ranges.withColumn("slice", F.floor(place / (1 << 33)) * (1 << 32) + F.floor(place % (1 << 33) / size)), "sale-slices")
+    return stash(ranges.withColumn("slice", F.floor(place / (1 << 33)) * (1 << 32) + F.floor(place % (1 << 33) / size)), "sale-slices"), -(-n // size)
 
 
 def beside(rows: DataFrame, marks: list[tuple[int, int]]) -> DataFrame:
@@ -211,7 +212,7 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, f
     apart. Rows, clocks, state, checkpoint and results are below spark.checkpoint.dir in a folder of this call.
     """
     spark = sales.sparkSession
-    rows = sliced(cut(spark, sales, changes, batches, first_day, days), least_slice)
+    rows, n = sliced(cut(spark, sales, changes, batches, first_day, days), least_slice)
     marks = watermarks(rows, batches, hours)
     clock = F.array(*[F.struct(F.lit(b).alias("batch"), F.lit(s).alias("t"), F.lit(c).alias("id")) for b, (s, c) in enumerate([*marks, (HIGHEST, HIGHEST)])])
     clocks = rows.select("slice").distinct().select("slice", F.lit(CLOCK).alias("kind"), F.lit(NONE).alias("client"), F.inline(clock))
@@ -227,9 +228,12 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, f
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(home).getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(path(f"{home}/in"))
-    before = {k: spark.conf.get(k, None) for k in STATE}
+    # state is opened anew in each partition at each start, so there are no more of these than slices, nor over 64 slices in one
+    parts = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 64)))
+    settings = STATE | {"spark.sql.shuffle.partitions": str(parts)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in STATE.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         fed = 0
         for b in range(batches + 1):
