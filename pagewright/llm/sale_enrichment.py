@@ -3,7 +3,7 @@
 Sales and changes are one stream of rows. They are dealt by ranges of (client, time) into slices of about the square root of
 all rows each, so a slice holds many small clients or a stretch of time of a large one, and neither a slice nor the number of
 slices of one client grows faster than that root. A slice is a key of transformWithState; its state are two lists, the versions
-sorted by client and time, and the sales that wait. Each batch brings a slice a clock row with both watermarks: changes below
+sorted by client and time, and the sales that wait, both in blocks of rows by column. Each batch brings a slice a clock row with both watermarks: changes below
 theirs are late, the others are put in order, sales below both watermarks are looked up by bisection and emitted, then versions
 that no later sale may take are pruned. Where a client goes over several slices a second injected row tells each of them what
 the others hold at that batch: the last version before the slice, how many unpruned versions lie outside it, and the client's
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -48,17 +49,44 @@ STATE = {
 }
 
 
+#: Columns of the blocks that state holds, and rows of a block.
+VERSIONS = pa.schema([("client", pa.int64()), ("t", pa.int64()), ("id", pa.int64()), ("cents", pa.int64()), ("op", pa.string())])
+WAITING = pa.schema([("client", pa.int64()), ("t", pa.int64()), ("id", pa.int64())])
+BLOCK_ROWS = 8192
+
+
 def ordered(client: np.ndarray, t: np.ndarray, id: np.ndarray, cents: np.ndarray, op: np.ndarray) -> np.ndarray:
     """Order by client, time and id; versions equal in all three by balance and op."""
-    return np.lexsort((np.unique(np.array(["" if x is None else x for x in op], str), return_inverse=True)[1] if len(op) else op, cents, id, t, client))
+    at = np.lexsort((cents, id, t, client))
+    same = np.ones(max(0, len(at) - 1), bool)
+    for c in (client, t, id, cents):
+        same &= np.diff(c[at]) == 0
+    if not same.any():
+        return at
+    return np.lexsort((np.unique(np.array(["" if x is None else x for x in op], str), return_inverse=True)[1], cents, id, t, client))
+
+
+def from_blocks(state, schema: pa.Schema) -> list[np.ndarray]:
+    """The columns of a list's blocks, put together."""
+    blocks = [pa.ipc.read_record_batch(pa.py_buffer(b), schema) for (b,) in state.get()]
+    if not blocks:
+        return [np.zeros(0, object if pa.types.is_string(f.type) else np.int64) for f in schema]
+    return [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in blocks]) for i in range(len(schema))]
+
+
+def to_blocks(state, columns: list[np.ndarray], schema: pa.Schema, had: bool) -> None:
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    if batch.num_rows:
+        state.put([(batch.slice(at, BLOCK_ROWS).serialize().to_pybytes(),) for at in range(0, batch.num_rows, BLOCK_ROWS)])
+    elif had:
+        state.clear()
 
 
 class Enrich(StatefulProcessor):
     """One slice: see the module."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.versions = handle.getListState("versions", "client long, t long, id long, cents long, op string")
-        self.waiting = handle.getListState("waiting", "client long, t long, id long")
+        self.versions, self.waiting = (handle.getListState(name, "block binary") for name in ("versions", "waiting"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         x = pd.concat(list(rows), ignore_index=True)
@@ -69,11 +97,11 @@ class Enrich(StatefulProcessor):
 
         late = (kind == VERSION) & (new["t"] < changes_mark)
         fresh = (kind == VERSION) & ~late
-        held = list(self.versions.get())
-        old = {c: np.array([r[i] for r in held], object if c == "op" else np.int64) for i, c in enumerate(new)}
-        v = {c: np.concatenate([old[c], new[c][fresh]]) for c in new}
-        at = ordered(**v)
-        v = {c: a[at] for c, a in v.items()}
+        held = from_blocks(self.versions, VERSIONS)
+        v = {c: np.concatenate([old, new[c][fresh]]) for c, old in zip(new, held, strict=True)}
+        if fresh.any():
+            at = ordered(**v)
+            v = {c: a[at] for c, a in v.items()}
 
         outside, before = {}, {}
         for i in np.flatnonzero(kind == BESIDE):
@@ -84,37 +112,39 @@ class Enrich(StatefulProcessor):
             below = (v["client"] == c) & ((v["t"] < floor[0]) | ((v["t"] == floor[0]) & (v["id"] < floor[1])))
             v = {k: a[~below] for k, a in v.items()}
 
-        wait = list(self.waiting.get())
-        sold = [np.concatenate([np.array([r[i] for r in wait], np.int64), new[c][kind == SALE]]) for i, c in enumerate(("client", "t", "id"))]
+        wait = from_blocks(self.waiting, WAITING)
+        sold = [np.concatenate([old, new[c][kind == SALE]]) for c, old in zip(("client", "t", "id"), wait, strict=True)]
         due = (sold[1] == NONE) | (sold[1] < low) if low < HIGHEST else np.ones(len(sold[1]), bool)
-        out = [("late", int(i), batch, NONE, NONE, NONE, None) for i in new["id"][late]]
-        clients, times = (sold[i][due] for i in range(2))
+        clients, times, ids = (s[due] for s in sold)
         first, last = np.searchsorted(v["client"], clients, "left"), np.searchsorted(v["client"], clients, "right")
         all_times = v["t"].tolist()
-        for c, t, i, lo, hi in zip(clients.tolist(), times.tolist(), sold[2][due].tolist(), first.tolist(), last.tolist(), strict=True):
-            if c == NONE:
-                out.append(("sale", i, batch, 0, NONE, NONE, None))
-                continue
-            j = bisect_right(all_times, t, lo, hi) - 1 if t != NONE else -1
-            found = (v["id"][j], v["cents"][j], v["op"][j]) if t != NONE and j >= lo else before.get(c) if t != NONE else None
-            found = found or (NONE, NONE, None)
-            out.append(("sale", i, batch, hi - lo + outside.get(c, 0), int(found[0]), int(found[1]), found[2]))
+        at = np.array([bisect_right(all_times, t, lo, hi) - 1 for t, lo, hi in zip(times.tolist(), first.tolist(), last.tolist(), strict=True)], np.int64)
+        known, dated = clients != NONE, times != NONE
+        n_held, found = np.where(known, last - first, 0), known & dated & (at >= first)
+        told = {c: np.full(len(ids), None if c == "op" else NONE, object if c == "op" else np.int64) for c in ("id", "cents", "op")}
+        for c in told:
+            told[c][found] = v[c][at[found]]
+        for c, n in outside.items():
+            here = clients == c
+            n_held[here] += n
+            if c in before:
+                here &= dated & ~found
+                for k, value in zip(told, before[c], strict=True):
+                    told[k][here] = value
 
         under = v["t"] <= low
         gone = under.copy()
         gone[-1:] = False
         gone[:-1] &= under[1:] & (v["client"][1:] == v["client"][:-1])
-        self._put(self.versions, [v[c][~gone] for c in v], bool(held))
-        self._put(self.waiting, [s[~due] for s in sold], bool(wait))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    @staticmethod
-    def _put(state, columns: list[np.ndarray], had: bool) -> None:
-        if len(columns[0]):
-            state.put(list(zip(*(c.tolist() for c in columns), strict=True)))
-        elif had:
-            state.clear()
+        if fresh.any() or gone.any() or len(v["t"]) != len(held[0]):
+            to_blocks(self.versions, [v[c][~gone] for c in v], VERSIONS, len(held[0]) > 0)
+        if len(sold[0]) != len(wait[0]) or due.any():
+            to_blocks(self.waiting, [s[~due] for s in sold], WAITING, len(wait[0]) > 0)
+        if late.any():
+            n = int(late.sum())
+            yield pd.DataFrame({"rec": "late", "id": new["id"][late], "batch": np.int32(batch), "n_held": np.full(n, NONE), "change_id": np.full(n, NONE), "balance_cents": np.full(n, NONE), "op": np.full(n, None)})
+        if len(ids):
+            yield pd.DataFrame({"rec": "sale", "id": ids, "batch": np.int32(batch), "n_held": n_held, "change_id": told["id"], "balance_cents": told["cents"], "op": told["op"]})
 
     def close(self) -> None:
         pass
@@ -213,6 +243,8 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, f
     """
     spark = sales.sparkSession
     rows, n = sliced(cut(spark, sales, changes, batches, first_day, days), least_slice)
+    if not n:
+        return spark.createDataFrame([], OUT.replace("batch int", "batch long"))
     marks = watermarks(rows, batches, hours)
     clock = F.array(*[F.struct(F.lit(b).alias("batch"), F.lit(s).alias("t"), F.lit(c).alias("id")) for b, (s, c) in enumerate([*marks, (HIGHEST, HIGHEST)])])
     clocks = rows.select("slice").distinct().select("slice", F.lit(CLOCK).alias("kind"), F.lit(NONE).alias("client"), F.inline(clock))
@@ -224,7 +256,6 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, f
 
     home = f"{shared_dir(spark)}/sale-stream-{uuid.uuid4().hex}"
     all_rows.withColumn("at", F.col("batch")).write.partitionBy("at").parquet(f"{home}/cut")
-    result = spark.read.schema(OUT).parquet
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(home).getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(path(f"{home}/in"))
@@ -235,22 +266,18 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, f
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        fed = 0
-        for b in range(batches + 1):
+        for b in range(batches + 1):  # each has a clock row of every slice at least
             if not files.rename(path(f"{home}/cut/at={b}"), path(f"{home}/in/{b:04}")):
-                continue  # empty tables alone have no row, not even a clock
+                raise OSError(f"batch {b} could not be moved below {home}/in")
             stream = spark.readStream.schema(ROW).option("recursiveFileLookup", "true").parquet(f"{home}/in")
             told = stream.groupBy("slice").transformWithStateInPandas(Enrich(), OUT, "Append", "None")
             started = told.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{home}/out")
             started.awaitTermination()
-            fed += 1
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    if not fed:
-        return spark.createDataFrame([], OUT)
     null = lambda c: F.nullif(F.col(c), F.lit(NONE)).alias(c)
-    return result(f"{home}/out").select("rec", null("id"), F.col("batch").cast("long").alias("batch"), null("n_held"), null("change_id"), null("balance_cents"), "op")
+    return spark.read.schema(OUT).parquet(f"{home}/out").select("rec", null("id"), F.col("batch").cast("long").alias("batch"), null("n_held"), null("change_id"), null("balance_cents"), "op")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
