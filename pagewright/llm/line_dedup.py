@@ -2,12 +2,15 @@
 
 Documents are brought together by keys: the hashes of lines of LINE characters or more, and of the shortest runs of successive
 lines, from each line on and up to each line, that have BLOCK characters. Any shared block of BLOCK characters is covered by
-such runs, whatever its lines. A rare key, one that at most RARE documents hold, brings its holders together each with each. A
-common one brings every later document together with the first that holds it: one pair a document however many share the
-key; since the first holder of a run holds all its lines in a row, a shared block is met whoever shares it. Each pair is
-aligned by patience diff (lines unique in both, their longest increasing run, then the stretches between; a stretch without
-such lines is parted at its longest common block), and aligned blocks of enough characters are deleted from the later
-document.
+such runs, whatever its lines. Every key brings each later document together with the first that holds it: one pair a holder,
+however rare or common the key. Each pair is aligned by patience diff (lines unique in both, their longest increasing run, then
+the stretches between; a stretch without such lines is parted at its longest common block), and aligned blocks of enough
+characters are deleted from the later document. Blocks that stand in another order in the other document are found by aligning
+again what of the common runs is left, until nothing is.
+
+So a pair deletes just what its common runs cover, and since the first holder of a run holds all its lines in a row, the pairs
+of a document together delete every line that lies in a run which any earlier document holds, as all pairs would. More
+holders, or documents that share nothing with it, don't change what a document loses.
 """
 
 from __future__ import annotations
@@ -19,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, stash, text_or_empty
 
-#: Characters of a line that can bring documents together, most documents that hold a rare key, and characters of an aligned
-#: block from which it is deleted.
-LINE, RARE, BLOCK = 24, 6, 120
+#: Characters of a line that can bring documents together, and of an aligned block from which it is deleted; alignments of a
+#: pair, after which what is left of its common runs is deleted at once (what further ones would delete).
+LINE, BLOCK, AGAIN = 24, 120, 16
 
 
 def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -158,22 +161,53 @@ def runs(sizes: list[int], least: int = BLOCK) -> set[tuple[int, int]]:
     return out
 
 
+def run_keys(hashes: list[int], sizes: list[int], least: int = BLOCK) -> list[tuple[int, int, int]]:
+    """(start, end, key) of the runs."""
+    from array import array
+
+    import xxhash
+
+    if sum(sizes) + len(sizes) - 1 < least:
+        return []
+    raw = memoryview(array("q", hashes).tobytes())
+    return [(i, e, xxhash.xxh64_intdigest(raw[8 * i : 8 * e], 1) - (1 << 63)) for i, e in runs(sizes, least)]
+
+
+def deleted(a: list[int], sizes: list[int], b: list[int], b_sizes: list[int], least: int = BLOCK) -> list[tuple[int, int]]:
+    """Stretches start..end (exclusive) of a's lines that stand in blocks of enough characters in b too, in whatever order."""
+    gone, todo = set(), blocks(patience(a, b, sizes, least), sizes, least)
+    there = {key for _, _, key in run_keys(b, b_sizes, least)}
+    left = [(i, e) for i, e, key in run_keys(a, sizes, least) if key in there]
+    for _ in range(AGAIN):
+        gone.update(k for i, e in todo for k in range(i, e))
+        left = [(i, e) for i, e in left if not gone.issuperset(range(i, e))]
+        if not left:
+            break
+        open_ = {k for i, e in left for k in range(i, e)}
+        # lines outside the runs that are left match nothing
+        todo = blocks(patience([h if k in open_ else (1 << 64) + k for k, h in enumerate(a)], b, sizes, least), sizes, least)
+    gone.update(k for i, e in left for k in range(i, e))
+    out: list[list[int]] = []
+    for k in sorted(gone):
+        if out and out[-1][1] == k:
+            out[-1][1] = k + 1
+        else:
+            out.append([k, k + 1])
+    return [(i, e) for i, e in out]
+
+
 def lines_of(docs: DataFrame, line: int = LINE, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text) -> doc_id, hashes array<long>, sizes array<int>, of all lines; keys array<long>, distinct, of
     lines of `line` characters or more and of runs."""
 
     def make():
-        from array import array
-
         import xxhash
 
         digest = xxhash.xxh64_intdigest
 
         def keys(hashes, sizes):
             own = {h for h, n in zip(hashes, sizes, strict=True) if n >= line}
-            if sum(sizes) + len(sizes) - 1 >= block:
-                raw = memoryview(array("q", hashes).tobytes())
-                own.update(digest(raw[8 * i : 8 * e], 1) - (1 << 63) for i, e in runs(sizes, block) if e > i + 1 or sizes[i] < line)
+            own.update(key for i, e, key in run_keys(hashes, sizes, block) if e > i + 1 or sizes[i] < line)
             return list(own)
 
         def apply(cols):
@@ -187,29 +221,25 @@ def lines_of(docs: DataFrame, line: int = LINE, block: int = BLOCK) -> DataFrame
     return map_texts(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, hashes array<long>, sizes array<int>, keys array<long>")
 
 
-def overlaps(lines: DataFrame, rare: int = RARE) -> DataFrame:
-    """(later, earlier): documents that share a rare key, and each holder of a common key with its first."""
+def overlaps(lines: DataFrame) -> DataFrame:
+    """(later, earlier): each holder of a key with the key's first."""
     held = lines.select("doc_id", F.explode("keys").alias("hash"))
     # written first, so that the join deals both sides out anew and a common key's holders can be split among tasks
-    first = stash(held.groupBy("hash").agg(F.min("doc_id").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lines-first")
-    shared = stash(held.join(first, "hash"), "lines-shared")
-    common = shared.where((F.col("n") > rare) & (F.col("doc_id") > F.col("earlier"))).select(F.col("doc_id").alias("later"), "earlier")
-    holders = shared.where(F.col("n") <= rare).groupBy("hash").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))  # at most `rare`
-    pairs = F.flatten(F.transform("ids", lambda y, i: F.transform(F.slice("ids", 1, i), lambda x: F.struct(y.alias("later"), x.alias("earlier")))))
-    return common.union(holders.select(F.inline(pairs))).distinct()
+    first = stash(held.groupBy("hash").agg(F.min("doc_id").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "earlier"), "lines-first")
+    return held.join(first, "hash").where(F.col("doc_id") > F.col("earlier")).select(F.col("doc_id").alias("later"), "earlier").distinct()
 
 
 def removed_lines(docs: DataFrame, line: int = LINE, block: int = BLOCK) -> DataFrame:
     """(doc_id, spans array<struct<start, end>>): the lines to delete from each document that loses some."""
     lines = stash(lines_of(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), line, block), "lines")
     pairs = overlaps(lines)
-    early = lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("b"))
+    early = lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("b"), F.col("sizes").alias("b_sizes"))
     late = lines.select(F.col("doc_id").alias("later"), F.col("hashes").alias("a"), "sizes")
-    met = pairs.join(early, "earlier").join(late, "later").select("later", "a", "sizes", "b")
+    met = pairs.join(early, "earlier").join(late, "later").select("later", "a", "sizes", "b", "b_sizes")
 
     def make():
         def apply(cols):
-            found = [blocks(patience(a, b, s, block), s, block) for a, b, s in zip(cols["a"], cols["b"], cols["sizes"], strict=True)]
+            found = [deleted(*each, block) for each in zip(cols["a"], cols["sizes"], cols["b"], cols["b_sizes"], strict=True)]
             keep = [i for i, f in enumerate(found) if f]
             return {"doc_id": [cols["later"][i] for i in keep], "spans": [[{"start": x, "end": y} for x, y in found[i]] for i in keep]}
 
