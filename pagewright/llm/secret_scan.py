@@ -3,7 +3,8 @@
 Three patterns give the base spans. Beside them, a run of key-like characters with a sensitive word shortly before or after it
 is a candidate; its novelty is the number of bytes that it adds when the code around it is compressed with zstandard primed by
 a dictionary, divided by its length. The dictionary holds the identifiers of usual configurations and the commonest
-identifiers of the corpus (letters only, so that no secret can enter it), which tasks count in summaries of bounded size. Words, paths and names that the surroundings or the dictionary
+identifiers of the corpus (letters only, so that no secret can enter it), counted exactly, so that what is found doesn't depend
+on how the corpus is partitioned. Words, paths and names that the surroundings or the dictionary
 know compress well; random strings don't, and those are reported as kind `novel`. Other copies of the candidate are blanked
 in its surroundings, or a secret that stands twice would hide itself; and a string over fewer characters (hexadecimal, or
 digits and letters of one case) has fewer bits a character, so it needs less novelty.
@@ -13,10 +14,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import frequent, map_texts
+from .common import map_texts
 
 #: The base patterns, in the order of their kinds; the smallest length is of group 2 for assign, else of the match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -35,9 +40,11 @@ NEAR, AROUND, NOVELTY = 48, 256, 0.75
 #: where 98 of 100 random strings of 16 characters or more pass within code, as they do at NOVELTY for both cases.
 ALPHABETS = ((re.compile(r"[0-9a-f-]+|[0-9A-F-]+"), 0.6), (re.compile(r"[0-9a-z]+|[0-9A-Z]+"), 0.77))
 
-#: Identifiers of the corpus: their form, how many of the commonest go into the dictionary, and their longest.
+#: Identifiers of the corpus: their form, and how many of the commonest go into the dictionary.
 WORD = re.compile(r"\b[A-Za-z_]{3,24}\b", re.ASCII)
-TABLE, LONGEST = 2048, 24
+TABLE = 2048
+#: Different words that a task holds before it passes its counts on.
+HELD = 1 << 18
 
 IDENTIFIERS = """
 import from return class self def function const let var public private static void string int bool true false null None
@@ -65,9 +72,31 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def commonest(docs: DataFrame, table: int = TABLE, held: int = HELD) -> list[str]:
+    """The `table` commonest identifiers that occur at least twice in all texts, commonest first, of equal ones the first by
+    code points. Tasks pass on sums, by word, as soon as they hold `held` words; nothing is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sums():
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+        total: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    total.update(WORD.findall(text))
+                if len(total) > held:
+                    yield sums()
+                    total.clear()
+        yield sums()
+
+    counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(table).collect()]  # `table` words at most
+
+
 def dictionary(docs: DataFrame, table: int = TABLE) -> str:
     """The fixed identifiers and the `table` commonest ones of all texts, these at the end, where matches cost least."""
-    return IDENTIFIERS + " ".join(reversed(frequent(docs, WORD.findall, table, LONGEST)))
+    return IDENTIFIERS + " ".join(reversed(commonest(docs, table)))
 
 
 class Novelty:
