@@ -396,24 +396,65 @@ def test_isotonic():
     assert np.allclose(x, [0.1, 0.7]) and np.allclose(y, [1 / 3, 1])
 
 
-def brute_lines(rows, line=line_dedup.LINE, rare=line_dedup.RARE, block=line_dedup.BLOCK):
+def brute_lines(rows, block=120):
+    """Of all pairs of documents: lines of the later one in any block of enough characters that the earlier one holds."""
     texts = {i: (t or "").split("\n") for i, t in rows}
-    holders = defaultdict(list)
-    for i in sorted(texts):
-        for x in set(texts[i]):
-            if len(x) >= line:
-                holders[x].append(i)
     out = {}
     for i, own in texts.items():
-        with_ = {j for x in set(own) for j in (holders[x] if len(holders.get(x, ())) <= rare else holders[x][:1]) if j < i} if own else set()
         gone = set()
-        for j in with_:
-            for a, b in line_dedup.blocks(line_dedup.patience(own, texts[j]), list(map(len, own)), block):
-                gone.update(range(a, b))
+        for j in texts:
+            if j < i:
+                other = f"\n{chr(10).join(texts[j])}\n"
+                for a in range(len(own)):
+                    b = a + 1
+                    while b <= len(own) and f"\n{chr(10).join(own[a:b])}\n" in other:
+                        b += 1
+                    if len("\n".join(own[a : b - 1])) >= block:
+                        gone.update(range(a, b - 1))
         out[i] = ("\n".join(x for k, x in enumerate(own) if k not in gone), len(own), len(gone))
     return out
 
 
+@pytest.mark.parametrize("holders", [2, 3, 6, 7, 8, 12, 50])
+def test_line_dedup_of_blocks_in_another_order(spark, holders):
+    """The first document holds two blocks in one order, all others in the other order: each of these loses both."""
+    b1, b2 = ("\n".join(f"{c} line {k} {c * 30}" for k in range(4)) for c in "pq")
+    rows = [(0, f"{b2}\nown 0\n{b1}"), *((k, f"{b1}\nown {k}\n{b2}") for k in range(1, holders))]
+    got = {r["doc_id"]: (r["kept_text"], r["n_removed"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (rows[0][1], 0)} | {k: (f"own {k}", 8) for k in range(1, holders)}
+
+
+def test_line_dedup_against_all_pairs_in_any_order(spark):
+    """Blocks in random orders, repeated, cut and joined; and documents that share nothing change nothing."""
+    r = np.random.default_rng(5)
+    pool = ["\n".join(f"{b}.{k} " + "w" * int(r.integers(0, 60)) for k in range(int(r.integers(1, 9)))) for b in range(14)]
+    rows = []
+    for i in range(90):
+        parts = []
+        for b in r.integers(0, 14, int(r.integers(0, 7))):
+            lines = pool[b].split("\n")
+            parts += lines[int(r.integers(0, 2)) :] if r.random() < 0.3 else lines
+            if r.random() < 0.6:
+                parts.append(f"only in {i}")
+        rows.append((i, "\n".join(parts)))
+    run = lambda x: {y["doc_id"]: (y["kept_text"], y["n_lines"], y["n_removed"]) for y in line_dedup.line_dedup(spark.createDataFrame(x, "doc_id long, text string").repartition(4)).collect()}
+    want, got = brute_lines(rows), run(rows)
+    assert got == want and sum(v[2] for v in got.values()) > 500
+    others = [(1000 + k, f"nothing shared {k} " * 20) for k in range(30)] + [(-1 - k, f"before {k} " * 20) for k in range(30)]
+    assert {i: v for i, v in run(rows + others).items() if 0 <= i < 1000} == want
+
+
+def test_moved_blocks_of_a_pair(monkeypatch):
+    """Ten blocks in reversed order, among common short lines: found by alignment alone, and by the runs that it leaves."""
+    a = [x for k in range(10) for x in (100 + k, 200 + k, 10 + k)]
+    b = [x for k in reversed(range(10)) for x in (100 + k, 200 + k, 50 + k, 1)]
+    size = lambda lines: [70 if x > 99 else 3 for x in lines]
+    want = [(3 * k, 3 * k + 2) for k in range(10)]
+    assert line_dedup.deleted(a, size(a), b, size(b)) == want
+    monkeypatch.setattr(line_dedup, "AGAIN", 2)
+    assert line_dedup.deleted(a, size(a), b, size(b)) == want
+
+
 def test_line_dedup(docs, corpus, empty, odd):
     got = {r["doc_id"]: (r["kept_text"], r["n_lines"], r["n_removed"]) for r in line_dedup.line_dedup(docs).collect()}
     want = brute_lines([(i, t) for i, t, *_ in corpus])
@@ -664,3 +705,28 @@ def test_mixing_to_entropy_and_budget(docs, corpus):
 def test_split_of_documents(spark):
     got = spark.range(50).select("id", common.crc_mod("id", 3).alias("m")).collect()
     assert all(r["m"] == zlib.crc32(str(r["id"]).encode()) % 3 for r in got)
+
+
+def test_secrets_do_not_depend_on_partitions(spark):
+    """The dictionary counts all words exactly, and so spans are equal however the corpus is dealt."""
+    r = np.random.default_rng(9)
+    names = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), int(r.integers(3, 12)))) for _ in range(900)]
+    pool = names * 3 + names[:300] * 9
+    texts = []
+    for i in range(400):
+        key = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20))
+        texts.append(" ".join(r.choice(pool, 30)) + f" session {'_'.join(r.choice(names, 2))}{key[: int(r.integers(0, 20))]} ")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = defaultdict(int)
+    for t in texts:
+        for w in re.findall(r"\b[A-Za-z_]{3,24}\b", t, re.ASCII):
+            counts[w] += 1
+    want = sorted((w for w, n in counts.items() if n > 1), key=lambda w: (-counts[w], w))
+    for parts in (1, 7, 60):
+        dealt = docs.repartition(parts)
+        assert secret_scan.commonest(dealt, 500) == want[:500]
+        assert secret_scan.commonest(dealt, 5000, held=20) == want
+        found = sorted((x["doc_id"], repr(x["found"])) for x in secret_scan.secret_spans(dealt).collect())
+        assert parts == 1 or found == first
+        first = found
+    assert sum(s != "[]" for _, s in first) > 20
