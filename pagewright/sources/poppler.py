@@ -15,14 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .recovery import recovered
+
 TOKENS = "doc_id long, page_number int, pos int, tag_id string, content string, font_id string, reading_order_no int, `left` int, top int, `right` int, bottom int, width int, height int, link string, link_text string"
 PAGES = "doc_id long, page_number int, page_width int, page_height int"
 FONTS = "doc_id long, font_id string, family string, font_size double, bold boolean, italics boolean, color string"
-_STRAY, _CONTROL = re.compile(r"&(?!(?:#\d+|#x[0-9a-fA-F]+|\w+);)"), re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
 LABELS = "struct<pages: array<struct<number: int, labels: array<struct<top: int, left: int, width: int, height: int, label_type: int, metadata: string>>>>>"
 
 
-def read_poppler(spark: SparkSession, path: str) -> DataFrame:
+def read_poppler(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files as (path, file_name, file_type, xml); the type is the name of the folder. Any store that Spark reads."""
     df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
     parts = F.split("path", "/")
@@ -32,13 +33,36 @@ def read_poppler(spark: SparkSession, path: str) -> DataFrame:
 def read_labeled(spark: SparkSession, root: str, filter_in: str | None = None, limit: int | None = None) -> DataFrame:
     """Labelled documents below root: XML and labels of one (dataset, name), for datasets whose name holds filter_in; a missing
     labels file gives null labels. limit: as many documents, in order of dataset and name."""
-    pages = read_poppler(spark, f"{root}/pdfs/*/etree.xml").select(F.element_at(F.split("path", "/"), -2).alias("name"), "xml")
-    found = spark.read.text(f"{root}/labeled_data/token_type/*/*/labels.json", wholetext=True).select(F.split("_metadata.file_path", "/").alias("p"), F.col("value").alias("labels"))
-    labels = found.select(F.element_at("p", -3).alias("dataset"), F.element_at("p", -2).alias("name"), "labels")
-    if filter_in:
-        labels = labels.where(F.contains("dataset", F.lit(filter_in)))
-    out = labels.join(pages, "name")
-    return out.orderBy("dataset", "name").limit(limit) if limit is not None else out
+    names = labeled_names(spark, root, filter_in)
+    if limit is not None:
+        # the first names alone decide which files are opened; `limit` paths reach the driver
+        chosen = [r["path"] for r in names.orderBy("dataset", "name").limit(limit).collect()]
+        if not chosen:
+            return spark.createDataFrame([], "name string, dataset string, labels string, xml string")
+        sources = sorted({f"{root}/pdfs/{_escaped(path.split('/')[-2])}/etree.xml" for path in chosen})
+        found, pages = spark.read.text([_escaped(p) for p in chosen], wholetext=True), read_poppler(spark, sources)
+    else:
+        found, pages = spark.read.text(_labels_glob(root, filter_in), wholetext=True), read_poppler(spark, f"{root}/pdfs/*/etree.xml")
+    pages = pages.select(F.element_at(F.split("path", "/"), -2).alias("name"), "xml")
+    found = found.select(F.split("_metadata.file_path", "/").alias("p"), F.col("value").alias("labels"))
+    return found.select(F.element_at("p", -3).alias("dataset"), F.element_at("p", -2).alias("name"), "labels").join(pages, "name").select("name", "dataset", "labels", "xml")
+
+
+def _escaped(path: str) -> str:
+    """A path whose characters stand for themselves in a glob."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", path)
+
+
+def _labels_glob(root: str, filter_in: str | None) -> str:
+    return f"{root}/labeled_data/token_type/{f'*{_escaped(filter_in)}*' if filter_in else '*'}/*/labels.json"
+
+
+def labeled_names(spark: SparkSession, root: str, filter_in: str | None = None) -> DataFrame:
+    """(dataset, name, path) of labelled documents below root, by listing alone: no file is opened, and only folders whose name
+    holds filter_in are listed."""
+    listed = spark.read.format("binaryFile").load(_labels_glob(root, filter_in)).select("path")
+    p = F.split("path", "/")
+    return listed.select(F.element_at(p, -3).alias("dataset"), F.element_at(p, -2).alias("name"), "path")
 
 
 def fixed(left: int, top: int, right: int, bottom: int) -> tuple[int, int, int, int]:
@@ -51,26 +75,11 @@ def fixed(left: int, top: int, right: int, bottom: int) -> tuple[int, int, int,
 
 
 def _root(text: str | None) -> tuple[ET.Element | None, str | None]:
-    """The root and what is wrong with the XML. Of broken XML comes what can be had: with stray ampersands and control
-    characters mended the whole, else the elements up to the place where it breaks."""
+    """The root and what is wrong with the XML; of broken XML all that can be read."""
     try:
         return ET.fromstring(text or ""), None
     except ET.ParseError as e:
-        error = str(e)
-    try:
-        return ET.fromstring(_STRAY.sub("&amp;", _CONTROL.sub("", text or ""))), error
-    except ET.ParseError:
-        pass
-    events = ET.XMLPullParser(("start",))
-    try:
-        events.feed(text or "")
-        events.close()
-    except ET.ParseError:
-        pass
-    try:
-        return next((e for _, e in events.read_events()), None), error
-    except ET.ParseError:
-        return None, error
+        return recovered(text or ""), str(e)
 
 
 def _tokens(root: ET.Element):
