@@ -10,6 +10,36 @@ CLOSED = '(t."right" >= r."left" and t."left" <= r."right" and t.bottom >= r.top
 ON_PAGE = "t.doc_id = r.doc_id and t.page_number = r.page_number"
 INTER = '(least(t."right", r."right") - greatest(t."left", r."left")) * (least(t.bottom, r.bottom) - greatest(t.top, r.top))'
 
+#: Side of a tile, and the last tile each way: what lies further out is in the last one, so a box has a bounded number of tiles.
+TILE, LAST_TILE = 128, 127
+
+
+def _edges(p: str) -> tuple[str, str, str, str]:
+    return f'{p}"left"', f'{p}"right"', f"{p}top", f"{p}bottom"
+
+
+def tile(x: str) -> str:
+    return f"cast(least(greatest(floor(({x}) / {TILE}), 0), {LAST_TILE}) as int)"
+
+
+def tiled(d, a: str, b: str, names: tuple[str, str] = ("t", "r"), a_edges=_edges, b_edges=_edges) -> str:
+    """`a t join b r on` page, to be followed by a condition that boxes overlap or touch. Spark deals both sides to the tiles of
+    the page that their boxes lie in and joins by tile; a pair is met in the tile of its intersection's upper left corner
+    alone. So a page is shared among tasks, and boxes far apart don't meet. a_edges, b_edges: left, right, top, bottom of a
+    side's boxes, with a prefix for its columns."""
+    x, y = names
+    on = f"{x}.doc_id = {y}.doc_id and {x}.page_number = {y}.page_number"
+    if d.name != "spark":
+        return f"{a} {x} join {b} {y} on {on}"
+
+    def dealt(relation: str, edges) -> str:
+        left, right, top, bottom = map(tile, edges(""))
+        return f"(select *, explode(sequence({left}, {right})) as tile_x from (select *, explode(sequence({top}, {bottom})) as tile_y from {relation}))"
+
+    (xl, _, xt, _), (yl, _, yt, _) = a_edges(f"{x}."), b_edges(f"{y}.")
+    met = f"{x}.tile_x = {y}.tile_x and {x}.tile_y = {y}.tile_y and {x}.tile_x = {tile(f'greatest({xl}, {yl})')} and {x}.tile_y = {tile(f'greatest({xt}, {yt})')}"
+    return f"{dealt(a, a_edges)} {x} join {dealt(b, b_edges)} {y} on {on} and {met}"
+
 
 @operator("raw")
 def rect_fix(d):
@@ -25,14 +55,21 @@ def intersection_pct(d):
  from {d.t('tok')} t join {d.t('reg')} r on {ON_PAGE}""".replace("100.0 *", "cast(100 as double) *")
 
 
+def _overlaps(d, condition: str) -> str:
+    return f"""select t.doc_id, t.page_number, t.pos, cast(coalesce(m.n, 0) as bigint) as n from {d.t('tok')} t join (select distinct doc_id, page_number from {d.t('reg')}) p on t.doc_id = p.doc_id and t.page_number = p.page_number
+ left join (select t.doc_id, t.page_number, t.pos, count(*) as n from {tiled(d, d.t('tok'), d.t('reg'))} and {condition} group by t.doc_id, t.page_number, t.pos) m on t.doc_id = m.doc_id and t.page_number = m.page_number and t.pos = m.pos"""
+
+
 @operator("tok", "reg")
 def rect_overlap_open(d):
-    return f"select t.doc_id, t.page_number, t.pos, cast(sum(case when {OPEN} then 1 else 0 end) as bigint) as n from {d.t('tok')} t join {d.t('reg')} r on {ON_PAGE} group by t.doc_id, t.page_number, t.pos"
+    """How many regions each token overlaps, on pages with regions."""
+    return _overlaps(d, OPEN)
 
 
 @operator("tok", "reg")
 def rect_overlap_closed(d):
-    return f"select t.doc_id, t.page_number, t.pos, cast(sum(case when {CLOSED} then 1 else 0 end) as bigint) as n from {d.t('tok')} t join {d.t('reg')} r on {ON_PAGE} group by t.doc_id, t.page_number, t.pos"
+    """How many regions each token overlaps or touches, on pages with regions."""
+    return _overlaps(d, CLOSED)
 
 
 @operator("names")

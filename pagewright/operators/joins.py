@@ -1,10 +1,12 @@
-"""Joins: by place on the page, by key, nearest and contained. Pages are small, so all meet on document and page first."""
+"""Joins: by place on the page, by key, nearest and contained. Overlaps are joined by tiles of the page (geometry.tiled), the others
+on document and page."""
 
 from __future__ import annotations
 
+from ..functions.characters import DIGIT
 from ..plans.dual import operator
 from ..plans.fixtures import DISPLAY, TOKEN_TYPES
-from .geometry import CLOSED, INTER, ON_PAGE, OPEN
+from .geometry import CLOSED, INTER, OPEN, tiled
 
 IMAGES = "('Photo', 'Figure', 'Picture', 'Chart', 'Logo')"
 PLACED = "('Table', 'Picture', 'Photo', 'Figure', 'Chart')"
@@ -16,7 +18,8 @@ def label_assign(d):
     r = 'r."left" + r.width'
     inter = f'cast((least(t."right", {r}) - greatest(t."left", r."left")) * (least(t.bottom, r.top + r.height) - greatest(t.top, r.top)) as double)'
     hit = f't."right" > r."left" and t."left" < {r} and t.bottom > r.top and t.top < r.top + r.height'
-    return f"""with m as (select t.doc_id, t.page_number, t.pos, r.label_type, r.width * r.height as area, r.seq, cast(100 as double) * {inter} / (r.width * r.height) as pct from {d.t('tok')} t join {d.t('lab')} r on {ON_PAGE} and {hit}),
+    edges = lambda p: (f'{p}"left"', f'{p}"left" + {p}width', f"{p}top", f"{p}top + {p}height")
+    return f"""with m as (select t.doc_id, t.page_number, t.pos, r.label_type, r.width * r.height as area, r.seq, cast(100 as double) * {inter} / (r.width * r.height) as pct from {tiled(d, d.t('tok'), d.t('lab'), b_edges=edges)} and {hit}),
  k as (select *, row_number() over (partition by doc_id, page_number, pos order by case when pct > 95 then 0 else 1 end, case when pct > 95 then 0 else -pct end, area, seq) as rn from m)
  select t.doc_id, t.page_number, t.pos, coalesce(k.label_type, 6) as label_type from {d.t('tok')} t left join (select * from k where rn = 1) k on t.doc_id = k.doc_id and t.page_number = k.page_number and t.pos = k.pos"""
 
@@ -24,8 +27,9 @@ def label_assign(d):
 @operator("tok", "reg")
 def token_region_overlap(d):
     """Whether any region but a scanned page touches the token; tokens of one place share the last one's answer."""
-    return f"""with o as (select t.doc_id, t.page_number, t."left", t.top, t.pos, coalesce(bool_or({CLOSED}), false) as touches from {d.t('tok')} t left join (select * from {d.t('reg')} where region_type <> 'ScannedPage') r on {ON_PAGE}
- group by t.doc_id, t.page_number, t."left", t.top, t.pos)
+    others = f"(select * from {d.t('reg')} where region_type <> 'ScannedPage')"
+    return f"""with m as (select distinct t.doc_id, t.page_number, t.pos from {tiled(d, d.t('tok'), others)} and {CLOSED}),
+ o as (select t.doc_id, t.page_number, t."left", t.top, t.pos, m.pos is not null as touches from {d.t('tok')} t left join m on t.doc_id = m.doc_id and t.page_number = m.page_number and t.pos = m.pos)
  select doc_id, page_number, "left", top, touches from (select *, row_number() over (partition by doc_id, page_number, "left", top order by pos desc) as rn from o) x where rn = 1"""
 
 
@@ -51,15 +55,19 @@ def region_tsr_md(d):
 def cell_text_json(d):
     """Text of the tokens that overlap a cell's box, which is not moved to its region."""
     on = 't."right" > c.x and t."left" < c.x + c.w and t.bottom > c.y and t.top < c.y + c.h'
-    return f"""select c.doc_id, c.page_number, c.region_seq, c."row", c.col, coalesce(m.txt, '') as txt from {d.t('cell')} c left join (
- select c.doc_id, c.page_number, c.region_seq, c."row", c.col, {d.listagg('t.content', "' '", 't.pos')} as txt from {d.t('cell')} c join {d.t('tok')} t on t.doc_id = c.doc_id and t.page_number = c.page_number and {on}
- group by c.doc_id, c.page_number, c.region_seq, c."row", c.col) m on c.doc_id = m.doc_id and c.page_number = m.page_number and c.region_seq = m.region_seq and c."row" = m."row" and c.col = m.col"""
+    once = "" if d.name == "spark" else "materialized "  # else that engine plans the join over both derivations again
+    edges = lambda p: (f"{p}x", f"{p}x + {p}w", f"{p}y", f"{p}y + {p}h")
+    return f"""with cells as {once}(select doc_id, page_number, region_seq, "row", col, x, y, w, h from {d.t('cell')}), toks as {once}(select doc_id, page_number, pos, content, "left", top, "right", bottom from {d.t('tok')}),
+ met as (select c.doc_id, c.page_number, c.region_seq, c."row", c.col, t.pos, t.content from {tiled(d, 'cells', 'toks', ('c', 't'), edges)} and {on} union all select doc_id, page_number, region_seq, "row", col, cast(null as int) as pos, cast(null as {'string' if d.name == 'spark' else 'varchar'}) as content from cells)
+ select doc_id, page_number, region_seq, "row", col, coalesce({d.listagg('content', "' '", 'pos')}, '') as txt from met group by doc_id, page_number, region_seq, "row", col"""
 
 
-def _cell_parts(d) -> str:
-    """CTEs up to parts(doc_id, page_number, region_seq, row, col, left, pos, part): what each token gives to each cell."""
+def _cell_parts(d, cells: str = "") -> str:
+    """CTEs up to texts(doc_id, page_number, region_seq, row, col, txt), by way of what each token gives to each cell. cells: a
+    relation in place of `cell`."""
     ox = '(least(t."right", c.region_left + c.x + c.w) - greatest(t."left", c.region_left + c.x))'
     oy = "(least(t.bottom, c.region_top + c.y + c.h) - greatest(t.top, c.region_top + c.y))"
+    edges = lambda p: (f"{p}region_left + {p}x", f"{p}region_left + {p}x + {p}w", f"{p}region_top + {p}y", f"{p}region_top + {p}y + {p}h")
     n = d.half_even('ox / sum_ox * nw')
     words = d.words("content")
     if d.name == "spark":
@@ -69,7 +77,7 @@ def _cell_parts(d) -> str:
         part = "array_to_string(list_slice(ws, taken + 1, taken + greatest(n, 0)), ' ')"
         size = f"len({words})"
     return f"""hits as (select c.doc_id, c.page_number, c.region_seq, c."row", c.col, c."row" * 1000 + c.col as cell_order, t.pos, t."left", t.content, cast({ox} as double) as ox
-  from {d.t('cell')} c join {d.t('tok')} t on t.doc_id = c.doc_id and t.page_number = c.page_number and {ox} > 0 and {oy} > 0 and t.width * t.height > 0 and {ox} * {oy} * 100 / (t.width * t.height) >= 10),
+  from {tiled(d, cells or d.t('cell'), d.t('tok'), ('c', 't'), edges)} and {ox} > 0 and {oy} > 0 and t.width * t.height > 0 and {ox} * {oy} * 100 / (t.width * t.height) >= 10),
  rows_ as (select doc_id, page_number, region_seq, pos, "row", sum(ox) as row_ox, min(cell_order) as first_seen from hits group by doc_id, page_number, region_seq, pos, "row"),
  best as (select * from (select *, row_number() over (partition by doc_id, page_number, region_seq, pos order by row_ox desc, first_seen) as rn from rows_) x where rn = 1),
  own as (select h.*, b.row_ox as sum_ox, {size} as nw, {words} as ws, count(*) over (partition by h.doc_id, h.page_number, h.region_seq, h.pos) as cells,
@@ -88,11 +96,15 @@ def cell_text_md(d):
     return f"""with {_cell_parts(d)} select doc_id, page_number, region_seq, "row", col, txt from texts"""
 
 
-def _table_md(d) -> str:
-    """CTEs up to tables(doc_id, page_number, region_seq, md)."""
+def _table_md(d, cells: str = "") -> str:
+    """CTEs up to tables(doc_id, page_number, region_seq, md). The grid is whole, from row and column 0 to the last ones that
+    have a cell: places without a cell are empty."""
     nl = d.newline
-    return f"""{_cell_parts(d)},
- filled as (select c.doc_id, c.page_number, c.region_seq, c."row", c.col, coalesce(t.txt, '') as txt from (select distinct doc_id, page_number, region_seq, "row", col from {d.t('cell')}) c left join texts t
+    return f"""{_cell_parts(d, cells)},
+ extent as (select doc_id, page_number, region_seq, cast(max("row") as int) as rows_, cast(max(col) as int) as cols_ from {cells or d.t('cell')} group by doc_id, page_number, region_seq),
+ lanes as (select doc_id, page_number, region_seq, cols_, {d.upto('rows_')} as "row" from extent),
+ grid as (select doc_id, page_number, region_seq, "row", {d.upto('cols_')} as col from lanes),
+ filled as (select c.doc_id, c.page_number, c.region_seq, c."row", c.col, coalesce(t.txt, '') as txt from grid c left join texts t
   on c.doc_id = t.doc_id and c.page_number = t.page_number and c.region_seq = t.region_seq and c."row" = t."row" and c.col = t.col),
  md_rows as (select doc_id, page_number, region_seq, "row", concat('| ', {d.listagg('txt', "' | '", 'col')}, ' |') as line, concat('| ', {d.listagg("'---'", "' | '", 'col')}, ' |') as rule from filled group by doc_id, page_number, region_seq, "row"),
  tables as (select doc_id, page_number, region_seq, {d.listagg(f'''case when "row" = 0 then concat(line, {nl}, rule) else line end''', nl, '"row"')} as md from md_rows group by doc_id, page_number, region_seq)"""
@@ -152,8 +164,9 @@ def top_distance_gap(d):
 @operator("reg", "tok")
 def region_type_override(d):
     """Region types corrected by the types of the tokens within."""
-    return f"""with c as (select r.doc_id, r.page_number, r.region_seq, r.region_type, count(t.pos) as n, sum(case when t.token_type = 3 then 1 else 0 end) as tables, sum(case when t.token_type = 4 then 1 else 0 end) as pictures
- from {d.t('reg')} r left join {d.t('tok')} t on {ON_PAGE} and {CLOSED} group by r.doc_id, r.page_number, r.region_seq, r.region_type),
+    return f"""with k as (select r.doc_id, r.page_number, r.region_seq, count(*) as n, sum(case when t.token_type = 3 then 1 else 0 end) as tables, sum(case when t.token_type = 4 then 1 else 0 end) as pictures
+ from {tiled(d, d.t('tok'), d.t('reg'))} and {CLOSED} group by r.doc_id, r.page_number, r.region_seq),
+ c as (select r.doc_id, r.page_number, r.region_seq, r.region_type, coalesce(k.n, 0) as n, coalesce(k.tables, 0) as tables, coalesce(k.pictures, 0) as pictures from {d.t('reg')} r left join k on r.doc_id = k.doc_id and r.page_number = k.page_number and r.region_seq = k.region_seq),
  s as (select *, case when n > 0 and cast(tables as double) / n >= 0.15 and tables > pictures and region_type not in ('ScannedPage', 'Formula') then 'Table' else region_type end as step from c)
  select doc_id, page_number, region_seq, case when n > 0 and cast(pictures as double) / n >= 0.15 and pictures > tables and step in ('Table', 'Chart', 'Logo') then 'Figure' else step end as region_type from s""".replace("cast(tables as double) / n", "cast(tables as double) / greatest(n, 1)").replace("cast(pictures as double) / n", "cast(pictures as double) / greatest(n, 1)")
 
@@ -173,8 +186,12 @@ def table_pages(d):
 
 @operator("reg", "tok")
 def text_in_bbox(d):
-    """Text of the tokens that have over a tenth of their area in the region, by left."""
-    return f"""select r.doc_id, r.page_number, r.region_seq, {d.listagg('t.content', "' '", 't."left", t.pos')} as txt from {d.t('reg')} r join {d.t('tok')} t on {ON_PAGE} and {OPEN} and {INTER} * 10 > t.width * t.height group by r.doc_id, r.page_number, r.region_seq"""
+    """Text of the tokens that have over a tenth of their area in the region, by left. The region is widened on all sides by a
+    twentieth of its longer side, by one at least; one without text or area gives an empty text."""
+    pad = f"""greatest(1, {d.idiv('"right" - "left"', '20')}, {d.idiv('bottom - top', '20')})"""
+    wide = f"""(select doc_id, page_number, region_seq, "left" - {pad} as "left", top - {pad} as top, "right" + {pad} as "right", bottom + {pad} as bottom from {d.t('reg')} where "right" > "left" and bottom > top)"""
+    return f"""with m as (select r.doc_id, r.page_number, r.region_seq, {d.listagg('t.content', "' '", 't."left", t.pos')} as txt from {tiled(d, wide, d.t('tok'), ('r', 't'))} and {OPEN} and t.width * t.height > 0 and {INTER} * 10 > t.width * t.height group by r.doc_id, r.page_number, r.region_seq)
+ select r.doc_id, r.page_number, r.region_seq, coalesce(m.txt, '') as txt from {d.t('reg')} r left join m on r.doc_id = m.doc_id and r.page_number = m.page_number and r.region_seq = m.region_seq"""
 
 
 def _script_line(d, tokens: str = "tok") -> str:
@@ -190,9 +207,9 @@ def script_same_line(d):
 
 @operator("styled")
 def script_type(d):
-    """Super- and subscripts: low numbers outside tables, formulas and pictures, by their place on the line that other boxes
+    """Super- and subscripts: low numbers (of digits of any kind) outside tables, formulas and pictures, by their place on the line that other boxes
     make; alone on a line or beside low boxes they are ordinary text."""
-    candidate = f"{d.matches('t.content', '^[0-9]+$')} and t.height < 0.8 * t.common_height and t.token_type not in (3, 0, 4)"
+    candidate = f"{d.matches('t.content', f'^{DIGIT}+$')} and t.height < 0.8 * t.common_height and t.token_type not in (3, 0, 4)"
     return f"""with l as (select t.doc_id, t.page_number, t.pos, t.top, t.bottom, t.height, min(o.top) as o_top, max(o.bottom) as o_bottom from {_script_line(d, 'styled')} where {candidate} group by t.doc_id, t.page_number, t.pos, t.top, t.bottom, t.height),
  m as (select *, least(top, o_top) + cast(greatest(bottom, o_bottom) - least(top, o_top) as double) / 2 as middle from l where (o_bottom - o_top) * 0.8 >= height),
  k as (select doc_id, page_number, pos, case when top >= middle then 'sub' when bottom <= middle then 'sup' when abs(top - middle) >= abs(bottom - middle) then 'sup' else 'sub' end as kind from m)

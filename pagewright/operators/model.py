@@ -1,5 +1,5 @@
-"""Token type model: features to emissions. Multinomial logistic regression stands in for gradient boosting, which Spark ML
-only offers for two classes; a booster can be plugged in as `scorer`, a function of a feature matrix."""
+"""Token type models: features to emissions. The model is gradient boosting over the matrix of matrix.py (boosting.py); a
+multinomial logistic regression and any function of a feature matrix can take its place."""
 
 from __future__ import annotations
 
@@ -8,28 +8,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
 from ..plans.dual import frame_operator
+from . import boosting
+from .matrix import PAIR, WINDOW
 
 CLASSES = 11
-#: Pairs of a token's window: four before it and four after.
-WINDOW = 8
-
-
-def windowed(pairs: DataFrame) -> DataFrame:
-    """pairs (doc_id, page_number, k, features array<float>): the pairs of a page with four padding tokens at each end, pair k of
-    tokens k and k + 1 -> doc_id, page_number, pos, features: the features of the WINDOW pairs around each token in a row,
-    8 x 501 numbers. A token of position pos is padded token pos + 4."""
-    around = SparkWindow.partitionBy("doc_id", "page_number").orderBy("k").rowsBetween(0, WINDOW - 1)
-    out = pairs.withColumn("parts", F.collect_list("features").over(around)).where(F.size("parts") == WINDOW)
-    return out.select("doc_id", "page_number", F.col("k").cast("int").alias("pos"), F.flatten("parts").alias("features"))
-
-
-def total_rows(tokens: DataFrame) -> int:
-    """Rows of the matrix that the tokens (of pages that have any) give."""
-    return tokens.count()
 
 
 def train(features: DataFrame, max_iter: int = 20):
@@ -74,12 +59,18 @@ def load(spark, path: str):
     return LogisticRegressionModel.load(f"{path}/model"), spark.read.parquet(f"{path}/transitions")
 
 
-@frame_operator("base", "places", "tok")
-def model_emissions(base: DataFrame, places: DataFrame, tok: DataFrame) -> DataFrame:
-    """Emissions of a model that is trained on the documents' own types from base and page features."""
+#: Rounds and leaves of the registered query; a model of use has those of boosting.Settings.
+FEW = boosting.Settings(rounds=3, leaves=15, bagging_freq=1)
+
+
+def train_boosted(matrix: DataFrame, tok: DataFrame, settings: boosting.Settings = boosting.Settings()) -> boosting.Model:
+    """matrix (key, places, values) and tok (key, token_type) -> a boosted model of token types."""
     key = ["doc_id", "page_number", "pos"]
-    nums = lambda df: F.array(*[F.col(c).cast("float") for c in df.columns if c not in key])
-    x = base.select(*key, nums(base).alias("b")).join(places.select(*key, nums(places).alias("g")), key).join(tok.select(*key, F.col("token_type").alias("label")), key)
-    x = x.select(*key, F.concat("b", "g").alias("features"), "label")
-    out = score(x, train(x, 5)).select(*key, F.transform("p", lambda v: F.round(v, 4)).alias("p"))
-    return out.select(*key, F.array_join(F.transform("p", lambda v: v.cast("string")), ",").alias("p"))
+    return boosting.train(matrix.join(tok.select(*key, F.col("token_type").alias("label")), key), PAIR * WINDOW, settings)
+
+
+@frame_operator("matrix", "tok")
+def model_emissions(matrix: DataFrame, tok: DataFrame) -> DataFrame:
+    """Emissions of a model that is trained on the documents' own types from the matrix of features."""
+    out = boosting.predict(matrix, train_boosted(matrix, tok, FEW))
+    return out.select("doc_id", "page_number", "pos", F.array_join(F.transform("p", lambda v: F.round(v, 4).cast("string")), ",").alias("p"))

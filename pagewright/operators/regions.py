@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..plans.dual import braced, operator
-from ..plans.fixtures import TOKEN_TYPES
+from ..plans.fixtures import FX, TOKEN_TYPES
 
 PAGE = "doc_id, page_number"
 
@@ -27,15 +30,51 @@ def picture_markdown(d):
  from {d.t('cropped')} where region_type in ('Picture', 'Photo', 'Figure', 'Chart')"""
 
 
-@operator("reg", "structure")
+def _xml_cells_spark(structure: DataFrame) -> DataFrame:
+    schema = "cell array<struct<_row: int, _column: int, boundingbox: struct<_x: double, _y: double, _w: double, _h: double>>>"
+    read = F.from_xml("xml", schema, {"rowTag": "table", "mode": "PERMISSIVE"})
+    cells = structure.where("readable and xml <> ''").select("doc_id", "page_number", "left", "top", "tsr_seq", F.posexplode(read["cell"]).alias("n", "c")).where("c.boundingbox is not null")
+    number = lambda name: F.coalesce(f"c.{name}", F.lit(0)).alias(name.rpartition("_")[2])
+    place = [number("_row").alias("row"), number("_column").alias("col")]
+    return cells.select("doc_id", "page_number", "left", "top", "tsr_seq", "n", *place, *[number(f"boundingbox._{c}") for c in "xywh"])
+
+
+@operator("structure", spark=_xml_cells_spark)
+def xml_cells(d):
+    """Cells of a structure's XML that have a box, in order; what an attribute doesn't say is 0. Spark's form reads any XML, this
+    text that of the relation alone."""
+    at = lambda name: f"coalesce(try_cast(regexp_extract(c, ' {name}=.([-0-9.]+)', 1) as double), 0)"
+    return f"""with c as (select doc_id, page_number, "left", top, tsr_seq, unnest(range(len(regexp_extract_all(xml, '<cell.*?</cell>'))))::int as n, unnest(regexp_extract_all(xml, '<cell.*?</cell>')) as c from structure where readable and xml <> '')
+ select doc_id, page_number, "left", top, tsr_seq, n, cast({at('row')} as int) as "row", cast({at('column')} as int) as col, {at('x')} as x, {at('y')} as y, {at('w')} as w, {at('h')} as h from c where contains(c, '<boundingbox')"""
+
+
+FX.add("xmlcell", "structure", spark=_xml_cells_spark)(xml_cells.template)
+
+
+def _last_structure(d) -> str:
+    return f"""(select * from (select *, row_number() over (partition by doc_id, page_number, "left", top order by tsr_seq desc) as rn from {d.t('structure')}) x where rn = 1)"""
+
+
+@operator("reg", "structure", "xmlcell")
 def table_fallback(d):
-    """What stands for a table without structure or, of the last structure at its corner, without cells and XML or with XML
-    that can't be read; else nothing."""
+    """What stands for a table without structure or, of the last structure at its corner, without cells and without XML, with XML
+    that can't be read or that has no cell; else nothing."""
     nl = d.newline
     note = lambda text: f"concat('<!-- {text} -->', {nl}, {nl})"
-    return f"""select r.doc_id, r.page_number, r.region_seq, case when t.tsr_seq is null then {note('Table detected but no TSR data')} when t.num_cells > 0 then '' when coalesce(t.xml, '') = '' then {note('Table: no XML')} when not t.readable then {note('Table: invalid XML')} else '' end as md
- from (select * from {d.t('reg')} where region_type = 'Table') r left join (select * from (select *, row_number() over (partition by doc_id, page_number, "left", top order by tsr_seq desc) as rn from {d.t('structure')}) x where rn = 1) t
- on r.doc_id = t.doc_id and r.page_number = t.page_number and r."left" = t."left" and r.top = t.top"""
+    return f"""select r.doc_id, r.page_number, r.region_seq, case when t.tsr_seq is null then {note('Table detected but no TSR data')} when t.num_cells > 0 then '' when coalesce(t.xml, '') = '' then {note('Table: no XML')} when not t.readable then {note('Table: invalid XML')} when k.n is null then {note('Table: no cells')} else '' end as md
+ from (select * from {d.t('reg')} where region_type = 'Table') r left join {_last_structure(d)} t on r.doc_id = t.doc_id and r.page_number = t.page_number and r."left" = t."left" and r.top = t.top
+ left join (select doc_id, page_number, "left", top, tsr_seq, count(*) as n from {d.t('xmlcell')} group by doc_id, page_number, "left", top, tsr_seq) k on t.doc_id = k.doc_id and t.page_number = k.page_number and t."left" = k."left" and t.top = k.top and t.tsr_seq = k.tsr_seq"""
+
+
+@operator("reg", "structure", "xmlcell", "tok")
+def xml_table_md(d):
+    """Markdown of tables whose last structure has no cells but XML with cells."""
+    from .joins import _table_md
+
+    return f"""with xc as (select r.doc_id, r.page_number, r.region_seq, r."left" as region_left, r.top as region_top, k."row", k.col, k.x, k.y, k.w, k.h
+  from (select * from {d.t('reg')} where region_type = 'Table') r join {_last_structure(d)} t on r.doc_id = t.doc_id and r.page_number = t.page_number and r."left" = t."left" and r.top = t.top and t.num_cells = 0
+  join {d.t('xmlcell')} k on t.doc_id = k.doc_id and t.page_number = k.page_number and t."left" = k."left" and t.top = k.top and t.tsr_seq = k.tsr_seq),
+ {_table_md(d, 'xc')} select doc_id, page_number, region_seq, md from tables"""
 
 
 @operator("styled")

@@ -47,6 +47,9 @@ class Spark:
     def matches_count(self, x: str, pattern: str) -> str:
         return f"cast(regexp_count({x}, '{pattern}') as int)".replace("\\", "\\\\")
 
+    def upto(self, x: str) -> str:
+        return f"explode(sequence(0, {x}))"
+
     newline, real = "'\\n'", "double"
 
 
@@ -80,6 +83,9 @@ class Duck(Spark):
     def matches_count(self, x: str, pattern: str) -> str:
         return f"cast(len(regexp_extract_all({x}, '{pattern}')) as int)"
 
+    def upto(self, x: str) -> str:
+        return f"unnest(range({x} + 1))"
+
     newline = "chr(10)"
 
 

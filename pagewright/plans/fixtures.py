@@ -73,10 +73,11 @@ def lab(d):
 
 @FX.invent("cell", "reg")
 def cell(d):
-    """A grid of three by three cells in each table region, relative to it."""
+    """A grid of three by three cells in each table region, relative to it; some grids have gaps and missing rows."""
     return f"""select doc_id, page_number, region_seq, "left" as region_left, top as region_top, r as "row", c as col, cast(c * {d.idiv('width', '3')} as double) as x, cast(r * {d.idiv('height', '3')} as double) as y,
  cast({d.idiv('width', '3')} as double) as w, cast({d.idiv('height', '3')} as double) as h
- from {d.t('reg')} cross join (values (0),(1),(2)) a(r) cross join (values (0),(1),(2)) b(c) where region_type = 'Table'"""
+ from {d.t('reg')} cross join (values (0),(1),(2)) a(r) cross join (values (0),(1),(2)) b(c) where region_type = 'Table'
+ and not (doc_id % 5 = 2 and r = 1) and not (doc_id % 4 = 3 and (r + c) % 3 = 1)"""
 
 
 @FX.invent("tsr", "reg")
@@ -173,7 +174,9 @@ def cropped(d):
 @FX.invent("structure", "tsr")
 def structure(d):
     """Table structures: cells of some, XML of others, which can be read or not."""
-    xml = "case when tsr_seq % 12 = 0 then null when tsr_seq % 12 in (2, 4) then '<broken' else '<table/>' end"
+    box = lambda c: f"""'<cell row=~{c}~ column=~', doc_id % 3, '~><boundingbox x=~{20 * c}~ y=~', page_number % 7, '~ w=~60.5~ h=~30~/></cell>'"""
+    cells = f"""replace(concat('<table>', {box(0)}, {box(2)}, '<cell row=~1~ column=~9~></cell></table>'), '~', chr(34))"""
+    xml = f"case when tsr_seq % 12 = 0 then null when tsr_seq % 12 in (2, 4) then '<broken' when (doc_id + tsr_seq) % 3 = 0 then '<table/>' else {cells} end"
     return f"""select doc_id, page_number, "left", top, tsr_seq, case when tsr_seq % 12 in (6, 8) then num_cells else 0 end as num_cells, {xml} as xml, tsr_seq % 12 not in (0, 2, 4) as readable from {d.t('tsr')}"""
 
 

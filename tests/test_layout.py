@@ -20,6 +20,7 @@ TEXTS = [
     "single",
     "Same line. same line. Same LINE;\n\n\nGap above: 42\n½ cup. x² plus\nǅ Title Case Words. lower",
     "\n".join(f"Row {i}. cell {i * 7}. value {i * i}. ŠĐ ß" for i in range(45)),
+    "a\u2028b. c\u2029d. ². 10³\n٣٤. ①. x½y. tail",
 ]
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from pagewright.functions import raster
-from pagewright.operators import model
+import pagewright.operators  # noqa: F401  registers the operators
 from pagewright.plans.dual import OPERATORS
 from pagewright.sources import sinks
 
@@ -187,12 +187,63 @@ def test_dedup_regions(rows):
     assert rows("dedup_regions", "region_seq", reg=r) == [(0,), (2,), (4,)]
 
 
-def test_table_fallback(rows):
-    r = reg(*[(k, "Table", 10 * k, 0, 10 * k + 5, 5) for k in range(5)], (9, "Photo", 0, 0, 5, 5))
-    structure = [(1, 1, 10, 0, 0, 9, None, False), (1, 1, 20, 0, 0, 0, None, False), (1, 1, 30, 0, 0, 0, "<broken", False), (1, 1, 40, 0, 0, 0, "", False), (1, 1, 40, 0, 1, 0, "<t/>", True)]
-    got = rows("table_fallback", "region_seq md", reg=r, structure=(structure, "doc_id long, page_number int, `left` int, top int, tsr_seq int, num_cells int, xml string, readable boolean"))
+STRUCTURE = "doc_id long, page_number int, `left` int, top int, tsr_seq int, num_cells int, xml string, readable boolean"
+XML_CELLS = """<table>
+  <cell row="0" column="0"><boundingbox x="0" y="0" w="20.5" h="10"/></cell><cell column="2"><boundingbox x="40" y="0" w="20" h="10"/></cell>
+  <cell row="3" column="9"/>
+  <cell row="2" column="1"><boundingbox w="20" h="10" y="20" x="20"/></cell>
+</table>"""
+
+
+def structures(spark, frame):
+    """The relations that table_fallback and xml_table_md take."""
+    made = spark.createDataFrame(frame, STRUCTURE)
+    return {"structure": made, "xmlcell": OPERATORS["xml_cells"](structure=made)}
+
+
+def test_table_fallback(spark):
+    r = spark.createDataFrame(*reg(*[(k, "Table", 10 * k, 0, 10 * k + 5, 5) for k in range(7)], (9, "Photo", 0, 0, 5, 5)))
+    frame = [(1, 1, 10, 0, 0, 9, None, False), (1, 1, 20, 0, 0, 0, None, False), (1, 1, 30, 0, 0, 0, "<broken", False), (1, 1, 40, 0, 0, 0, "", False), (1, 1, 40, 0, 1, 0, "<t/>", True), (1, 1, 50, 0, 0, 0, XML_CELLS, True), (1, 1, 60, 0, 0, 0, '<table><cell row="0"/></table>', True)]
+    got = sorted((x["region_seq"], x["md"]) for x in OPERATORS["table_fallback"](reg=r, **structures(spark, frame)).collect())
     note = "<!-- Table{} -->\n\n".format
-    assert got == [(0, note(" detected but no TSR data")), (1, ""), (2, note(": no XML")), (3, note(": invalid XML")), (4, "")]
+    assert got == [(0, note(" detected but no TSR data")), (1, ""), (2, note(": no XML")), (3, note(": invalid XML")), (4, note(": no cells")), (5, ""), (6, note(": no cells"))]
+
+
+def test_tables_from_xml(spark):
+    """Cells of the last structure's XML, those without a box left out, in a whole grid; one with cells of its own isn't read."""
+    r = spark.createDataFrame(*reg((0, "Table", 100, 50, 160, 80), (1, "Table", 300, 50, 360, 80)))
+    frame = [(1, 1, 100, 50, 0, 0, "<broken", False), (1, 1, 100, 50, 1, 0, XML_CELLS, True), (1, 1, 300, 50, 0, 4, XML_CELLS, True)]
+    made = structures(spark, frame)
+    cells = sorted(tuple(x[c] for c in ("left", "tsr_seq", "n", "row", "col", "x", "y", "w", "h")) for x in made["xmlcell"].where("`left` = 100").collect())
+    assert cells == [(100, 1, 0, 0, 0, 0.0, 0.0, 20.5, 10.0), (100, 1, 1, 0, 2, 40.0, 0.0, 20.0, 10.0), (100, 1, 3, 2, 1, 20.0, 20.0, 20.0, 10.0)]
+    tokens = spark.createDataFrame(*tok((1, "a", 102, 52, 110, 58), (2, "b", 142, 52, 150, 58), (3, "c", 121, 71, 130, 79)))
+    (got,) = OPERATORS["xml_table_md"](reg=r, tok=tokens, **made).collect()
+    assert (got["region_seq"], got["md"]) == (0, "| a |  | b |\n| --- | --- | --- |\n|  |  |  |\n|  | c |  |")
+
+
+def test_ragged_tables(rows):
+    """Cells (0,0), (0,2), (2,1): the grid is whole, empty row and rule included."""
+    cells = ([(1, 1, 0, 0, 0, r, c, 50.0 * c, 20.0 * r, 50.0, 20.0) for r, c in ((0, 0), (0, 2), (2, 1))], CELL)
+    frame = tok((1, "a", 5, 5, 15, 15), (2, "b", 105, 5, 115, 15), (3, "c", 55, 45, 65, 55))
+    assert rows("md_table", "md", cell=cells, tok=frame) == [("| a |  | b |\n| --- | --- | --- |\n|  |  |  |\n|  | c |  |",)]
+
+
+def test_text_in_bbox(rows):
+    """A box of 200 x 100 reaches ten further each way; over a tenth of a token must lie within; boxes without text give ''."""
+    r = reg((0, "Figure", 100, 100, 300, 200), (1, "Figure", 400, 400, 405, 405), (2, "Figure", 500, 500, 500, 520))
+    frame = tok((1, "edge", 302, 150, 322, 160), (2, "far", 310, 150, 330, 160), (3, "left", 91, 101, 111, 111), (4, "tenth", 308, 120, 328, 130), (5, "low", 100, 209, 120, 219), (6, "one", 406, 400, 407, 401))
+    assert rows("text_in_bbox", "region_seq txt", reg=r, tok=frame) == [(0, "left edge"), (1, ""), (2, "")]
+
+
+def test_digits_of_other_kinds(rows):
+    frame = ([(1, 1, i + 1, c, 6, 0, 0, 10, 5, 10, 5, 12) for i, c in enumerate(["²", "٣", "½", "1²", "x"])] + [(1, 1, 9, "line", 6, 0, 0, 90, 14, 90, 14, 12)], "doc_id long, page_number int, pos int, content string, token_type int, `left` int, top int, `right` int, bottom int, width int, height int, common_height int")
+    assert rows("script_type", "pos styled", styled=frame)[:5] == [(1, "<sup>²</sup>"), (2, "<sup>٣</sup>"), (3, "½"), (4, "<sup>1²</sup>"), (5, "x")]
+    got = rows("text_features", "pos is_numeric contains_digit digit_ratio", tok=tok(*[(i + 1, c, 0, 0, 5, 5) for i, c in enumerate(["²", "½", "1.²,③", "a¹b"])]), font=FONTS)
+    assert got == [(1, 1, 1, 1.0), (2, 0, 0, 0.0), (3, 1, 1, 0.6), (4, 0, 1, 1 / 3)]
+
+
+def test_separators_have_no_category(rows):
+    assert rows("unicode_categories", "pos slots", tok=tok((1, "\u2028a", 0, 0, 5, 5), (2, "b\u2029", 0, 0, 5, 5))) == [(1, "-1,12,-1,-1,-1,-1,-1,-1"), (2, "12,-1,-1,-1,-1,-1,-1,-1")]
 
 
 def test_picture_markdown(rows):
@@ -296,11 +347,3 @@ def test_failed_crops_are_kept(spark):
     crops = spark.createDataFrame([(1, 1, 0, 10, 10, bytes(100)), (1, 1, 1, 10, 10, bytes(7))], "doc_id long, page_number int, region_seq int, img_w int, img_h int, gray binary")
     got = {r["region_seq"]: r["error"] for r in raster.table_boxes(crops, "bordered").collect()}
     assert "50 pixels" in got[0] and "reshape" in got[1]
-
-
-def test_windowed_vectors(spark):
-    """8 x 501 numbers a token: the pairs around it, of its own page, with padding at both ends."""
-    pairs = spark.createDataFrame([(1, 1, k, [float(k)] * 3) for k in range(1, 11)], "doc_id long, page_number int, k int, features array<float>")
-    got = {r["pos"]: list(r["features"]) for r in model.windowed(pairs).collect()}
-    assert set(got) == {1, 2, 3} and all(len(v) == 24 for v in got.values())
-    assert got[1][::3] == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0] and got[3][::3] == [3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0]
