@@ -10,6 +10,7 @@ from pagewright.operators import model
 from pagewright.plans import parse
 from pagewright.plans.dual import OPERATORS
 from pagewright.sources import poppler, sinks
+from pagewright.sources.archives import write_archives
 from pagewright.streaming.ingest import ingest
 from tests.test_layout import XML
 
@@ -119,3 +120,66 @@ def test_pdfs(spark):
     pages = sorted((r["doc_id"], r["page_number"], bytes(r["gray"] or b""), r["error"]) for r in poppler.page_rasters(pdfs, render, 72).collect())
     assert pages[:2] == [(1, 1, bytes([7] * 6), None), (1, 2, bytes([76] * 6), None)]
     assert pages[-2:] == [(3, 1, bytes([7] * 6), None), (3, 2, b"", "ValueError: no page")]
+
+
+def labelled(root, names):
+    for dataset, name in names:
+        (root / "pdfs" / name).mkdir(parents=True, exist_ok=True)
+        (root / "pdfs" / name / "etree.xml").write_text(XML)
+        (root / "labeled_data" / "token_type" / dataset / name).mkdir(parents=True)
+        (root / "labeled_data" / "token_type" / dataset / name / "labels.json").write_text('{"pages":[]}')
+
+
+def test_a_limit_opens_only_as_many_documents(spark, tmp_path):
+    """Files beyond the limit are no input of the plan, and the filter leaves folders out of the listing."""
+    labelled(tmp_path, [(f"d{k % 3}", f"n{k}") for k in range(12)])
+    (tmp_path / "labeled_data" / "token_type" / "d0[x]" / "odd").mkdir(parents=True)
+    got = poppler.read_labeled(spark, str(tmp_path), limit=3)
+    opened = got.select("name").inputFiles()
+    assert sorted(r["name"] for r in got.collect()) == ["n0", "n3", "n6"] and len(opened) == 6
+    assert all(any(f"/n{k}/" in f for k in (0, 3, 6)) for f in opened)
+    names = poppler.labeled_names(spark, str(tmp_path), "1")
+    assert sorted((r["dataset"], r["name"]) for r in names.collect()) == [("d1", f"n{k}") for k in (1, 10, 4, 7)]
+    assert poppler.read_labeled(spark, str(tmp_path), limit=0).count() == 0
+    assert poppler.read_labeled(spark, str(tmp_path), "d0").count() == 4
+
+
+ARCHIVE = "doc_id long, json string, md string, images array<struct<filename: string, bytes: binary>>"
+
+
+def test_archives_are_written_whole_or_not_at_all(spark, tmp_path):
+    rows = [(1, '{"a":1}', "# x", [("p.png", b"1" * 3_000_000), ("../q.png", b"2")]), (2, None, None, None), (3, "{}", "", [])]
+    target = tmp_path / "out"
+    write_archives(spark.createDataFrame(rows, ARCHIVE).repartition(3), str(target))
+    assert sorted(p.name for p in target.iterdir()) == ["1.zip", "2.zip", "3.zip"]
+    with zipfile.ZipFile(target / "1.zip") as z:
+        assert z.namelist() == ["document.json", "markdown.md", "images/p.png", "images/q.png"] and z.read("images/p.png") == b"1" * 3_000_000
+    with zipfile.ZipFile(target / "2.zip") as z:
+        assert z.namelist() == ["document.json"] and z.read("document.json") == b"{}"
+    for bad in ([*rows, (1, "{}", None, None)], [(9, "{}", None, [("x", None)]), *rows]):
+        with pytest.raises(Exception):  # noqa: B017, PT011  of one document twice, and of a part without bytes
+            write_archives(spark.createDataFrame(bad, ARCHIVE).repartition(4), str(target))
+        assert sorted(p.name for p in target.iterdir()) == ["1.zip", "2.zip", "3.zip"]
+        with zipfile.ZipFile(target / "1.zip") as z:
+            assert "images/p.png" in z.namelist()
+    write_archives(spark.createDataFrame(rows[1:2], ARCHIVE), str(target), markdown=False)
+    assert [p.name for p in target.iterdir()] == ["2.zip"]
+    spark.createDataFrame(rows[:1], ARCHIVE).write.format("archives").mode("append").save(f"file://{target}")
+    assert sorted(p.name for p in target.iterdir()) == ["1.zip", "2.zip"]
+
+
+def test_overlaps_are_joined_by_tiles(spark):
+    """A page of many tokens: as counted in numpy, no nested loop in the plan, and the page is shared among tasks."""
+    r = np.random.default_rng(2)
+    n, m = 20_000, 200
+    box = lambda k, size: [(int(x), int(y), int(w), int(h)) for x, y, w, h in zip(r.integers(-300, 3000, k), r.integers(-300, 20_000, k), r.integers(1, size, k), r.integers(1, size, k), strict=True)]
+    t, g = box(n, 40), box(m, 900)
+    tok = spark.createDataFrame([(1, 1, i, "x", x, y, x + w, y + h, w, h) for i, (x, y, w, h) in enumerate(t)], "doc_id long, page_number int, pos int, content string, `left` int, top int, `right` int, bottom int, width int, height int")
+    reg = spark.createDataFrame([(1, 1, i, x, y, x + w, y + h) for i, (x, y, w, h) in enumerate(g)], "doc_id long, page_number int, region_seq int, `left` int, top int, `right` int, bottom int")
+    a, b = np.array(t), np.array(g)
+    want = (a[:, None, 0] + a[:, None, 2] > b[:, 0]) & (a[:, None, 0] < b[:, 0] + b[:, 2]) & (a[:, None, 1] + a[:, None, 3] > b[:, 1]) & (a[:, None, 1] < b[:, 1] + b[:, 3])
+    df = OPERATORS["rect_overlap_open"](tok=tok, reg=reg)
+    got = {x["pos"]: x["n"] for x in df.collect()}
+    assert [got[i] for i in range(n)] == want.sum(1).tolist() and want.sum() > 1000
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "tile_x" in plan
