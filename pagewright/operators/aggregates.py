@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from ..plans.dual import operator
+from ..plans.dual import operator, rendered
 from .joins import LINE_JOIN
+from .sweep import sweep
 
 PAGE = "doc_id, page_number"
 
 
-@operator("tok", "page")
+def line_ends(d) -> str:
+    """(doc_id, page_number, pos, v): right edges of the last tokens of lines."""
+    return f"""select t.doc_id, t.page_number, t.pos, t."right" as v from {d.t('tok')} t join {d.t('tok')} o on {LINE_JOIN} group by t.doc_id, t.page_number, t.pos, t."right" having sum(case when o."left" > t."right" then 1 else 0 end) = 0"""
+
+
+def modes(d) -> str:
+    """doc_modes from the relation `sweep`."""
+    return _modes(d, f"select doc_id, page_number, pos, below as v from {d.t('sweep')} where below is not null", f"select doc_id, page_number, pos, end_right as v from {d.t('sweep')} where end_right is not null")
+
+
+@operator("tok", "page", spark=lambda tok, page: rendered(modes, {"sweep": sweep(tok), "page": page}))
 def doc_modes(d):
     """Modes of the gaps to the token below and of the right edges of a line's last tokens; both lists begin with 0."""
-    return f"""with gaps as (select t.doc_id, t.page_number, t.pos, min(o.top) - t.bottom as v from {d.t('tok')} t join (select distinct doc_id, page_number, top from {d.t('tok')}) o on t.doc_id = o.doc_id and t.page_number = o.page_number and o.top > t.bottom group by t.doc_id, t.page_number, t.pos, t.bottom),
- ends as (select t.doc_id, t.page_number, t.pos, t."right" as v from {d.t('tok')} t join {d.t('tok')} o on {LINE_JOIN} group by t.doc_id, t.page_number, t.pos, t."right" having sum(case when o."left" > t."right" then 1 else 0 end) = 0),
+    below = f"""select t.doc_id, t.page_number, t.pos, min(o.top) - t.bottom as v from {d.t('tok')} t join (select distinct doc_id, page_number, top from {d.t('tok')}) o on t.doc_id = o.doc_id and t.page_number = o.page_number and o.top > t.bottom group by t.doc_id, t.page_number, t.pos, t.bottom"""
+    return _modes(d, below, line_ends(d))
+
+
+def _modes(d, gaps: str, ends: str) -> str:
+    return f"""with gaps as ({gaps}), ends as ({ends}),
  docs as (select doc_id, min(page_number) as first_page from {d.t('page')} group by doc_id),
  g as (select doc_id, 0 as page_number, 0 as pos, 0 as v from docs union all select doc_id, page_number, pos, v from gaps),
  r as (select doc_id, 0 as page_number, 0 as pos, 0 as v from docs union all select doc_id, page_number, pos, v from ends),

@@ -135,7 +135,13 @@ def dedup_regions(d):
  and k."left" <= r."left" and k.top <= r.top and k."right" >= r."right" and k.bottom >= r.bottom))"""
 
 
-@operator("tok")
+def _closest_below(tok):
+    from .sweep import sweep
+
+    return sweep(tok).where("below is not null").selectExpr("doc_id", "page_number", "pos", "below as gap")
+
+
+@operator("tok", spark=_closest_below)
 def closest_below(d):
     """Gap to the nearest token that starts below, where there is one."""
     return f"""select t.doc_id, t.page_number, t.pos, cast(min(o.top) - t.bottom as int) as gap from {d.t('tok')} t join (select distinct doc_id, page_number, top from {d.t('tok')}) o
@@ -153,7 +159,13 @@ def same_line_pairs(d):
     return f"""select t.doc_id, t.page_number, t.pos, count(*) as n, min(o.pos) as first_pos, max(o.pos) as last_pos from {d.t('tok')} t join {d.t('tok')} o on {LINE_JOIN} group by t.doc_id, t.page_number, t.pos"""
 
 
-@operator("tok")
+def _top_distance_gap(tok):
+    from .sweep import sweep
+
+    return sweep(tok).where("gap is not null").select("doc_id", "page_number", "pos", "gap")
+
+
+@operator("tok", spark=_top_distance_gap)
 def top_distance_gap(d):
     """Vertical distance to the next token, corrected for the tokens that start in between."""
     return f"""with p as (select *, lead(top) over w as top_2 from {d.t('tok')} window w as (partition by doc_id, page_number order by pos)),

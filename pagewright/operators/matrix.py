@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.dual import frame_operator, rendered
 from ..plans.fixtures import FX
 from .features import CATEGORIES, PUNCTUATION, _braces
+from .sweep import CONTEXTS, by_pages, largest, page_numbers, ranges
 
 #: Tokens of context on each side, pairs of a window, and the edges of a padding token's box.
 CONTEXT, WINDOW, PAD_BOX = 4, 8, (-1, -1, 1, 1)
@@ -30,29 +31,11 @@ _DENSE = PAIR - 2 * 216
 TOKENS, ROWS = 16_384, 2048
 
 BOX = ("left", "top", "right", "bottom")
-CONTEXTS = ("right_of_token_on_the_left", "left_of_token_on_the_left", "left_of_token_on_the_right", "right_of_token_on_the_right")
 TEXTS = ("is_all_caps", "starts_with_capital", "is_title_case", "is_numeric", "contains_digit", "digit_ratio", "ends_with_period", "ends_with_colon", "ends_with_semicolon", "word_count", "is_bold", "is_italic")
 COUNTS = ("length_", "blanks", "punctuation")
 NUMBERS = (*BOX, "font", *CONTEXTS, *TEXTS, *COUNTS, "ro", "touches", "font_size_mode", "lines_space_mode", "right_space_mode")
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0] .. start[0] + size[0] - 1, start[1] .., one after another."""
-    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-
-
-def _largest(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """max(values[lo:hi]) for each pair of bounds (lo < hi), by tables of maxima over stretches of 1, 2, 4 ... values."""
-    level = np.floor(np.log2(hi - lo)).astype(int)
-    out, table = np.zeros(len(lo), values.dtype), values
-    for k in range(level.max() + 1 if len(level) else 0):
-        if k:
-            table = np.maximum(table[: -(1 << (k - 1))], table[1 << (k - 1) :])
-        at = np.flatnonzero(level == k)
-        out[at] = np.maximum(table[lo[at]], table[hi[at] - (1 << k)])
-    return out
-
-
 def pair_vectors(page: np.ndarray, x: dict[str, np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """page: number of each token's page, ascending; x: NUMBERS; slots: 8 categories' places. (offsets, places, values) of all
     pairs with padding, page after page, and the first pair of each token's window."""
@@ -60,7 +43,7 @@ def pair_vectors(page: np.ndarray, x: dict[str, np.ndarray], slots: np.ndarray)
     size = np.diff(np.concatenate([first, [len(page)]]))
     padded = size + 2 * CONTEXT
     begin = np.concatenate([[0], np.cumsum(padded)[:-1]])
-    own = _ranges(begin + CONTEXT, size)  # where tokens are among the padded ones
+    own = ranges(begin + CONTEXT, size)  # where tokens are among the padded ones
     n = int(padded.sum())
     group = np.repeat(np.arange(len(size)), padded)
     real = np.zeros(n, bool)
@@ -95,7 +78,7 @@ def pair_vectors(page: np.ndarray, x: dict[str, np.ndarray], slots: np.ndarray)
     apart = two["top"] - one["top"] - h1
     gap = apart.copy()
     some = np.flatnonzero(lo < hi)
-    gap[some] -= (two["top"][some] - _largest(x["bottom"][order], lo[some], hi[some])) - (x["top"][order][lo[some]] - one["top"][some] - h1[some])
+    gap[some] -= (two["top"][some] - largest(x["bottom"][order], lo[some], hi[some])) - (x["top"][order][lo[some]] - one["top"][some] - h1[some])
 
     right1, right2 = (np.maximum(s["right"], s["right_of_token_on_the_right"]) for s in (one, two))
     left1, left2 = (np.minimum(s["left"], s["left_of_token_on_the_left"]) for s in (one, two))
@@ -130,13 +113,13 @@ def pair_vectors(page: np.ndarray, x: dict[str, np.ndarray], slots: np.ndarray)
     order = np.lexsort((column, pair))
     offsets = np.searchsorted(pair[order], np.arange(len(a) + 1))
     # pairs of page p begin at begin[p] - p, since each page before has one pair fewer than padded tokens
-    return offsets, column[order], value[order].astype(np.float32), _ranges(begin - np.arange(len(size)), size)
+    return offsets, column[order], value[order].astype(np.float32), ranges(begin - np.arange(len(size)), size)
 
 
 def windows(offsets: np.ndarray, places: np.ndarray, values: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(offsets, places, values) of rows: the WINDOW pairs from each start, one after another, cut out of the pairs' arrays."""
     size = offsets[start + WINDOW] - offsets[start]
-    at = _ranges(offsets[start], size)
+    at = ranges(offsets[start], size)
     pair = np.searchsorted(offsets, at, "right") - 1
     return np.concatenate([[0], np.cumsum(size)]), places[at] + PAIR * (pair - np.repeat(start, size)), values[at]
 
@@ -148,12 +131,10 @@ def _token_matrix(tok: DataFrame, ctx: DataFrame, texts: DataFrame, slots: DataF
     x = x.join(modes, "doc_id", "left").join(fontmode.select("doc_id", "font_size_mode"), "doc_id", "left")
     x = x.withColumn("font", F.xxhash64("font") % (1 << 52))  # told apart by value, whatever their type; whole in a double
     x = x.select(*key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in NUMBERS], "slots")
-    sorted_ = x.repartition("doc_id", "page_number").sortWithinPartitions(*key)
     kinds = {f.name: f.dataType.simpleString() for f in x.schema}
 
     def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc, number = (t.column(c).to_numpy() for c in key[:2])
-        page = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (number[1:] != number[:-1]))])
+        page = page_numbers(t)
         slot = np.array([s.split(",") for s in t.column("slots").to_pylist()]).astype(int)
         offsets, places, values, start = pair_vectors(page, {c: t.column(c).to_numpy() for c in NUMBERS}, slot)
         for at in range(0, t.num_rows, ROWS):
@@ -161,24 +142,7 @@ def _token_matrix(tok: DataFrame, ctx: DataFrame, texts: DataFrame, slots: DataF
             lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(a)) for a in (p.astype(np.int32), v)]
             yield pa.RecordBatch.from_arrays([*(t.column(c).slice(at, ROWS).combine_chunks() for c in key), *lists], [*key, "places", "values"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= TOKENS:
-                t = pa.Table.from_batches(held).combine_chunks()
-                doc, number = (t.column(c).to_numpy() for c in key[:2])
-                change = np.flatnonzero((doc[1:] != doc[:-1]) | (number[1:] != number[:-1]))
-                if len(change):
-                    whole = int(change[-1]) + 1
-                    yield from out(t.slice(0, whole))
-                    t = t.slice(whole)
-                held, rows = t.to_batches(), t.num_rows
-        if rows:
-            yield from out(pa.Table.from_batches(held).combine_chunks())
-
-    return sorted_.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", places array<int>, values array<float>")
+    return by_pages(x, out, ", ".join(f"{k} {kinds[k]}" for k in key) + ", places array<int>, values array<float>", TOKENS)
 
 
 INPUTS = ("tok", "ctx", "texts", "slots", "ord", "touching", "modes", "fontmode")

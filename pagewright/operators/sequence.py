@@ -24,7 +24,13 @@ PARAGRAPH_GAP = 12
 LIST_MARKERS = ("-", "•", "\uf0b7", "‣", "⁃", "⁌", "⁍", "◘", "◦", "⦾", "⦿")
 
 
-@operator("tok")
+def _token_context(tok: DataFrame) -> DataFrame:
+    from .sweep import CONTEXTS, KEY, sweep
+
+    return sweep(tok).select(*KEY, *CONTEXTS)
+
+
+@operator("tok", spark=_token_context)
 def token_context(d):
     """Edges of the neighbours on a token's line: nearest and farthest to the left and to the right, 0 without any."""
     left, right = 'o."right" < t."right"', 't."left" < o."left"'

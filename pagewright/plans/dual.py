@@ -163,7 +163,7 @@ def frame_operator(*inputs: str, key: str | None = None):
 
 
 #: Relations that are worth keeping, inner ones first, and reads from which they are kept.
-SHARED, LEAST = ("tok", "lines", "ctx"), 2
+SHARED, LEAST = ("tok", "lines", "sweep"), 2
 
 
 class Relations:

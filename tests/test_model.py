@@ -5,7 +5,7 @@ import unicodedata
 import numpy as np
 import pytest
 
-from pagewright.operators import boosting, matrix, model
+from pagewright.operators import boosting, matrix, model, sweep
 from pagewright.operators.features import CATEGORIES, categories
 from pagewright.plans import queries
 
@@ -227,3 +227,53 @@ def test_emissions_are_probabilities(spark, tmp_path):
     got = queries.queries()["model_emissions"](spark, str(tmp_path)).collect()
     p = np.array([[float(v) for v in r["p"].split(",")] for r in got])
     assert len(got) == 162 and p.shape[1] == 11 and np.allclose(p.sum(1), 1, atol=1e-3)
+
+
+def brute_near(tokens):
+    """What sweep says of each token, by a look at every other token of its page."""
+    out = {}
+    for i, t in enumerate(tokens):
+        own = [o for o in tokens if o[0] == t[0]]
+        page, x0, y0, x1, y1, h = t
+        line = [o for o in own if y0 - h <= o[2] <= y0 + h and (o[2] <= y0 < o[2] + o[5] or o[2] < y1 <= o[2] + o[5])]
+        lefts, rights = [o for o in line if o[3] < x1], [o for o in line if x0 < o[1]]
+        ahead = tokens[i + 1] if i + 1 < len(tokens) and tokens[i + 1][0] == page else None
+        gap = None
+        if ahead:
+            between = [o for o in own if y1 <= o[2] < ahead[2]]
+            gap = ahead[2] - y0 - h
+            if between:
+                gap -= (ahead[2] - max(o[4] for o in between)) - (min(o[2] for o in between) - y0 - h)
+        under = [o[2] for o in own if o[2] > y1]
+        ends = line and not any(o[1] > x1 for o in line)
+        out[i] = (max((o[3] for o in lefts), default=0), min((o[1] for o in lefts), default=0), min((o[1] for o in rights), default=0), max((o[3] for o in rights), default=0), gap, min(under) - y1 if under else None, x1 if ends else None)
+    return out
+
+
+@pytest.mark.parametrize("pairs", [50, 1 << 20])
+def test_sweep(monkeypatch, pairs):
+    monkeypatch.setattr(sweep, "PAIRS", pairs)
+    r = np.random.default_rng(12)
+    tokens = []
+    for page, n in enumerate((1, 2, 30, 1, 120, 7)):
+        for _ in range(n):
+            x, y, w, h = int(r.integers(-5, 300)), int(r.integers(-5, 60) // 3 * 3), int(r.integers(1, 60)), int(r.choice([2, 8, 10, 10, 30]))
+            tokens.append((page, x, y, x + w, y + h, h))
+    got = sweep.near(*(np.array(c) for c in zip(*tokens, strict=True)))
+    for i, want in brute_near(tokens).items():
+        assert tuple(None if np.ma.is_masked(c[i]) else int(c[i]) for c in got.values()) == want
+
+
+def test_sweep_of_large_pages_takes_time_in_proportion(spark):
+    """Pages of 5,000 and 40,000 tokens, as dense: no pairs beyond neighbouring lines."""
+    seen = {}
+    for n in (5_000, 40_000):
+        k = np.arange(n)
+        looked, before = [], sweep.ranges
+        sweep.ranges = lambda a, b, f=before, looked=looked: (looked.append(int(b.sum())), f(a, b))[1]
+        try:
+            sweep.near(np.zeros(n, int), k % 10 * 50, k // 10 * 12, k % 10 * 50 + 40, k // 10 * 12 + 10, np.full(n, 10))
+        finally:
+            sweep.ranges = before
+        seen[n] = sum(looked)
+    assert seen[40_000] <= 8.1 * seen[5_000] and seen[40_000] == 40_000 * 10
