@@ -102,13 +102,22 @@ def argmax_labels(d):
 def _tsr_rows(d) -> str:
     """CTEs up to rows_(…, row): boxes in rows from top to bottom; a last row of one box is lost, as it never ends."""
     key = "doc_id, page_number, region_seq"
-    return f"""mean as (select {key}, cast(sum(h) as double) / count(*) as mean_h from {d.t('box')} group by {key}),
- kept as (select b.*, m.mean_h from {d.t('box')} b join mean m on b.doc_id = m.doc_id and b.page_number = m.page_number and b.region_seq = m.region_seq where b.w < 0.9 * b.img_w and b.h < 0.9 * b.img_h),
+    if d.name == "spark":  # windows over tables alone, so all of it is one exchange
+        kept = f"""kept as (select * from (select *, cast(sum(h) over (partition by {key}) as double) / count(*) over (partition by {key}) as mean_h from {d.t('box')}) b where b.w < 0.9 * b.img_w and b.h < 0.9 * b.img_h)"""
+    else:
+        kept = _tsr_kept(d)
+    return f"""{kept},
  islands as (select *, sum(starts) over (partition by {key} order by y, seq rows between unbounded preceding and current row) - 1 as row_no from (select *, case when lag(y) over (partition by {key} order by y, seq) is null or y > lag(y) over (partition by {key} order by y, seq) + mean_h / 2 then 1 else 0 end as starts from kept) x),
  sized as (select *, count(*) over (partition by {key}, row_no) as n, max(row_no) over (partition by {key}) as last_row from islands),
  rows_ as (select {key}, seq, x, y, w, h, cast(row_no as int) as row_no, n from sized where not (row_no = last_row and n = 1))"""
 
 
+def _tsr_kept(d) -> str:
+    key = "doc_id, page_number, region_seq"
+    return f"""mean as (select {key}, cast(sum(h) as double) / count(*) as mean_h from {d.t('box')} group by {key}),
+ kept as (select b.*, m.mean_h from {d.t('box')} b join mean m on b.doc_id = m.doc_id and b.page_number = m.page_number and b.region_seq = m.region_seq where b.w < 0.9 * b.img_w and b.h < 0.9 * b.img_h)"""
+
+
 @operator("box")
 def tsr_rows(d):
     """Rows of a table's boxes."""
@@ -117,6 +126,12 @@ def tsr_rows(d):
 
 def _tsr_columns(d) -> str:
     key = "doc_id, page_number, region_seq"
+    if d.name == "spark":  # a table's centres as an array beside each of its boxes
+        return f"""{_tsr_rows(d)},
+ ranked as (select *, {d.trunc('x + cast(w as double) / 2')} as center, first_value(row_no) over (partition by {key} order by n desc, row_no) as widest from rows_),
+ centers as (select {key}, center, cast(row_number() over (partition by {key} order by center, seq) - 1 as int) as col from ranked where row_no = widest),
+ beside as (select *, transform(array_sort(collect_list(case when row_no = widest then struct(center, seq) end) over (partition by {key})), c -> c.center) as cs from ranked),
+ assigned as (select {key}, seq, x, y, w, h, row_no, n, array_min(transform(cs, (c, i) -> struct(abs(c - (x + cast(w as double) / 4)) as far, i as i))).i as col from beside)"""
     return f"""{_tsr_rows(d)},
  widest as (select {key}, row_no from (select {key}, row_no, row_number() over (partition by {key} order by max(n) desc, row_no) as rn from rows_ group by {key}, row_no) x where rn = 1),
  centers as (select r.doc_id, r.page_number, r.region_seq, {d.trunc('r.x + cast(r.w as double) / 2')} as center, cast(row_number() over (partition by r.doc_id, r.page_number, r.region_seq order by {d.trunc('r.x + cast(r.w as double) / 2')}, r.seq) - 1 as int) as col from rows_ r join widest k on r.doc_id = k.doc_id and r.page_number = k.page_number and r.region_seq = k.region_seq and r.row_no = k.row_no),
