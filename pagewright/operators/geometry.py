@@ -139,11 +139,12 @@ def region_px_to_pt(d):
 
 @operator("cand", "page")
 def crop_box(d):
-    """Pixel box of a region's crop at 150 dpi, cut to the page; truncation toward zero."""
+    """Pixel box of a region's crop at 150 dpi, cut to the page; truncation toward zero. Regions of which nothing is on the page
+    have no crop."""
     s = "(cast(150 as double) / 72)"
     cut = lambda c: d.trunc(f"{c} * {s}")
-    return f"""select r.doc_id, r.page_number, r.region_seq, greatest(0, {cut('r."left"')}) as x0, greatest(0, {cut('r.top')}) as y0, least({cut('p.page_width')}, {cut('r."right"')}) as x1, least({cut('p.page_height')}, {cut('r.bottom')}) as y1
- from {d.t('cand')} r join {d.t('page')} p on r.doc_id = p.doc_id and r.page_number = p.page_number"""
+    return f"""select * from (select r.doc_id, r.page_number, r.region_seq, greatest(0, {cut('r."left"')}) as x0, greatest(0, {cut('r.top')}) as y0, least({cut('p.page_width')}, {cut('r."right"')}) as x1, least({cut('p.page_height')}, {cut('r.bottom')}) as y1
+ from {d.t('cand')} r join {d.t('page')} p on r.doc_id = p.doc_id and r.page_number = p.page_number) c where x1 > x0 and y1 > y0"""
 
 
 @operator("lab", "tok")

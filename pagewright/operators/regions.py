@@ -51,6 +51,13 @@ def xml_cells(d):
 FX.add("xmlcell", "structure", spark=_xml_cells_spark)(xml_cells.template)
 
 
+@operator("xmlcell")
+def cells_in_points(d):
+    """Cells of recognised structures, from the pixels of a crop at 150 dpi to points."""
+    s = "(cast(150 as double) / 72)"
+    return f"""select doc_id, page_number, "left", top, tsr_seq, n, "row", col, x / {s} as x, y / {s} as y, w / {s} as w, h / {s} as h from {d.t('xmlcell')}"""
+
+
 def _last_structure(d) -> str:
     return f"""(select * from (select *, row_number() over (partition by doc_id, page_number, "left", top order by tsr_seq desc) as rn from {d.t('structure')}) x where rn = 1)"""
 

@@ -124,8 +124,8 @@ def raw(d):
 
 @FX.invent("cand", "reg")
 def cand(d):
-    """Candidates: regions ten times as large, some beyond the page's edges."""
-    return f"""select doc_id, page_number, region_seq, "left" - 60 as "left", top - 60 as top, "right" + 100 as "right", bottom + 400 as bottom, area * 10 as area from {d.t('reg')}"""
+    """Candidates: regions ten times as large, some beyond the page's edges, some outside the page."""
+    return f"""select doc_id, page_number, region_seq, "left" - 60 + (case when (doc_id + region_seq) % 9 = 4 then 700 else 0 end) as "left", top - 60 as top, "right" + 100 as "right", bottom + 400 as bottom, area * 10 as area from {d.t('reg')}"""
 
 
 @FX.invent("printed", "tok")

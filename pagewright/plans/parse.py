@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import operators  # noqa: F401  registers the operators
 from ..sources import poppler
+from ..sources.archives import write_archives
 from .dual import OPERATORS
 from .fixtures import FX
+from .shared import written
 
 
 def relations(docs: DataFrame, emissions: DataFrame | None = None, regions: DataFrame | None = None, cells: DataFrame | None = None, images: DataFrame | None = None, structures: DataFrame | None = None, heights: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -57,3 +61,46 @@ def to_markdown(docs: DataFrame, **given: DataFrame | None) -> DataFrame:
 def to_json(docs: DataFrame, **given: DataFrame | None) -> DataFrame:
     """docs (doc_id, xml) -> doc_id, json."""
     return run(docs.sparkSession, "document_json", relations(docs, **given))
+
+
+#: Resolutions that may be asked for, and characters of a preview.
+LEAST_DPI, MOST_DPI, PREVIEW = 72, 600, 2000
+
+
+def results(docs: DataFrame, crops: DataFrame | None = None, include_markdown: bool = True, include_images: bool = True, **given: DataFrame | None) -> DataFrame:
+    """docs (doc_id, xml) and crops (doc_id, filename, bytes) -> doc_id, json, md, images: a row each document that was read. md
+    is null where it isn't asked for, images empty where there are none or they aren't. JSON and Markdown are written in the
+    shared folder first: both come from the same relations, and a plan of both joined is more than the analyser tells apart."""
+    known = relations(docs, **given)
+    spark = docs.sparkSession
+    out, _ = written(run(spark, "document_json", known))
+    md = written(run(spark, "document_markdown", known))[0] if include_markdown else None
+    out = out.join(md, "doc_id", "left").withColumn("md", F.coalesce("md", F.lit(""))) if md is not None else out.withColumn("md", F.lit(None).cast("string"))
+    none = F.lit(None).cast("array<struct<filename: string, bytes: binary>>")
+    if include_images and crops is not None:
+        own = crops.where("bytes is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("filename", "bytes"))).alias("images"))
+        out = out.join(own, "doc_id", "left")
+    else:
+        out = out.withColumn("images", none)
+    return out.select("doc_id", "json", "md", F.coalesce("images", F.array().cast("array<struct<filename: string, bytes: binary>>")).alias("images"))
+
+
+def parse_to_archives(pdfs: DataFrame, path: str, dpi: int = 150, include_markdown: bool = True, include_images: bool = True, convert: Callable | None = None, crops: DataFrame | None = None, **given: DataFrame | None) -> DataFrame:
+    """pdfs (doc_id, pdf) -> one archive a document below path, all or none; returns doc_id, error of PDFs that failed, which
+    have no archive. convert: as for poppler.pdf_to_xml; crops and relations of rasters at this dpi may be given."""
+    if not LEAST_DPI <= dpi <= MOST_DPI:
+        raise ValueError(f"dpi must be {LEAST_DPI} to {MOST_DPI}, not {dpi}")
+    made, _ = written(poppler.pdf_to_xml(pdfs, convert) if convert else poppler.pdf_to_xml(pdfs))  # PDFs are converted once
+    write_archives(results(made.where("xml is not null").select("doc_id", "xml"), crops, include_markdown, include_images, **given), path, include_markdown)
+    return made.where("error is not null").select("doc_id", "error")
+
+
+def preview(md: DataFrame, characters: int = PREVIEW) -> DataFrame:
+    """doc_id, md -> doc_id, the first characters of md, and whether there are more."""
+    return md.select("doc_id", F.substring("md", 1, characters).alias("preview"), (F.length("md") > characters).alias("more"))
+
+
+def health(spark: SparkSession, model_path: str) -> dict[str, object]:
+    """Whether the session works and a model lies at the path, on any store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(model_path)
+    return {"status": "ok" if spark.range(1).count() == 1 else "failed", "model_available": bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))}

@@ -183,3 +183,29 @@ def test_overlaps_are_joined_by_tiles(spark):
     assert [got[i] for i in range(n)] == want.sum(1).tolist() and want.sum() > 1000
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "tile_x" in plan
+
+
+def test_from_pdfs_to_archives(spark, tmp_path):
+    """PDFs that fail have no archive; parts are there as asked for."""
+    pdfs = spark.createDataFrame([(1, b"good"), (2, b"bad")], "doc_id long, pdf binary")
+
+    def convert(pdf, hidden):
+        if pdf == b"bad":
+            raise ValueError("no PDF")
+        return XML
+
+    crops = spark.createDataFrame([(1, "image_page1_1_2.png", b"png"), (1, "image_page1_3_4.png", None)], "doc_id long, filename string, bytes binary")
+    failed = parse.parse_to_archives(pdfs, f"{tmp_path}/a", convert=convert, crops=crops)
+    assert [(r["doc_id"], r["error"]) for r in failed.collect()] == [(2, "ValueError: no PDF")]
+    with zipfile.ZipFile(tmp_path / "a" / "1.zip") as z:
+        assert z.namelist() == ["document.json", "markdown.md", "images/image_page1_1_2.png"]
+        document, md = json.loads(z.read("document.json")), z.read("markdown.md").decode()
+    assert document["num_pages"] == 2 and md
+    parse.parse_to_archives(pdfs, f"{tmp_path}/b", 72, False, False, convert, crops)
+    with zipfile.ZipFile(tmp_path / "b" / "1.zip") as z:
+        assert z.namelist() == ["document.json"]
+    with pytest.raises(ValueError, match="dpi"):
+        parse.parse_to_archives(pdfs, f"{tmp_path}/c", 601)
+    (r,) = parse.preview(spark.createDataFrame([(1, md)], "doc_id long, md string"), 3).collect()
+    assert (r["preview"], r["more"]) == (md[:3], True)
+    assert parse.health(spark, f"{tmp_path}/a") == {"status": "ok", "model_available": True} and not parse.health(spark, f"{tmp_path}/none")["model_available"]

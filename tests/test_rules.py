@@ -117,7 +117,7 @@ def test_region_filters(rows):
 
 
 def test_crop_box(rows):
-    cand = ([(1, 1, 0, -5, 10, 100, 900, 1)], "doc_id long, page_number int, region_seq int, `left` int, top int, `right` int, bottom int, area int")
+    cand = ([(1, 1, 0, -5, 10, 100, 900, 1), (1, 1, 1, 600, 10, 700, 20, 1), (1, 1, 2, -50, 10, -5, 20, 1), (1, 1, 3, 10, 10, 10, 20, 1)], "doc_id long, page_number int, region_seq int, `left` int, top int, `right` int, bottom int, area int")
     assert rows("crop_box", "x0 y0 x1 y1", cand=cand, page=PAGES) == [(0, 20, 208, 1666)]
 
 
@@ -216,6 +216,8 @@ def test_tables_from_xml(spark):
     made = structures(spark, frame)
     cells = sorted(tuple(x[c] for c in ("left", "tsr_seq", "n", "row", "col", "x", "y", "w", "h")) for x in made["xmlcell"].where("`left` = 100").collect())
     assert cells == [(100, 1, 0, 0, 0, 0.0, 0.0, 20.5, 10.0), (100, 1, 1, 0, 2, 40.0, 0.0, 20.0, 10.0), (100, 1, 3, 2, 1, 20.0, 20.0, 20.0, 10.0)]
+    points = OPERATORS["cells_in_points"](xmlcell=made["xmlcell"].where("`left` = 100 and n = 0")).collect()
+    assert [(r["x"], r["w"], r["h"]) for r in points] == [(0.0, pytest.approx(9.84), pytest.approx(4.8))]
     tokens = spark.createDataFrame(*tok((1, "a", 102, 52, 110, 58), (2, "b", 142, 52, 150, 58), (3, "c", 121, 71, 130, 79)))
     (got,) = OPERATORS["xml_table_md"](reg=r, tok=tokens, **made).collect()
     assert (got["region_seq"], got["md"]) == (0, "| a |  | b |\n| --- | --- | --- |\n|  |  |  |\n|  | c |  |")
