@@ -58,6 +58,7 @@ class Bins:
         self.starts = np.concatenate([[0], np.cumsum([len(e) + 1 for e in edges])]).astype(np.int64)
         self.zero = np.array([np.searchsorted(e, 0.0) for e in self.edges], np.int64)
         self.width, self.total = len(edges), int(self.starts[-1])
+        self.feature = np.repeat(np.arange(self.width), np.diff(self.starts))
 
     def cells(self, offsets: np.ndarray, places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, cells): of each row the bins but those of zero, ascending."""
@@ -76,7 +77,7 @@ class Bins:
     def dense(self, offsets: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Bins of all features, a row each."""
         out = np.repeat(self.zero.astype(np.uint8)[None], len(offsets) - 1, axis=0)
-        f = np.searchsorted(self.starts, cells, "right") - 1
+        f = self.feature[cells]
         out[np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), f] = cells - self.starts[f]
         return out
 
@@ -89,8 +90,9 @@ def quantile_bins(rows: DataFrame, width: int, bins: int = 255, sample: int = BI
     if n > sample:
         some = some.where(F.pmod(F.xxhash64("places", "values"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
     entry = some.select(F.explode(F.arrays_zip("places", "values")).alias("e")).select(F.col("e.places").alias("place"), F.col("e.values").cast("float").alias("v")).where("v <> 0")
+    counted = entry.groupBy("place", "v").agg(F.count(F.lit(1)).alias("n"))  # few values are very common
     at = [i / (bins - 3) for i in range(1, bins - 3)]
-    cuts = entry.groupBy("place").agg(F.percentile_approx("v", at, 10_000).alias("cuts"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
+    cuts = counted.groupBy("place").agg(F.percentile("v", at, F.col("n")).alias("cuts"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
     edges = [np.zeros(0)] * width
     for r in cuts:
         own = {x for x in r["cuts"] if x < r["most"]}
@@ -229,7 +231,20 @@ def _lists(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     return (offsets - offsets[0]).astype(np.int64), column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(kind)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def _blobs(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, numbers) of an array of binaries that hold numbers of that kind."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    return (at - at[0]) // size, np.frombuffer(data, kind, int(at[-1] - at[0]) // size, int(at[0])) if at[-1] > at[0] else np.zeros(0, kind)
+
+
+def _binaries(offsets: np.ndarray, numbers: np.ndarray) -> pa.Array:
+    numbers = np.ascontiguousarray(numbers)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * numbers.itemsize).astype(np.int32)), pa.py_buffer(numbers)])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -266,54 +281,56 @@ def _splits(rows: DataFrame, bins: Bins, recent: list[list[Tree]], growing: list
         hi = max(lo + 1, int(np.searchsorted(bins.starts, bins.starts[lo] + BLOCK, "right")) - 1)
         blocks.append((lo, hi))
         lo = hi
-    partial = {k: growing[k].tree for k, _ in asked}
+    partial, may = {k: growing[k].tree for k, _ in asked}, {k: allowed(s, bins.width, number, k) for k, _ in asked}
+    own = {(k, b): np.flatnonzero(may[k][lo:hi]) + lo for k in may for b, (lo, hi) in enumerate(blocks)}  # what a class uses of a block
+    picks = {at: np.flatnonzero(np.isin(bins.feature, f)) for at, f in own.items()}
     bag = int(s.bagging_fraction * (1 << 20)) if s.bagging_freq and s.bagging_fraction < 1 else 1 << 20
     salt = F.lit(s.seed * 1_000_003 + (number // s.bagging_freq if s.bagging_freq else 0))
     bagged = rows.where(F.pmod(F.xxhash64("place", salt), F.lit(1 << 20)) < bag) if bag < 1 << 20 else rows
     many = max(1, CELLS // max(1, bins.total))
     for at in range(0, len(asked), many):
-        some = asked[at : at + many]
+        some = asked[at : at + many]  # a class's nodes are one after another
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, totals = np.zeros((3, len(some) * bins.total)), np.zeros((len(some), 3))
-            of = {k: np.full(len(t.left), -1) for k, t in partial.items()}
+            of, span = {k: np.full(len(t.left), -1) for k, t in partial.items()}, {}
             for i, (k, node) in enumerate(some):
                 of[k][node] = i
+                span[k] = (span.get(k, (i, i))[0], i + 1)
+            cell_may = {k: np.repeat(may[k], np.diff(bins.starts)) for k in span}
             for part in _parts(batches):
-                offsets, cells = _lists(part.column(0), np.int64)
+                offsets, cells = _blobs(part.column(0), np.int32)
                 dense = bins.dense(offsets, cells)
-                scores = _lists(part.column(2), float)[1].reshape(len(dense), -1)
+                scores = _blobs(part.column(2), float)[1].reshape(len(dense), -1)
                 for trees in recent:
                     scores = scores + np.stack([t.scores(dense) for t in trees], axis=1)
                 g, h = gradients(scores, part.column(1).to_numpy(zero_copy_only=False))
                 row = np.repeat(np.arange(len(dense)), np.diff(offsets))
-                for k in sorted({k for k, _ in some}):
-                    node = of[k][partial[k].node_of(dense)]
-                    if not (node >= 0).any():
-                        continue
-                    here = node[row] >= 0
-                    cell, of_row = node[row[here]] * bins.total + cells[here], row[here]
+                for k, (lo, hi) in span.items():
+                    node = of[k][partial[k].node_of(dense)] - lo
                     inside = node >= 0
-                    for j, w in enumerate((g[:, k], h[:, k], np.ones(len(dense)))):
-                        sums[j] += np.bincount(cell, weights=w[of_row], minlength=sums.shape[1])
-                        totals[:, j] += np.bincount(node[inside], weights=w[inside], minlength=len(some))
+                    if not inside.any():
+                        continue
+                    here = cell_may[k][cells] if inside.all() else cell_may[k][cells] & inside[row]
+                    of_row, wide = row[here], slice(lo * bins.total, hi * bins.total)
+                    cell = node[of_row] * bins.total + cells[here]
+                    for j, w in enumerate((g[:, k], h[:, k], None)):
+                        sums[j, wide] += np.bincount(cell, weights=None if w is None else w[of_row], minlength=(hi - lo) * bins.total)
+                        totals[lo:hi, j] += np.bincount(node[inside], weights=None if w is None else w[inside], minlength=hi - lo)
             sums = sums.reshape(3, len(some), bins.total)
-            for i in range(len(some)):
+            for i, (k, _) in enumerate(some):
                 if totals[i, 2]:
-                    for b, (lo, hi) in enumerate(blocks):
-                        blob = np.concatenate([totals[i], sums[:, i, bins.starts[lo] : bins.starts[hi]].ravel()])
+                    for b in range(len(blocks)):
+                        blob = np.concatenate([totals[i], sums[:, i, picks[k, b]].ravel()])
                         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([b], pa.int32()), pa.array([blob.tobytes()], pa.binary())], ["node", "block", "sums"])
 
         def best(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
             whole = sum(np.frombuffer(b) for b in x["sums"])
-            lo, hi = blocks[key[1]]
-            may = np.flatnonzero(allowed(s, bins.width, number, some[key[0]][0])[lo:hi]) + lo
+            features = own[some[key[0]][0], key[1]]
             total, found = whole[:3], None
-            if len(may):
-                sums = whole[3:].reshape(3, -1)
-                pick = np.concatenate([np.arange(bins.starts[f], bins.starts[f + 1]) for f in may]) - bins.starts[lo]
-                starts = np.concatenate([[0], np.cumsum(np.diff(bins.starts)[may])])
-                found = best_split(sums[:, pick], total, may, starts, bins.zero[may], s)
+            if len(features):
+                starts = np.concatenate([[0], np.cumsum(np.diff(bins.starts)[features])])
+                found = best_split(whole[3:].reshape(3, -1), total, features, starts, bins.zero[features], s)
             gain, feature, cut, left = found or (0.0, -1, 0, np.zeros(3))
             return pd.DataFrame([(key[0], gain, feature, cut, *left, *total)], columns=["node", "gain", "feature", "cut", "lg", "lh", "ln", "g", "h", "n"])
 
@@ -330,10 +347,10 @@ def _splits(rows: DataFrame, bins: Bins, recent: list[list[Tree]], growing: list
 
 def train(rows: DataFrame, width: int, settings: Settings = Settings()) -> Model:
     """rows (places array<int>, values array<float>, label int) -> a model. Rows without label or vector don't count; a label
-    outside the classes is an error. Rows are written in the shared folder with their scores, anew every WRITE rounds, and
-    removed at the end. Without any row all classes are equally likely."""
+    outside the classes is an error. Rows are written in the shared folder, then their bins with their scores, these anew every
+    WRITE rounds, and removed at the end. Without any row all classes are equally likely."""
     s, spark = settings, rows.sparkSession
-    rows = rows.where("label is not null and places is not null and values is not null")
+    rows, raw = written(rows.where("label is not null and places is not null and values is not null").select("places", "values", "label"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(k < 0 or k >= s.classes for k in counts):
         raise ValueError(f"labels must be 0 to {s.classes - 1}")
@@ -346,13 +363,13 @@ def train(rows: DataFrame, width: int, settings: Settings = Settings()) -> Model
         for part in _parts(batches):
             offsets, places = _lists(part.column(0), np.int64)
             offsets, cells = bins.cells(offsets, places, _lists(part.column(1), np.float32)[1])
-            scores = np.tile(first, part.num_rows)
-            lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x))
-            yield pa.RecordBatch.from_arrays([lists(offsets, cells.astype(np.int32)), part.column(2), lists(np.arange(part.num_rows + 1) * s.classes, scores), part.column(3)], ["cells", "label", "scores", "place"])
+            scores = _binaries(np.arange(part.num_rows + 1) * s.classes, np.tile(first, part.num_rows))
+            yield pa.RecordBatch.from_arrays([_binaries(offsets, cells.astype(np.int32)), part.column(2), scores, part.column(3)], ["cells", "label", "scores", "place"])
 
-    kind = "cells array<int>, label int, scores array<double>, place long"
+    kind = "cells binary, label int, scores binary, place long"
     keyed = rows.select("places", "values", F.col("label").cast("int").alias("label"), F.xxhash64("places", "values", "label").alias("place"))
     data, at = written(keyed.mapInArrow(binned, kind))
+    removed(spark, raw)
     recent: list[list[Tree]] = []
     for number in range(s.rounds):
         growing = [Growing() for _ in range(s.classes)]
@@ -372,12 +389,11 @@ def train(rows: DataFrame, width: int, settings: Settings = Settings()) -> Model
 
             def scored(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
                 for part in _parts(batches):
-                    dense = bins.dense(*_lists(part.column(0), np.int64))
-                    scores = _lists(part.column(2), float)[1].reshape(len(dense), -1)
+                    dense = bins.dense(*_blobs(part.column(0), np.int32))
+                    scores = _blobs(part.column(2), float)[1].reshape(len(dense), -1)
                     for trees in now:
                         scores = scores + np.stack([t.scores(dense) for t in trees], axis=1)
-                    lists = pa.ListArray.from_arrays(pa.array((np.arange(len(dense) + 1) * s.classes).astype(np.int32)), pa.array(scores.ravel()))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, part.column(3)], ["cells", "label", "scores", "place"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _binaries(np.arange(len(dense) + 1) * s.classes, scores), part.column(3)], ["cells", "label", "scores", "place"])
 
             data, at = written(data.mapInArrow(scored, kind))
             removed(spark, old)

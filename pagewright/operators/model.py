@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.dual import frame_operator
+from ..plans.shared import written
 from . import boosting
 from .matrix import PAIR, WINDOW
 
@@ -59,8 +60,8 @@ def load(spark, path: str):
     return LogisticRegressionModel.load(f"{path}/model"), spark.read.parquet(f"{path}/transitions")
 
 
-#: Rounds and leaves of the registered query; a model of use has those of boosting.Settings.
-FEW = boosting.Settings(rounds=3, leaves=15, bagging_freq=1)
+#: Settings of the registered query; a model of use has those of boosting.Settings.
+FEW = boosting.Settings(rounds=2, leaves=8, bins=31, feature_fraction=0.25, bagging_freq=1)
 
 
 def train_boosted(matrix: DataFrame, tok: DataFrame, settings: boosting.Settings = boosting.Settings()) -> boosting.Model:
@@ -72,5 +73,6 @@ def train_boosted(matrix: DataFrame, tok: DataFrame, settings: boosting.Settings
 @frame_operator("matrix", "tok")
 def model_emissions(matrix: DataFrame, tok: DataFrame) -> DataFrame:
     """Emissions of a model that is trained on the documents' own types from the matrix of features."""
+    matrix, _ = written(matrix)  # read for training and for prediction
     out = boosting.predict(matrix, train_boosted(matrix, tok, FEW))
     return out.select("doc_id", "page_number", "pos", F.array_join(F.transform("p", lambda v: F.round(v, 4).cast("string")), ",").alias("p"))
