@@ -1,7 +1,7 @@
 """Sequences on a page: contexts, windows, decoding, lines, blocks and the Markdown made from them.
 
 Folds whose state depends on what was decided before (lines, blocks) run in Python over partitions sorted by page, holding a
-page at a time; decoding takes a document at a time.
+page at a time. Decoding is in decoding.py.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.dual import operator
 from ..plans.fixtures import DISPLAY, FX
+from .decoding import viterbi
 from .joins import LINE_JOIN, PLACED, _table_md
 
 PAGE = "doc_id, page_number"
@@ -265,76 +266,6 @@ def document_markdown(d):
     return f"""select doc_id, {d.listagg('md', two, 'page_number')} as md from (select doc_id, page_number, {d.listagg('md', two, 'block_no')} as md from {d.t('block_md')} where md <> '' group by doc_id, page_number) p where length(trim(md)) > 0 group by doc_id"""
 
 
-def viterbi(emissions: np.ndarray, log_transition: np.ndarray) -> list[int]:
-    """Likeliest sequence of types; the first on ties. One row: its likeliest type."""
-    if len(emissions) < 2:
-        return [int(np.argmax(e)) for e in emissions]
-    logs = np.log(emissions + 1e-12)
-    best, back = logs[0], []
-    for row in logs[1:]:
-        scores = best[:, None] + log_transition + row[None, :]
-        back.append(np.argmax(scores, axis=0))
-        best = scores[back[-1], np.arange(len(row))]
-    path = [int(np.argmax(best))]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return path[::-1]
-
-
-def viterbi_pages(pages: list[np.ndarray], log_transition: np.ndarray) -> list[np.ndarray]:
-    """viterbi of each page, step by step over all pages that are as long: the pages are sorted by length, so that those still
-    going on are always the first ones."""
-    order = sorted(range(len(pages)), key=lambda i: -len(pages[i]))
-    sizes = np.array([len(pages[i]) for i in order])
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pages)
-    if not len(pages):
-        return out
-    logs = [np.log(pages[i] + 1e-12) if len(pages[i]) > 1 else pages[i] for i in order]
-    best, back = np.stack([x[0] for x in logs]), []
-    for step in range(1, sizes[0]):
-        on = int((sizes > step).sum())
-        scores = best[:on, :, None] + log_transition[None] + np.stack([x[step] for x in logs[:on]])[:, None, :]
-        back.append(np.argmax(scores, axis=1))
-        best[:on] = np.take_along_axis(scores, back[-1][:, None, :], axis=1)[:, 0]
-    last = np.argmax(best, axis=1)
-    paths = [np.empty(n, np.int64) for n in sizes]
-    for k, n in enumerate(sizes):
-        paths[k][n - 1] = last[k]
-    for step in range(sizes[0] - 1, 0, -1):
-        on = int((sizes > step).sum())
-        now = np.array([paths[k][step] for k in range(on)])
-        for k, v in enumerate(back[step - 1][np.arange(on), now].tolist()):
-            paths[k][step - 1] = v
-    for k, i in enumerate(order):
-        out[i] = paths[k]
-    return out
-
-
-def _viterbi_spark(emi: DataFrame, trans: DataFrame) -> DataFrame:
-    """The 121 transition probabilities are one row that goes to all tasks within the query; a task decodes the pages that a
-    batch holds together."""
-    n = 11
-    matrix = trans.agg(F.array_sort(F.collect_list(F.struct("prev", "curr", "p"))).alias("cells"))  # 121 cells, one row
-    pages = emi.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("rows"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log_transition = None
-        for x in batches:
-            if not len(x):
-                continue
-            if log_transition is None:
-                log_transition = np.zeros((n, n))
-                for r in x["cells"].iloc[0]:
-                    log_transition[r["prev"], r["curr"]] = r["p"]
-                log_transition = np.log(log_transition + 1e-12)
-            rows = x["rows"].to_list()
-            labels = viterbi_pages([np.stack([r["p"] for r in page]) for page in rows], log_transition)
-            sizes = [len(page) for page in rows]
-            yield pd.DataFrame({"doc_id": x["doc_id"].repeat(sizes).to_numpy(), "page_number": x["page_number"].repeat(sizes).to_numpy(), "pos": np.array([r["pos"] for page in rows for r in page], np.int32), "label": np.concatenate(labels).astype(np.int32)})
-
-    return pages.crossJoin(F.broadcast(matrix)).mapInPandas(run, "doc_id long, page_number int, pos int, label int")  # matrix: one row
-
-
 @FX.add("trans", "tok")
 def trans(d):
     from .aggregates import transition_matrix
@@ -342,11 +273,11 @@ def trans(d):
     return transition_matrix.template(d)
 
 
-@operator("emi", "trans", spark=_viterbi_spark)
+@operator("emi", "trans", spark=viterbi)
 def viterbi_labels(d):
-    """Types of a page's tokens as the likeliest sequence under the transition matrix."""
-    return """with recursive lt as (select list(ln(p + 1e-12) order by prev, curr) as m from trans),
- le as (select doc_id, page_number, pos, list_transform(p, lambda x: ln(x + 1e-12)) as e, p from emi),
+    """Types of a page's tokens as the likeliest sequence under the transition matrix, scores in multiples of 2**-32."""
+    return """with recursive lt as (select list(cast(round(ln(p + 1e-12) * 4294967296) as bigint) order by prev, curr) as m from trans),
+ le as (select doc_id, page_number, pos, list_transform(p, lambda x: cast(round(ln(x + 1e-12) * 4294967296) as bigint)) as e, p from emi),
  last as (select doc_id, page_number, max(pos) as n from emi group by doc_id, page_number),
  f as (select doc_id, page_number, pos, e as best, list_transform(range(11), lambda j: [j]) as paths from le where pos = 1
   union all select doc_id, page_number, pos, list_transform(b, lambda x: x.s), list_transform(b, lambda x: list_append(paths[x.k], x.j)) from (

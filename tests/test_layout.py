@@ -84,16 +84,6 @@ def test_categories():
     assert features.categories("abcd.efgh") == [features.CATEGORIES.index("Ll")] * 8
 
 
-def test_viterbi_agrees_with_all_paths():
-    from itertools import product
-
-    r = np.random.default_rng(1)
-    for _ in range(20):
-        e, t = r.random((4, 3)), np.log(r.random((3, 3)))
-        score = lambda p: sum(np.log(e[i, k] + 1e-12) for i, k in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
-        assert score(sequence.viterbi(e, t)) == pytest.approx(max(map(score, product(range(3), repeat=4))))
-
-
 def test_fold_of_blocks():
     f = np.array
     blocks, types = sequence.fold_blocks(f([False, False, True, False, False, False]), f([6, 6, 3, 6, 5, 6]), f([0, 10, 30, 40, 55, 60]), f([9, 20, 38, 50, 59, 70]), f([True, False, False, False, False, False]))
