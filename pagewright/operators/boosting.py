@@ -14,8 +14,10 @@ hessians are whole multiples of 2**-24: their sums are exact, so trees don't dep
 from __future__ import annotations
 
 import heapq
+import io
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import removed, written
+from .shipped import shipped
 
 
 @dataclass(frozen=True)
@@ -265,6 +268,27 @@ class Model:
     def probabilities(self, offsets: np.ndarray, places: np.ndarray, values: np.ndarray) -> np.ndarray:
         return softmax(self.raw(self.bins.dense(*self.bins.cells(offsets, places, values))))
 
+    def to_bytes(self) -> bytes:
+        """The model as arrays; equal models give equal bytes."""
+        trees = [t for trees in self.rounds for t in trees]
+        parts = {f"tree_{f.name}": np.concatenate([np.zeros(0), *(getattr(t, f.name) for t in trees)]).astype(np.float64 if f.name == "value" else np.int64) for f in fields(Tree)}
+        out = io.BytesIO()
+        np.savez(
+            out, settings=np.array(json.dumps(asdict(self.settings))), first=self.first, edges=np.concatenate([np.zeros(0, np.float32), *self.bins.edges]),
+            edge_counts=np.array([len(e) for e in self.bins.edges], np.int64), nodes=np.array([len(t.left) for t in trees], np.int64), **parts,
+        )
+        return out.getvalue()
+
+    @staticmethod
+    def of_bytes(data: bytes) -> Model:
+        x = np.load(io.BytesIO(data))
+        model = Model(Bins(np.split(x["edges"], np.cumsum(x["edge_counts"])[:-1]) if len(x["edge_counts"]) else []), x["first"], Settings(**json.loads(str(x["settings"]))))
+        cuts = np.cumsum(x["nodes"])[:-1]
+        trees = [Tree(*columns) for columns in zip(*(np.split(x[f"tree_{f.name}"], cuts) for f in fields(Tree)), strict=True)] if len(x["nodes"]) else []
+        classes = model.settings.classes
+        model.rounds = [trees[at : at + classes] for at in range(0, len(trees), classes)]
+        return model
+
 
 def allowed(s: Settings, width: int, number: int, k: int) -> np.ndarray:
     """Features that the tree of class k may use in a round."""
@@ -404,14 +428,15 @@ def train(rows: DataFrame, width: int, settings: Settings = Settings()) -> Model
 
 def predict(rows: DataFrame, model: Model, key: tuple[str, ...] = ("doc_id", "page_number", "pos")) -> DataFrame:
     """rows (key, places, values) -> key, p array<double>: the probability of each class. The model goes out as a broadcast (its
-    size is that of its trees, at most rounds x classes x leaves nodes), which a worker reads once however many tasks it runs."""
-    sent, kinds = rows.sparkSession.sparkContext.broadcast(model), {f.name: f.dataType.simpleString() for f in rows.schema}
+    size is that of its trees, at most rounds x classes x leaves nodes), which a worker reads once however many tasks and queries
+    use it."""
+    get, kinds = shipped(rows.sparkSession, model.to_bytes(), Model.of_bytes), {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             n = len(key)
             offsets, places = _lists(part.column(n), np.int64)
-            p = sent.value.probabilities(offsets, places, _lists(part.column(n + 1), np.float32)[1])
+            p = get().probabilities(offsets, places, _lists(part.column(n + 1), np.float32)[1])
             lists = pa.ListArray.from_arrays(pa.array((np.arange(len(p) + 1) * p.shape[1]).astype(np.int32)), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*part.columns[:n], lists], [*key, "p"])
 

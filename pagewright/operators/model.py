@@ -14,6 +14,7 @@ from ..plans.dual import frame_operator
 from ..plans.shared import written
 from . import boosting
 from .matrix import PAIR, WINDOW
+from .shipped import read_bytes, shipped
 
 CLASSES = 11
 
@@ -38,12 +39,22 @@ def score(features: DataFrame, model) -> DataFrame:
 
 def score_with(features: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], key: tuple[str, ...] = ("doc_id", "page_number", "pos")) -> DataFrame:
     """Emissions by a function of a float32 matrix, batch by batch; it goes to the workers once a task."""
+    return _scored(features, lambda: scorer, key)
+
+
+def score_file(features: DataFrame, path: str, make: Callable[[bytes], Callable[[np.ndarray], np.ndarray]], key: tuple[str, ...] = ("doc_id", "page_number", "pos")) -> DataFrame:
+    """Emissions by a model in a file: make(its bytes) is a function as for score_with. A worker makes it once for each version of
+    the file, however many tasks and queries use it."""
+    return _scored(features, shipped(features.sparkSession, read_bytes(features.sparkSession, path), make), key)
+
+
+def _scored(features: DataFrame, get: Callable, key: tuple[str, ...]) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in features.schema}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
-                yield x[list(key)].assign(p=[r.tolist() for r in np.asarray(scorer(np.stack(x["features"].to_list()).astype(np.float32)), float)])
+                yield x[list(key)].assign(p=[r.tolist() for r in np.asarray(get()(np.stack(x["features"].to_list()).astype(np.float32)), float)])
 
     return features.select(*key, "features").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", p array<double>")
 
@@ -60,6 +71,17 @@ def load(spark, path: str):
     return LogisticRegressionModel.load(f"{path}/model"), spark.read.parquet(f"{path}/transitions")
 
 
+def save_boosted(model: boosting.Model, trans: DataFrame, path: str) -> None:
+    """A boosted model, a row of bytes, and the transition table below one folder of any store."""
+    spark = trans.sparkSession
+    spark.createDataFrame([(bytearray(model.to_bytes()),)], "model binary").write.mode("overwrite").parquet(f"{path}/boosted")
+    trans.write.mode("overwrite").parquet(f"{path}/transitions")
+
+
+def load_boosted(spark, path: str) -> tuple[boosting.Model, DataFrame]:
+    return boosting.Model.of_bytes(bytes(spark.read.parquet(f"{path}/boosted").first()["model"])), spark.read.parquet(f"{path}/transitions")
+
+
 #: Settings of the registered query; a model of use has those of boosting.Settings.
 FEW = boosting.Settings(rounds=2, leaves=8, bins=31, feature_fraction=0.25, bagging_freq=1)
 
