@@ -61,11 +61,12 @@ def exponent(shared: DataFrame, target_entropy: float | None = None, repeats: fl
 def mix(docs: DataFrame, target_entropy: float | None = None, repeats: float = REPEATS, budget: int | None = None, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """docs (doc_id, text, source, any more) -> doc_id, source, n_tokens, weight, copies, block, block_rank, doc_rank_key.
 
-    copies: how often the document is in the mixture. An epoch's order is block_rank, doc_rank_key, doc_id. blocks: the least
+    copies: how often the document is in the mixture. An epoch's order is block_rank, doc_rank_key, doc_id, n_tokens. blocks: the least
     number of blocks a source; there are more where blocks would hold over BLOCK_TOKENS tokens. budget: tokens of
     the mixture; by default the least at which every document is used once, so that nothing is lost. A null text counts as
     empty, a null source as the empty name. Documents without tokens take nothing from the budget and go with each whole
-    epoch, once where a source has no tokens at all (its weight is 0). Rows that repeat a doc_id count each. An empty table
+    epoch, once where a source has no tokens at all (its weight is 0). Rows that repeat a doc_id count each, the
+    shorter text first; those of one length take the same place in either order. An empty table
     gives an empty result. Other columns are not read.
     """
     tokens = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), words(text_or_empty()).alias("n_tokens"))
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repeats: float = R
     ranked = per_block.withColumn("block_rank", F.row_number().over(order)).withColumn("before", F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("block_tokens"))
     ranked = stash(ranked.join(plan, "source", "left").select("source", "block", "block_rank", "before", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("epochs", F.lit(1)).alias("epochs"), F.coalesce("rest", F.lit(0)).alias("rest"), "block_tokens"), "mix-blocks")
     placed = tokens.join(ranked, ["source", "block"]).withColumn("key", F.xxhash64("doc_id", F.lit(seed + 2)))
-    within = Window.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "block").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("before") + F.sum("n_tokens").over(within)
     extra = F.when((F.col("n_tokens") > 0) & (upto <= F.col("rest")), 1).otherwise(0)
     return placed.select("doc_id", "source", "n_tokens", "weight", (F.col("epochs") + extra).cast("long").alias("copies"), "block", "block_rank", F.col("key").alias("doc_rank_key"))
