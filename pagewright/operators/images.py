@@ -17,15 +17,14 @@ def _drawn_tables(cell: DataFrame) -> DataFrame:
     cells = cell.groupBy("doc_id", "page_number", "region_seq").agg(F.max(F.col("x") + F.col("w")).cast("int").alias("img_w"), F.max(F.col("y") + F.col("h")).cast("int").alias("img_h"), F.collect_list(F.struct("x", "y", "w", "h")).alias("cells"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc_id", "page_number", "region_seq", "img_w", "img_h", "gray"]
         for batch in batches:
-            out = []
             for r in batch.itertuples(index=False):
                 gray = np.full((r.img_h + 14, r.img_w + 14), 255, np.uint8)
                 for c in r.cells:
                     x, y, w, h = (int(c[k]) for k in "xywh")
                     gray[y + 14 : y + h, x + 14 : x + w] = 40  # ink within, white between
-                out.append((r.doc_id, r.page_number, r.region_seq, r.img_w + 14, r.img_h + 14, gray.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "page_number", "region_seq", "img_w", "img_h", "gray"])
+                yield pd.DataFrame([(r.doc_id, r.page_number, r.region_seq, r.img_w + 14, r.img_h + 14, gray.tobytes())], columns=names)
 
     return cells.mapInPandas(run, "doc_id long, page_number int, region_seq int, img_w int, img_h int, gray binary")
 
@@ -36,25 +35,26 @@ def tsr_boxes(cell: DataFrame) -> DataFrame:
     return raster.table_boxes(_drawn_tables(cell), "unbordered")
 
 
+def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages with their pixels, one at a time: a batch of them can have any number of pages."""
+    names = ["doc_id", "page_number", "img_w", "img_h", "gray", "boxes"]
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            texture = (np.arange(r.page_height)[:, None] // 8 + np.arange(r.page_width)[None] // 8) % 2 * 120 + 30
+            gray = np.full((r.page_height, r.page_width), 255, np.uint8)
+            for b in r.regions if r.regions is not None else ():
+                at = np.s_[b["top"] : b["bottom"], b["left"] : b["right"]]
+                gray[at] = texture[at]
+            yield pd.DataFrame([(r.doc_id, r.page_number, r.page_width, r.page_height, gray.tobytes(), r.boxes)], columns=names)
+
+
 def _drawn_pages(page: DataFrame, reg: DataFrame, tok: DataFrame) -> DataFrame:
     key = ["doc_id", "page_number"]
     box = F.struct("left", "top", "right", "bottom")
     regions = reg.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("region_seq", "left", "top", "right", "bottom"))).alias("regions"))
     pages = page.join(regions, key, "left").join(tok.groupBy(key).agg(F.collect_list(box).alias("boxes")), key, "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                texture = (np.arange(r.page_height)[:, None] // 8 + np.arange(r.page_width)[None] // 8) % 2 * 120 + 30
-                gray = np.full((r.page_height, r.page_width), 255, np.uint8)
-                for b in r.regions if r.regions is not None else ():
-                    at = np.s_[b["top"] : b["bottom"], b["left"] : b["right"]]
-                    gray[at] = texture[at]
-                out.append((r.doc_id, r.page_number, r.page_width, r.page_height, gray.tobytes(), r.boxes))
-            yield pd.DataFrame(out, columns=["doc_id", "page_number", "img_w", "img_h", "gray", "boxes"])
-
-    return pages.mapInPandas(run, "doc_id long, page_number int, img_w int, img_h int, gray binary, boxes array<struct<left: int, top: int, right: int, bottom: int>>")
+    return pages.mapInPandas(drawn, "doc_id long, page_number int, img_w int, img_h int, gray binary, boxes array<struct<left: int, top: int, right: int, bottom: int>>")
 
 
 @frame_operator("page", "reg", "tok")

@@ -103,3 +103,12 @@ def test_thresholds():
     assert 30 <= raster.threshold_otsu(g) < 220
     assert not raster.threshold_mean(np.full((9, 9), 80, np.uint8), 5, 3).any()
     assert raster.threshold_gaussian(np.full((9, 9), 80, np.uint8), 5, 3).all()
+
+
+def test_pages_are_drawn_one_at_a_time():
+    import pandas as pd
+
+    from pagewright.operators import images
+
+    batch = pd.DataFrame({"doc_id": range(5), "page_number": 1, "page_width": 60, "page_height": 40, "regions": None, "boxes": None})
+    assert [len(x) for x in images.drawn(iter([batch]))] == [1] * 5
