@@ -62,3 +62,15 @@ def joins(df):
 def test_feature_vector_joins_tokens_by_their_key_alone(spark, tmp_path):
     df = queries.queries()["feature_vector"](spark, sf(spark, tmp_path))
     assert df.count() == 159 and joins(df) <= 2
+
+
+def test_token_matrix_sums_rows_where_they_are_made(spark, tmp_path):
+    df = queries.queries()["token_matrix"](spark, sf(spark, tmp_path))
+    assert joins(df) <= 2 and "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in df.collect()}
+    rows = matrix.FX.frame(spark, str(tmp_path), "matrix").collect()
+    assert len(got) == len(rows) == 162
+    for r in rows:
+        n, total, by_place = got[r["doc_id"], r["page_number"], r["pos"]]
+        assert n == len(r["places"]) and abs(total - sum(r["values"])) < 1e-3 and abs(by_place - sum((p + 1) * v for p, v in zip(r["places"], r["values"], strict=True))) < 0.11
+
