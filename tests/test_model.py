@@ -277,3 +277,24 @@ def test_sweep_of_large_pages_takes_time_in_proportion(spark):
             sweep.ranges = before
         seen[n] = sum(looked)
     assert seen[40_000] <= 8.1 * seen[5_000] and seen[40_000] == 40_000 * 10
+
+
+def test_vectors_are_written_and_binned_once(spark, monkeypatch):
+    """Emissions by `fitted` are those of `train` and `predict`, rows without label among them; what is written is the vectors,
+    their bins and new scores."""
+    seen = []
+    monkeypatch.setattr(boosting, "written", lambda df, *a, f=boosting.written: (seen.append(df.columns), f(df, *a))[1])
+    monkeypatch.setattr(boosting, "WRITE", 2)
+    x, y = sample(300)
+    rows = vectors(spark, x, y)
+    some = rows.selectExpr("doc_id", "places", "values", "case when doc_id < 250 then label end as label")
+    got = {r["doc_id"]: r["p"] for r in boosting.fitted(some, 12, FEW, ("doc_id",)).collect()}
+    assert seen == [["doc_id", "places", "values", "label"], ["cells", "label", "scores", "place", "doc_id"], ["cells", "label", "scores", "place"]]
+    want = {r["doc_id"]: r["p"] for r in boosting.predict(rows, boosting.train(rows.where("doc_id < 250"), 12, FEW), ("doc_id",)).collect()}
+    assert got == want and len(got) == 300
+
+
+def test_cells_of_places_in_any_order():
+    bins = boosting.Bins([np.array([-0.5, 0.5], np.float32), np.zeros(0, np.float32), np.array([1.0], np.float32)])
+    offsets, cells = bins.cells(np.array([0, 3, 3, 4]), np.array([2, 0, 1, 0]), np.array([2.0, -1.0, 5.0, 0.2]))
+    assert offsets.tolist() == [0, 2, 2, 2] and cells.tolist() == [0, 5] and bins.kind == np.uint16
