@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.dual import braced, operator
+from ..plans.dual import braced, operator, rendered
 from ..plans.fixtures import FX, TOKEN_TYPES
 
 PAGE = "doc_id, page_number"
@@ -73,14 +73,29 @@ def table_fallback(d):
  left join (select doc_id, page_number, "left", top, tsr_seq, count(*) as n from {d.t('xmlcell')} group by doc_id, page_number, "left", top, tsr_seq) k on t.doc_id = k.doc_id and t.page_number = k.page_number and t."left" = k."left" and t.top = k.top and t.tsr_seq = k.tsr_seq"""
 
 
-@operator("reg", "structure", "xmlcell", "tok")
+def _xml_table_cells(d) -> str:
+    """Cells of tables whose last structure has none but XML with cells, with the corner of their region."""
+    return f"""select r.doc_id, r.page_number, r.region_seq, r."left" as region_left, r.top as region_top, k."row", k.col, k.x, k.y, k.w, k.h
+  from (select * from {d.t('reg')} where region_type = 'Table') r join {_last_structure(d)} t on r.doc_id = t.doc_id and r.page_number = t.page_number and r."left" = t."left" and r.top = t.top and t.num_cells = 0
+  join {d.t('xmlcell')} k on t.doc_id = k.doc_id and t.page_number = k.page_number and t."left" = k."left" and t.top = k.top and t.tsr_seq = k.tsr_seq"""
+
+
+FX.add("xmltable", "reg", "structure", "xmlcell")(_xml_table_cells)
+
+
+def _xml_table_md(xmltable: DataFrame, tok: DataFrame) -> DataFrame:
+    """The cells are a relation of their own, so that XML is parsed once for the several reads of them."""
+    from .joins import _table_md
+
+    return rendered(lambda d: f"with {_table_md(d, d.t('xmltable'))} select doc_id, page_number, region_seq, md from tables", {"xmltable": xmltable, "tok": tok})
+
+
+@operator("reg", "structure", "xmlcell", "tok", spark=_xml_table_md, spark_inputs=("xmltable", "tok"))
 def xml_table_md(d):
     """Markdown of tables whose last structure has no cells but XML with cells."""
     from .joins import _table_md
 
-    return f"""with xc as (select r.doc_id, r.page_number, r.region_seq, r."left" as region_left, r.top as region_top, k."row", k.col, k.x, k.y, k.w, k.h
-  from (select * from {d.t('reg')} where region_type = 'Table') r join {_last_structure(d)} t on r.doc_id = t.doc_id and r.page_number = t.page_number and r."left" = t."left" and r.top = t.top and t.num_cells = 0
-  join {d.t('xmlcell')} k on t.doc_id = k.doc_id and t.page_number = k.page_number and t."left" = k."left" and t.top = k.top and t.tsr_seq = k.tsr_seq),
+    return f"""with xc as ({_xml_table_cells(d)}),
  {_table_md(d, 'xc')} select doc_id, page_number, region_seq, md from tables"""
 
 

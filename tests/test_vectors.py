@@ -74,3 +74,12 @@ def test_token_matrix_sums_rows_where_they_are_made(spark, tmp_path):
         n, total, by_place = got[r["doc_id"], r["page_number"], r["pos"]]
         assert n == len(r["places"]) and abs(total - sum(r["values"])) < 1e-3 and abs(by_place - sum((p + 1) * v for p, v in zip(r["places"], r["values"], strict=True))) < 0.11
 
+
+
+def test_xml_of_tables_is_parsed_once(spark, tmp_path):
+    """The cells are read several times, but are one kept relation; tokens beyond the span of a page's cells are in no tile."""
+    at = sf(spark, tmp_path)
+    df = queries.queries()["xml_table_md"](spark, at)
+    assert any("region_left" in kept.columns for kept in matrix.FX.kept)
+    frames = {n: matrix.FX.frame(spark, at, n) for n in ("reg", "structure", "xmlcell", "tok")}
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, OPERATORS["xml_table_md"](**frames).collect()))
