@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from bisect import bisect_right
 from datetime import datetime, timedelta
+from glob import glob
 
 import numpy as np
 import pyarrow as pa
@@ -217,3 +218,16 @@ def test_enrichment_of_empty_tables(spark):
         assert [tuple(r) for r in sale_enrichment.enrich_sales(alone, no_changes, batches=3).collect()] == [("sale", 5, 3, 0, None, None, None)]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_state_of_sales_is_written_by_plain_renames_and_once(spark):
+    """Each version of the state is one file, without a file of sums beside it, which cost more than the rows where a start has many partitions."""
+    at = sale_enrichment.shared_dir(spark).removeprefix("file:")
+    before = {k: spark.conf.get(k, None) for k in sale_enrichment.STATE}
+    old = set(glob(f"{at}/sale-stream-*"))
+    sales, changes = shop(5, 20, 3, 24 * 20)
+    frames = spark.createDataFrame([(*x, 0) for x in sales], SALES), spark.createDataFrame([(*x, "clash") for x in changes], CHANGES)
+    assert sale_enrichment.enrich_sales(*frames, batches=3).where("rec = 'sale'").count() == len(sales)
+    (home,) = set(glob(f"{at}/sale-stream-*")) - old
+    assert glob(f"{home}/checkpoint/state/0/*/*.changelog") and not glob(f"{home}/checkpoint/**/*.crc", recursive=True)
+    assert {k: spark.conf.get(k, None) for k in before} == before
