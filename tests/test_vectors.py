@@ -75,6 +75,19 @@ def test_token_matrix_sums_rows_where_they_are_made(spark, tmp_path):
         assert n == len(r["places"]) and abs(total - sum(r["values"])) < 1e-3 and abs(by_place - sum((p + 1) * v for p, v in zip(r["places"], r["values"], strict=True))) < 0.11
 
 
+def test_sums_of_rows_are_taken_without_the_rows():
+    """Each pair is summed once, not at each of the eight rows that it stands in."""
+    r = np.random.default_rng(9)
+    page = np.repeat([0, 1, 2, 3], [1, 3, 40, 200])
+    x = {c: r.integers(0, 3, len(page)) * r.random(len(page)) for c in matrix.NUMBERS}
+    slots = r.integers(-1, len(matrix.CATEGORIES), (len(page), 8))
+    offsets, places, values = matrix.windows(*matrix.pair_vectors(page, x, slots))
+    row = np.repeat(np.arange(len(page)), np.diff(offsets))
+    n, total, by_place = matrix.window_sums(page, x, slots)
+    assert n.tolist() == np.diff(offsets).tolist()
+    assert np.allclose(total, np.bincount(row, values.astype(float)), rtol=1e-12, atol=1e-9)
+    assert np.allclose(by_place, np.bincount(row, (places + 1) * values.astype(float)), rtol=1e-12, atol=1e-6)
+
 
 def test_xml_of_tables_is_parsed_once(spark, tmp_path):
     """The cells are read several times, but are one kept relation; tokens beyond the span of a page's cells are in no tile."""
