@@ -231,3 +231,17 @@ def test_state_of_sales_is_written_by_plain_renames_and_once(spark):
     (home,) = set(glob(f"{at}/sale-stream-*")) - old
     assert glob(f"{home}/checkpoint/state/0/*/*.changelog") and not glob(f"{home}/checkpoint/**/*.crc", recursive=True)
     assert {k: spark.conf.get(k, None) for k in before} == before
+
+
+def test_sales_start_once_a_batch(spark):
+    """What is emitted after the last batch comes from that batch's start: Spark leaves memory behind for each partition of each start."""
+    at = sale_enrichment.shared_dir(spark).removeprefix("file:")
+    old = set(glob(f"{at}/sale-stream-*"))
+    sales, changes = shop(6, 60, 5, 24 * 150)
+    frames = spark.createDataFrame([(*x, 0) for x in sales], SALES), spark.createDataFrame([(*x, "clash") for x in changes], CHANGES)
+    for batches in (1, 3):
+        got = sale_enrichment.enrich_sales(*frames, batches=batches, least_slice=7).collect()
+        assert {r["batch"] for r in got if r["rec"] == "sale"} >= {batches}
+        (home,) = set(glob(f"{at}/sale-stream-*")) - old
+        old.add(home)
+        assert len(glob(f"{home}/checkpoint/commits/[0-9]*")) == batches
