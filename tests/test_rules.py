@@ -334,6 +334,27 @@ def test_text_features(rows):
     assert got == [(1, 1, 1, 0, 0, 0, 0.0, 0, 0.05, 1), (2, 0, 1, 1, 0, 0, 0.0, 1, 0.1, 0), (3, 0, 0, 0, 1, 1, 0.6, 0, 0.05, 0), (4, 0, 1, 0, 0, 0, 0.0, 0, 0.05, 0)]
 
 
+def test_long_titles_are_read_without_a_frame_of_the_stack_a_word(rows):
+    kinds = ["Ab " * 5000, "Ab " * 5000 + "c", "A1" * 40_000, "A" * 9000 + "b", " . " * 3000 + "Ab"]
+    got = rows("text_features", "pos is_title_case", tok=tok(*[(i + 1, c, 0, 0, 1, 1) for i, c in enumerate(kinds)]), font=FONTS)
+    assert got == [(1, 1), (2, 0), (3, 1), (4, 0), (5, 1)]
+
+
+def test_title_case_is_that_of_the_oracle(spark):
+    import duckdb
+
+    parts = np.random.default_rng(5).choice(["A", "b", "\u01c5", "É", "ß", "1", " ", ".", "中", "\u0301", "Ab", "\U0001d400", "\U0001d41a"], (1500, 6))
+    names, kinds = [c.strip(" `") for c in TOK.replace(" int", "").replace(" long", "").replace(" string", "").split(",")], TOK
+    data = [(1, 1, i, "".join(p[: i % 7]), 0, 0, 1, 1, 1, 1, 0, 6) for i, p in enumerate(parts.tolist())]
+    got = OPERATORS["text_features"](tok=spark.createDataFrame(data, kinds), font=spark.createDataFrame(*FONTS)).select("pos", "is_title_case").collect()
+    con = duckdb.connect()
+    con.execute(f"create table tok ({', '.join(chr(34) + n + chr(34) + (' varchar' if n == 'content' else ' bigint') for n in names)})")
+    con.executemany(f"insert into tok values ({', '.join('?' * len(names))})", data)
+    con.execute("create table font (doc_id bigint, font_id bigint, bold boolean, italics boolean)")
+    want = dict(con.execute(f"select pos, is_title_case from ({OPERATORS['text_features'].oracle()})").fetchall())
+    assert dict(map(tuple, got)) == want and 0 < sum(want.values()) < 1500
+
+
 def test_sinks(spark, tmp_path):
     features = spark.createDataFrame([(1, 1, 1, [0.5, 1.0], 3)], "doc_id long, page_number int, pos int, features array<float>, label int")
     sinks.write_features(features, f"{tmp_path}/f")
