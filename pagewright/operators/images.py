@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,12 +36,17 @@ def tsr_boxes(cell: DataFrame) -> DataFrame:
     return raster.table_boxes(_drawn_tables(cell), "unbordered")
 
 
+@lru_cache(4)
+def _texture(height: int, width: int) -> np.ndarray:
+    return ((np.arange(height)[:, None] // 8 + np.arange(width)[None] // 8) % 2 * 120 + 30).astype(np.uint8)
+
+
 def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pages with their pixels, one at a time: a batch of them can have any number of pages."""
     names = ["doc_id", "page_number", "img_w", "img_h", "gray", "boxes"]
     for batch in batches:
         for r in batch.itertuples(index=False):
-            texture = (np.arange(r.page_height)[:, None] // 8 + np.arange(r.page_width)[None] // 8) % 2 * 120 + 30
+            texture = _texture(r.page_height, r.page_width)
             gray = np.full((r.page_height, r.page_width), 255, np.uint8)
             for b in r.regions if r.regions is not None else ():
                 at = np.s_[b["top"] : b["bottom"], b["left"] : b["right"]]
@@ -48,16 +54,16 @@ def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(r.doc_id, r.page_number, r.page_width, r.page_height, gray.tobytes(), r.boxes)], columns=names)
 
 
-def _drawn_pages(page: DataFrame, reg: DataFrame, tok: DataFrame) -> DataFrame:
+def _pages(page: DataFrame, reg: DataFrame, tok: DataFrame) -> DataFrame:
+    """Pages with their regions and the boxes of their tokens."""
     key = ["doc_id", "page_number"]
     box = F.struct("left", "top", "right", "bottom")
     regions = reg.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("region_seq", "left", "top", "right", "bottom"))).alias("regions"))
-    pages = page.join(regions, key, "left").join(tok.groupBy(key).agg(F.collect_list(box).alias("boxes")), key, "left")
-
-    return pages.mapInPandas(drawn, "doc_id long, page_number int, img_w int, img_h int, gray binary, boxes array<struct<left: int, top: int, right: int, bottom: int>>")
+    return page.join(regions, key, "left").join(tok.groupBy(key).agg(F.collect_list(box).alias("boxes")), key, "left")
 
 
 @frame_operator("page", "reg", "tok")
 def dark_blob_regions(page: DataFrame, reg: DataFrame, tok: DataFrame) -> DataFrame:
-    """Dark regions found in the pixels of pages drawn with all their regions, with their statistics."""
-    return raster.detect_regions(_drawn_pages(page, reg, tok), dpi=72)
+    """Dark regions found in the pixels of pages drawn with all their regions, with their statistics. Pages are drawn and looked
+    at in one stage, so that no pixels go from one to another."""
+    return _pages(page, reg, tok).mapInPandas(lambda batches: raster.regions_of(drawn(batches), 72), raster.REGIONS)

@@ -112,3 +112,33 @@ def test_pages_are_drawn_one_at_a_time():
 
     batch = pd.DataFrame({"doc_id": range(5), "page_number": 1, "page_width": 60, "page_height": 40, "regions": None, "boxes": None})
     assert [len(x) for x in images.drawn(iter([batch]))] == [1] * 5
+
+
+def test_pages_are_drawn_and_looked_at_in_one_stage(spark):
+    from pagewright.plans import queries
+
+    text = "\n".join(f"Line {i}. more" for i in range(30))
+    page = spark.createDataFrame([(1, 1, 612, 792)], "doc_id long, page_number int, page_width int, page_height int")
+    reg = spark.createDataFrame([(1, 1, 0, 100, 100, 300, 220)], "doc_id long, page_number int, region_seq int, `left` int, top int, `right` int, bottom int")
+    tok = spark.createDataFrame([(1, 1, 1, text, 0, 0, 9, 9)], "doc_id long, page_number int, pos int, content string, `left` int, top int, `right` int, bottom int")
+    made = queries.OPERATORS["dark_blob_regions"](page=page, reg=reg, tok=tok)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1  # pixels stay where they are drawn
+    assert [(r["left"], r["top"], r["width"], r["height"]) for r in made.collect()] == [(100, 100, 200, 120)]
+
+
+def test_components_of_noise_take_no_step_a_run(monkeypatch):
+    """Each round joins all roots that have a neighbour; a walk over runs would take as many steps as there are."""
+    rounds, before = [], np.minimum
+    mask = np.random.default_rng(2).random((600, 600)) < 0.4
+
+    class Counted:
+        def __call__(self, *a):
+            rounds.append(len(a[0]))
+            return before(*a)
+
+        def __getattr__(self, name):
+            return getattr(before, name)
+
+    monkeypatch.setattr(np, "minimum", Counted())
+    labels, boxes = raster.components(mask)
+    assert 0 < len(rounds) < 30 and labels.max() == len(boxes) and sum(b[4] for b in boxes) == mask.sum()
