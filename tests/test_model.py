@@ -298,3 +298,17 @@ def test_cells_of_places_in_any_order():
     bins = boosting.Bins([np.array([-0.5, 0.5], np.float32), np.zeros(0, np.float32), np.array([1.0], np.float32)])
     offsets, cells = bins.cells(np.array([0, 3, 3, 4]), np.array([2, 0, 1, 0]), np.array([2.0, -1.0, 5.0, 0.2]))
     assert offsets.tolist() == [0, 2, 2, 2] and cells.tolist() == [0, 5] and bins.kind == np.uint16
+
+
+def test_bins_are_those_of_all_rows(spark):
+    """Quantiles of 60,000 different values, and of values some of which are common, as numpy takes them from all."""
+    n = 60_000
+    rows = spark.range(n).selectExpr("array(0, 2) as places", "array(cast(id + 1 as float), cast(if(id % 3 = 0, -2, id % 7 - 3) as float)) as values").repartition(3)
+    bins = boosting.quantile_bins(rows, 4, 31)
+    at = np.arange(1, 28) / 28
+    assert np.array_equal(bins.edges[0], np.array([boosting.ZERO, *np.quantile(np.arange(1, n + 1), at)], np.float32))
+    ids = np.arange(n)
+    v = np.where(ids % 3 == 0, -2.0, ids % 7 - 3)
+    v = v[v != 0]
+    want = {float(x) for x in np.quantile(v, at) if x < v.max()} | {-boosting.ZERO, boosting.ZERO}
+    assert np.array_equal(bins.edges[2], np.array(sorted(want), np.float32)) and not len(bins.edges[1]) and not len(bins.edges[3])
