@@ -312,3 +312,41 @@ def test_bins_are_those_of_all_rows(spark):
     v = v[v != 0]
     want = {float(x) for x in np.quantile(v, at) if x < v.max()} | {-boosting.ZERO, boosting.ZERO}
     assert np.array_equal(bins.edges[2], np.array(sorted(want), np.float32)) and not len(bins.edges[1]) and not len(bins.edges[3])
+
+
+def test_sums_of_a_pass_are_those_of_a_walk_over_the_rows():
+    """Of nodes of three classes, over batches, with hessians as large as they get; gradients and hessians share no rounding."""
+    r = np.random.default_rng(8)
+    bins = boosting.Bins([np.sort(r.normal(size=n)).astype(np.float32) for n in (3, 0, 5, 1, 2, 7)])
+    tree = boosting.Tree()
+    tree.split(0, 2, 2)
+    trees, asked, own = {0: tree, 1: boosting.Tree(), 2: tree}, [(0, 1), (0, 2), (1, 0), (2, 2)], {0: np.array([0, 1, 2, 5]), 1: np.array([3]), 2: np.zeros(0, int)}
+    sums, want, totals = boosting.Sums(bins, trees, [], asked, own), [np.zeros((3, bins.total)) for _ in asked], np.zeros((4, 3))
+    for _ in range(3):
+        x = np.where(r.random((boosting.TOGETHER, 6)) < 0.5, 0, r.normal(size=(boosting.TOGETHER, 6))).astype(np.float32)
+        label, scores = r.integers(0, 3, len(x)), np.log(np.full((len(x), 3), [0.5, 0.3, 0.2]))
+        at = np.concatenate([[0], np.cumsum((x != 0).sum(1))])
+        offsets, cells = bins.cells(at, np.nonzero(x)[1], x[x != 0])
+        sums.add(offsets, cells.astype(bins.kind), label, scores)
+        g, h = boosting.gradients(scores, label)
+        row, node = np.repeat(np.arange(len(x)), np.diff(offsets)), tree.node_of(bins.dense(offsets, cells))
+        for i, (k, n) in enumerate(asked):
+            inside = np.ones(len(x), bool) if k == 1 else node == n
+            weights = np.stack([g[:, k], h[:, k], np.ones(len(x))]) * inside
+            totals[i] += weights.sum(1)
+            for j in range(3):
+                np.add.at(want[i][j], cells, weights[j][row])
+    assert np.array_equal(sums.totals, totals) and totals[2, 2] == 3 * boosting.TOGETHER
+    for i, (k, _) in enumerate(asked):
+        assert np.array_equal(sums[i], want[i][:, np.isin(bins.feature, own[k])])
+
+
+def test_vectors_in_binaries_give_the_model_of_lists(spark):
+    x, y = sample(300)
+    rows = vectors(spark, x, y)
+    packed = rows.toPandas()
+    for name, kind in (("places", np.uint16), ("values", np.float32)):
+        packed[name] = [np.asarray(v, kind).tobytes() for v in packed[name]]
+    packed = spark.createDataFrame(packed, "doc_id long, places binary, values binary, label int").repartition(3)
+    lists, binaries = ({r["doc_id"]: r["p"] for r in boosting.fitted(df, 12, FEW, ("doc_id",)).collect()} for df in (rows, packed))
+    assert lists == binaries and len(lists) == 300
